@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into words at a time; bounds its memory whatever the batch.
@@ -33,7 +34,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         values = batch.column(batch.schema.get_field_index(column))
         if not batch.num_rows:
             continue
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(values).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(values).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > limit:
