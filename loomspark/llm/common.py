@@ -6,9 +6,12 @@ import os
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into words at a time; bounds its memory whatever the batch.
 CHUNK_BYTES = 2 << 20
@@ -42,3 +45,53 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds __text (binary, null as empty) and the 128-bit row key (__k1, __k2) of id and text.
+
+    The key comes from what a row says, so every run of a task gives it again; identical rows share it.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))
+    return docs.select("*", text.alias("__text"), F.xxhash64(name, text).alias("__k1"), F.xxhash64(text, name, F.lit(1)).alias("__k2"))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept while they fit."""
+
+    LIMIT = 1 << 19
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: An odd base of polynomial hashes modulo 2**64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of a 64-bit number, extended as longer sequences come."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.base, len(self.known), 1 << 64))
+            self.known = np.concatenate([self.known, self.known * step])
+        return self.known[:n]

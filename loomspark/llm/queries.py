@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import chat, decontaminate, exact_dedup, html_extract, packing, quality, secrets, simhash
+from loomspark.llm import chat, decontaminate, exact_dedup, html_extract, packing, quality, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_min_cut_extraction": html_extract.op4_min_cut_extraction,
         "op5_neighbour_quality": quality.op5_neighbour_quality,
         "op6_transcript_roles": chat.op6_transcript_roles,
+        "op7_recompression": substrings.op7_recompression,
         "op8_positional_index": decontaminate.op8_positional_index,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
