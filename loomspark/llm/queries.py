@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import chat, decontaminate, exact_dedup, html_extract, packing, quality, secrets, simhash, substrings
+from loomspark.llm import chat, decontaminate, exact_dedup, html_extract, lines, packing, quality, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_cost_balanced_packing": packing.op2_cost_balanced_packing,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_min_cut_extraction": html_extract.op4_min_cut_extraction,
