@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +60,6 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("*", text.alias("__text"), F.xxhash64(name, text).alias("__k1"), F.xxhash64(text, name, F.lit(1)).alias("__k2"))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while they fit."""
-
-    LIMIT = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,3 +83,76 @@ class Powers:
             step = np.uint64(pow(self.base, len(self.known), 1 << 64))
             self.known = np.concatenate([self.known, self.known * step])
         return self.known[:n]
+
+
+#: White space between words, and a random 64-bit number for each byte.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_BLOCK = 1 << 18
+_LONG_WORD = 512
+_UP, _DOWN = Powers(BASE), Powers(INVERSE)
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of some texts, one text after the other: hashes, byte offsets in `data`, and the words before each text's end."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+    text_starts: np.ndarray
+
+
+def read_words(texts: list[bytes]) -> Words:
+    """64-bit hashes of all words between ASCII white space, by arrays, without an object for each word.
+
+    A word's hash is a polynomial over its bytes, taken from running sums of one block; words too long for that to
+    be safe are hashed on their own.
+    """
+    whole = b"\n".join([*texts, b""])
+    data = np.frombuffer(whole, dtype=np.uint8)
+    space = _SPACE[data]
+    change = np.diff(space.view(np.int8), prepend=np.int8(1))
+    starts, ends = np.nonzero(change == -1)[0], np.nonzero(change == 1)[0]
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(int(np.searchsorted(starts, base + _BLOCK)), at + 1)
+        end = int(ends[to - 1])
+        sums = np.empty(end - base + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[data[base:end]] * _UP.upto(end - base), out=sums[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        hashes[at:to] = mix((sums[e] - sums[s]) * _DOWN.upto(end - base)[s] + (e - s).astype(np.uint64))
+        at = to
+    for i in np.nonzero(ends - starts > _LONG_WORD)[0].tolist():
+        hashes[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]])
+    text_starts = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))])
+    return Words(data, hashes, starts, ends, np.searchsorted(starts, text_starts[1:]), text_starts[:-1])
+
+
+def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Polynomial hashes of spans of words."""
+    up, down = (_UP, _DOWN) if base == BASE else _powers(base)
+    sums = np.empty(len(hashes) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * up.upto(len(hashes)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down.upto(len(hashes) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+@cache
+def _powers(base: int) -> tuple[Powers, Powers]:
+    return Powers(base), Powers(pow(base, -1, 1 << 64))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes rows as Parquet to the shared folder and reads them again: computed once, whatever uses them."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

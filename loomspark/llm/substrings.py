@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, CHUNK_BYTES, INVERSE, Powers, WordHashes, chunks, mix, with_row_key
+from loomspark.llm.common import BASE, checkpoint, chunks, mix, read_words, spans, with_row_key, written
 
 WINDOW = 35
+#: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
+PARSE_BYTES = 1 << 19
 #: Rounds of pair naming after the round that names runs.
 ROUNDS = 5
 #: Occurrences of one anchor beyond which its windows are counted by Spark rather than within a task.
@@ -114,28 +116,11 @@ def anchors(words: np.ndarray, ends: np.ndarray) -> Anchors:
     return Anchors(k[group], p[group], starts[order], np.append(group, len(order)))
 
 
-class Reader:
-    """Words and hashes of whole documents."""
-
-    def __init__(self):
-        self.hashes, self.up, self.down = WordHashes(), Powers(BASE), Powers(INVERSE)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [t.split() for t in texts]
-        ends = np.cumsum(np.array([len(x) for x in lists], dtype=np.int64))
-        return self.hashes.of([w for x in lists for w in x]), ends
-
-    def windows(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Polynomial hashes of the windows at `starts`."""
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * self.up.upto(len(words)), dtype=np.uint64)])
-        return mix((sums[starts + WINDOW] - sums[starts]) * self.down.upto(len(words) + 1)[starts])
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader()
-    for batch in chunks(batches, "__text", CHUNK_BYTES):
-        words, ends = reader.read(batch.column(0).to_pylist())
-        found = anchors(words, ends)
+    for batch in chunks(batches, "__text", PARSE_BYTES):
+        words = read_words(batch.column(0).to_pylist())
+        ends = words.bounds
+        found = anchors(words.hashes, ends)
         doc = np.searchsorted(ends, found.position, "right")
         begins = np.concatenate([[0], ends[:-1]])
         k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (1, 2))
@@ -144,29 +129,29 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For documents with the positions of their repeated anchors: the hashes of the windows these answer for."""
-    reader = Reader()
-    for batch in chunks(batches, "__text", CHUNK_BYTES):
+    for batch in chunks(batches, "__text", PARSE_BYTES):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        words, ends = reader.read(column["__text"].to_pylist())
-        found = anchors(words, ends)
+        words = read_words(column["__text"].to_pylist())
+        ends = words.bounds
+        found = anchors(words.hashes, ends)
         begins = np.concatenate([[0], ends[:-1]])
         listed = column["__anchors"]
         doc_of = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
         values = listed.flatten()
         wanted = values.field("position").to_numpy(zero_copy_only=False) + begins[doc_of]
-        hot = values.field("hot").to_numpy(zero_copy_only=False)
-        order = np.argsort(wanted, kind="stable")
-        wanted, hot = wanted[order], hot[order]
-        keys = values.field("key").to_numpy(zero_copy_only=False)[order]
-        # anchors of one position differ in their keys
+        keys = values.field("key").to_numpy(zero_copy_only=False)
+        # anchors of one position differ in their keys; both sides are put in the same order
         mine = np.lexsort((found.key.view(np.int64), found.position))
-        table = {}
-        for i in mine.tolist():
-            table[int(found.position[i]), int(found.key[i].view(np.int64))] = i
-        picked = np.array([table[w, k] for w, k in zip(wanted.tolist(), keys.tolist())], dtype=np.int64)
+        order = np.lexsort((keys, wanted))
+        wanted, keys = wanted[order], keys[order]
+        both = np.concatenate([found.position[mine], wanted]), np.concatenate([found.key[mine].view(np.int64), keys])
+        asked = np.concatenate([np.zeros(len(mine), bool), np.ones(len(wanted), bool)])
+        ranked = np.lexsort((asked, both[1], both[0]))
+        owner = np.maximum.accumulate(np.where(asked[ranked], -1, ranked))  # the anchor just before
+        picked = mine[owner[asked[ranked]]]
         if not len(picked):
             continue
-        hashes = reader.windows(words, found.window).view(np.int64)
+        hashes = spans(words.hashes, found.window, found.window + WINDOW).view(np.int64)
         doc = np.searchsorted(ends, found.position[picked], "right")
         k1, k2 = (column[k].to_numpy(zero_copy_only=False)[doc] for k in KEY)
         lo, hi = found.bound[picked], found.bound[picked + 1]
@@ -175,7 +160,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = found.window[take] - np.repeat(begins[doc], hi - lo)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[take]))
         firsts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(start.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hot), pa.array(k1), pa.array(k2), firsts, lists], names=["key", "hot", *KEY, "starts", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,18 +225,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     source = with_row_key(docs, id_col, text_col)
     long_key = "__k1 long, __k2 long"
-    found = source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long")
+    found = written(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
     counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), (F.col("n") > HOT).alias("hot"))
-    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, F.struct("position", "key", "hot").alias("a"))
-    listed = repeated.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one document, bounded by its words
-    copies = listed.select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__anchors")
-    windows = source.join(copies, (source["__k1"] == copies["__j1"]) & (source["__k2"] == copies["__j2"])).mapInArrow(_window_rows, f"key long, hot boolean, {long_key}, starts array<int>, hashes array<long>")
+    counted = checkpoint(counted)
+    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "hot", F.struct("position", "key").alias("a"))
+
+    def windows(anchors_: DataFrame) -> DataFrame:
+        listed = anchors_.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one document, bounded by its words
+        listed = listed.select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__anchors")
+        on = (source["__k1"] == listed["__j1"]) & (source["__k2"] == listed["__j2"])
+        return source.join(listed, on).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
+
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = windows.where("NOT hot").select("key", *KEY, "starts", "hashes").repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long")
-    each = windows.where("hot").select("key", *KEY, F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("key", F.col("w.hashes").alias("hash"), *KEY, F.col("w.starts").cast("long").alias("start"))
-    twice = each.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
-    hot = each.join(twice, (each["key"] == twice["__key"]) & (each["hash"] == twice["__hash"])).select(*KEY, "start")
-    starts = cold.unionByName(hot).groupBy(*KEY).agg(F.collect_set("start").alias("__starts")).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__starts")
+    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long")
+    if not counted.where("hot").isEmpty():
+        each = windows(repeated.where("hot")).select("key", *KEY, F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
+        each = each.select("key", F.col("w.hashes").alias("hash"), *KEY, F.col("w.starts").cast("long").alias("start"))
+        twice = each.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
+        places = places.unionByName(each.join(twice, (each["key"] == twice["__key"]) & (each["hash"] == twice["__hash"])).select(*KEY, "start"))
+    starts = places.groupBy(*KEY).agg(F.collect_set("start").alias("__starts")).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__starts")
     joined = source.join(starts, (source["__k1"] == starts["__j1"]) & (source["__k2"] == starts["__j2"]), "left")
     out_schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
