@@ -3,109 +3,125 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, INVERSE, Powers, WordHashes, chunks, mix, with_row_key
+from loomspark.llm.common import _DOWN, _UP, BASE, INVERSE, Words, checkpoint, chunks, mix, read_words, spans, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
 #: one edit in five words is a similarity of 0.8. Shorter lines count as duplicates only when equal.
 MIN_WORDS = 5
+#: Bytes of text that a task parses at a time, and the size of the filter that is broadcast (8 MB).
+PARSE_BYTES = 1 << 19
+FILTER_BITS = 1 << 26
+OTHER_BASE = 0xD1342543DE82EF95
 KEY = ["__k1", "__k2"]
+LINE = ["h1", "h2"]
 PLACE = ["doc", *KEY, "line"]  # order of lines: id, then key of the row, then line number
 
 
-def _halves(n: int) -> tuple[int, ...]:
-    """Lengths of the equal beginnings or ends that a line of n words shares with any line one edit away."""
-    return tuple({n // 2, (n - 1) // 2})
+@dataclass(frozen=True)
+class Lines:
+    """Lines that have words, of some texts: the text and the number in it, and the words from `start` to `end`."""
 
+    words: Words
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
-def _line_key(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Lines:
+        words = read_words(texts)
+        breaks = np.nonzero(words.data == 10)[0]
+        line = np.searchsorted(breaks, words.starts)
+        opens = np.nonzero(np.diff(line, prepend=-1))[0]
+        text = np.searchsorted(words.bounds, opens, "right")
+        number = line[opens] - np.searchsorted(breaks, words.text_starts[text])
+        return cls(words, text, number, opens, np.append(opens[1:], len(line)))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit keys of the lines' words."""
+        return tuple(spans(self.words.hashes, self.start, self.end, base).view(np.int64) for base in (BASE, OTHER_BASE))
+
+    def halves(self) -> list[pa.Array]:
+        """Hashes of the beginnings and ends of the two lengths that a line shares with lines one edit away; null where there is none."""
+        n, out = self.end - self.start, []
+        for number, m in enumerate((n // 2, (n - 1) // 2)):
+            none = (n < MIN_WORDS - 1) | ((m == n // 2) | (n < MIN_WORDS) if number else np.zeros(len(n), bool))
+            for side, (a, b) in enumerate(((self.start, self.start + m), (self.end - m, self.end))):
+                found = mix(spans(self.words.hashes, a, b) ^ (2 * m + side).astype(np.uint64)).view(np.int64)
+                out.append(pa.array(found, mask=none))
+        return out
+
+
+HALVES = ["a0", "b0", "a1", "b1"]
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with words: row key, line number, 128-bit line key, and hashes of the halves that a neighbour would share."""
-    for batch in chunks(batches, "__text"):
-        rows: list[list] = [[], [], [], []]
-        for i, text in enumerate(batch.column(0).to_pylist()):
-            for number, line in enumerate(text.split(b"\n")):
-                words = line.split()
-                if not words:
-                    continue
-                n = len(words)
-                halves = []
-                if n >= MIN_WORDS - 1:
-                    for h in _halves(n):
-                        halves.append(xxhash.xxh3_64_intdigest(b" ".join(words[:h]), 2 * h) - (1 << 63))
-                        halves.append(xxhash.xxh3_64_intdigest(b" ".join(words[n - h :]), 2 * h + 1) - (1 << 63))
-                rows[0].append(i)
-                rows[1].append(number)
-                rows[2].append(_line_key(words))
-                rows[3].append(halves)
-        index = pa.array(rows[0], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))],
-            names=["doc", *KEY, "line", "h", "halves"],
-        )
+    """Every line with words: its place, key, and halves."""
+    for batch in chunks(batches, "__text", PARSE_BYTES):
+        lines = Lines.of(batch.column(0).to_pylist())
+        index = pa.array(lines.text)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(lines.number), *map(pa.array, lines.keys()), *lines.halves()], names=[*PLACE, *LINE, *HALVES])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (half, h) of distinct lines, sorted by half: the line keys whose half some other line has."""
-    before: tuple | None = None  # the last row, and whether it has gone out
+    """From (half, h1, h2) of distinct lines, sorted by half: the keys of lines whose half some other line has."""
+    before: tuple | None = None  # the last half and its row, None once that row has gone out
     for batch in batches:
-        halves, keys = batch.column(0).to_numpy(), batch.column(1)
-        if not len(halves):
+        half = batch.column(0).to_numpy()
+        if not len(half):
             continue
-        same = halves[1:] == halves[:-1]
-        out = np.zeros(len(halves), dtype=bool)
+        same = half[1:] == half[:-1]
+        out = np.zeros(len(half), dtype=bool)
         out[1:] |= same
         out[:-1] |= same
-        if before is not None and before[0] == halves[0]:
+        if before is not None and before[0] == half[0]:
             out[0] = True
-            if not before[2]:
-                yield pa.RecordBatch.from_arrays([pa.array([before[1]], pa.binary())], names=["h"])
-        yield pa.RecordBatch.from_arrays([keys.filter(pa.array(out))], names=["h"])
-        before = (halves[-1], keys[-1].as_py(), bool(out[-1]))
-
-
-def _marked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the numbers of their marked lines, to those lines."""
-    for batch in chunks(batches, "__text"):
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        index, numbers, keys, texts = [], [], [], []
-        for i, (text, marked) in enumerate(zip(column["__text"].to_pylist(), column["__lines"].to_pylist())):
-            lines = text.split(b"\n")
-            for number in sorted(set(marked)):
-                words = lines[number].split()
-                index.append(i)
-                numbers.append(number)
-                keys.append(_line_key(words))
-                texts.append(b" ".join(words))
-        at = pa.array(index, pa.int64())
-        yield pa.RecordBatch.from_arrays([column["__doc"].take(at), *[column[k].take(at) for k in KEY], pa.array(numbers, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], names=[*PLACE, "h", "words"])
+            if before[1] is not None:
+                yield before[1].select(LINE)
+        yield batch.filter(pa.array(out)).select(LINE)
+        before = (half[-1], None if out[-1] else batch.slice(len(half) - 1))
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A fixed FILTER_BITS bits, one set for each key. Past its size it lets more through, never less."""
+    at = F.col("h1").bitwiseAND(FILTER_BITS - 1)
+    rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(h1 & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = rows.toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _passes(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    at = h1 & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (h1 & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All deletion variants of each line as (hash, position deleted); position -1 stands for the whole line."""
-    hashes, up = WordHashes(), Powers(BASE)
     inverse = np.uint64(INVERSE)
-    for batch in chunks(batches, "words", 1 << 18):
-        found, places, owner = [], [], []
-        for i, line in enumerate(batch.column(batch.schema.get_field_index("words")).to_pylist()):
-            values = mix(hashes.of(line.split()))
-            n = len(values)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up.upto(n), dtype=np.uint64)])
-            without = sums[:-1] + (sums[-1] - sums[1:]) * inverse
-            found += [sums[-1:], without]
-            places += [np.array([-1]), np.arange(n)]
-            owner.append(np.full(n + 1, i))
-        at = pa.array(np.concatenate(owner))
-        yield pa.RecordBatch.from_arrays([pa.array(mix(np.concatenate(found)).view(np.int64)), pa.array(np.concatenate(places)), *[batch.column(i).take(at) for i in range(5)]], names=["variant", "position", *PLACE, "h"])
+    for batch in chunks(batches, "words", 1 << 17):
+        words = read_words(batch.column(batch.schema.get_field_index("words")).to_pylist())
+        n = np.diff(words.bounds, prepend=0)
+        first = words.bounds - n
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * _UP.upto(len(words.hashes)), dtype=np.uint64)])
+        line = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(words.hashes))
+        down = _DOWN.upto(len(words.hashes) + 1)
+        last = words.bounds[line]
+        without = ((sums[at] - sums[first[line]]) + (sums[last] - sums[at + 1]) * inverse) * down[first[line]]
+        whole = (sums[words.bounds] - sums[first]) * down[first]
+        index = pa.array(np.concatenate([line, np.arange(len(n))]))
+        variant = mix(np.concatenate([without + (n[line] - 1).astype(np.uint64), whole + n.astype(np.uint64)])).view(np.int64)
+        position = np.concatenate([at - first[line], np.full(len(n), -1)])
+        yield pa.RecordBatch.from_arrays([pa.array(variant), pa.array(position), batch.column(0).take(index)], names=["variant", "position", "rank"])
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -122,8 +138,8 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [within_one_edit(a.split(), b.split()) and max(a.count(b" "), b.count(b" ")) + 1 >= MIN_WORDS for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], names=["h"])
+        good = [within_one_edit(a.split(), b.split()) and max(a.count(b" "), b.count(b" ")) + 1 >= MIN_WORDS for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(good, pa.bool_())).select(LINE)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text") -> DataFrame:
@@ -141,39 +157,50 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only its earliest, and no pairs within groups are made. The texts of candidate pairs are compared in the end.
     """
     names = docs.columns
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = with_row_key(docs, id_col, text_col).withColumn("__doc", F.col(id_col))
     doc_type = source.schema["__doc"].dataType.simpleString()
     place_type = f"doc {doc_type}, __k1 long, __k2 long, line long"
 
-    lines = source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, h binary, halves array<long>")
-    place = F.struct(*PLACE)
-    first = lines.groupBy("h").agg(F.min(F.struct(*[F.col(c) for c in PLACE], "halves")).alias("f"), F.count("*").alias("n"))
-    halves = first.select("h", F.explode("f.halves").alias("half")).select("half", "h")
-    shared = halves.repartition(spread, "half").sortWithinPartitions("half").mapInArrow(_shared, "h binary").distinct()
-    marked = first.join(shared, "h").select(F.col("f.__k1").alias("__j1"), F.col("f.__k2").alias("__j2"), F.col("f.line").alias("line"))
-    listed = marked.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))  # of one document
-    on_row = lambda other: (source["__k1"] == other["__j1"]) & (source["__k2"] == other["__j2"])
-    texts = source.join(listed, on_row(listed)).mapInArrow(_marked_lines, f"{place_type}, h binary, words binary")
-    texts = texts.groupBy("h").agg(F.min(place).alias("p"), F.first("words").alias("words")).select("p.*", "h", "words")
-
-    variants = texts.mapInArrow(_variants, f"variant long, position long, {place_type}, h binary").select("variant", "position", place.alias("p"), "h")
-    deleted, whole = variants.where("position >= 0"), variants.where("position < 0")
-    earliest = deleted.groupBy("variant", "position").agg(F.min(F.struct("p", "h")).alias("e"), F.count("*").alias("n")).where("n > 1").select(F.col("variant").alias("v"), F.col("position").alias("at"), "e")
-    substituted = deleted.join(earliest, (F.col("variant") == F.col("v")) & (F.col("position") == F.col("at"))).where("h <> e.h").select("h", F.col("e.h").alias("other"))
-    whole = whole.select(F.col("variant").alias("v"), F.struct("p", "h").alias("w"))
-    inserted = deleted.select("variant", F.struct("p", "h").alias("d")).join(whole, F.col("variant") == F.col("v")).where("w.h <> d.h")
-    inserted = inserted.select(F.greatest("d", "w").alias("later"), F.least("d", "w").alias("sooner")).select(F.col("later.h").alias("h"), F.col("sooner.h").alias("other"))
-    pairs = substituted.unionByName(inserted).distinct()
-    words = texts.select(F.col("h").alias("t"), "words")
-    near = pairs.join(words, pairs["h"] == words["t"]).select("h", "other", F.col("words").alias("a"))
-    near = near.join(words, near["other"] == words["t"]).select("h", "a", F.col("words").alias("b"))
-    near = near.mapInArrow(_verified, "h binary").distinct().withColumn("near", F.lit(True))
-
-    ruled = first.join(near, "h", "left").where("n > 1 OR near").select(F.col("h").alias("rh"), F.struct(*[F.col(f"f.{c}") for c in PLACE]).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h", place.alias("p")).join(ruled, F.col("h") == F.col("rh")).where("near OR p > first").select(F.col("p.__k1").alias("__j1"), F.col("p.__k2").alias("__j2"), "p.line")
-    gone = gone.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))
-    joined = source.join(gone, on_row(gone), "left")
+    lines = written(source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, " + ", ".join(f"{c} long" for c in LINE + HALVES)))
+    distinct = lines.groupBy(*LINE).agg(*[F.min(c).alias(c) for c in HALVES])
+    halves = distinct.select(F.explode(F.array_compact(F.array(*HALVES))).alias("half"), *LINE)
+    shared = checkpoint(halves.repartition(spread, "half").sortWithinPartitions("half").mapInArrow(_shared, "h1 long, h2 long").distinct())
+    bits = spark.sparkContext.broadcast(_filter_of(shared))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "__text", PARSE_BYTES):
+            found = Lines.of(batch.column(0).to_pylist())
+            h1, h2 = found.keys()
+            at = np.nonzero(_passes(bits.value, h1))[0]
+            data = found.words.data.tobytes()
+            begin, end = found.words.starts[found.start[at]].tolist(), found.words.ends[found.end[at] - 1].tolist()
+            texts = [b" ".join(data[a:b].split()) for a, b in zip(begin, end)]
+            index = pa.array(found.text[at])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(found.number[at]), pa.array(h1[at]), pa.array(h2[at]), pa.array(texts, pa.binary())], names=[*PLACE, *LINE, "words"])
+
+    texts = source.select("__text", "__doc", *KEY).mapInArrow(candidates, f"{place_type}, h1 long, h2 long, words binary").join(shared, LINE, "left_semi")
+    texts = texts.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("p"), F.first("words").alias("words"))
+    # ranks follow the order of places: ranges of places, numbered, and rows numbered within them
+    texts = written(texts.repartitionByRange(spread, "p").sortWithinPartitions("p").select(F.monotonically_increasing_id().alias("rank"), *LINE, "words"))
+
+    variants = texts.select("rank", "words").mapInArrow(_variants, "variant long, position long, rank long")
+    deleted, whole = variants.where("position >= 0"), variants.where("position < 0").select(F.col("variant").alias("v"), F.col("rank").alias("other"))
+    earliest = deleted.groupBy("variant", "position").agg(F.min("rank").alias("other"), F.count("*").alias("n")).where("n > 1").select(F.col("variant").alias("v"), F.col("position").alias("at"), "other")
+    substituted = deleted.join(earliest, (F.col("variant") == F.col("v")) & (F.col("position") == F.col("at"))).select("rank", "other")
+    inserted = deleted.join(whole, F.col("variant") == F.col("v")).select(F.greatest("rank", "other").alias("rank"), F.least("rank", "other").alias("other"))
+    pairs = substituted.unionByName(inserted).where("rank > other").distinct()
+    words = texts.select(F.col("rank").alias("t"), "words", *LINE)
+    near = pairs.join(words, pairs["rank"] == words["t"]).select("other", *LINE, F.col("words").alias("a"))
+    near = near.join(words.drop(*LINE), near["other"] == words["t"]).select("a", F.col("words").alias("b"), *LINE)
+    near = near.mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+
+    first = lines.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
+    ruled = first.join(near, LINE, "left").where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.join(ruled, LINE).where(F.col("near") | (F.struct(*PLACE) > F.col("first"))).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "line")
+    gone = gone.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))  # of one document
+    joined = source.join(gone, (source["__k1"] == gone["__j1"]) & (source["__k2"] == gone["__j2"]), "left")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(out)).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
