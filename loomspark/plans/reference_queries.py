@@ -1,9 +1,44 @@
-"""Queries over the driver's tables, one or more for each operator family."""
+"""Queries over the driver's tables, one or more for each operator family.
+
+The tables hold no images or edit records, so each operator runs on an analogous table; every one has oracle SQL
+unless it draws on Python or on streams. Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from loomspark.functions import geometry as G
+from loomspark.functions import judge as J
+from loomspark.functions import text as X
+from loomspark.functions import vector as V
+from loomspark.operators import aggregates as A
+from loomspark.operators import lookup as L
+from loomspark.operators import mixing as M
+from loomspark.operators import rules as R
+from loomspark.operators import sampling as S
+from loomspark.operators import scorers as C
 from loomspark.plans.catalog import query
-from loomspark.session import views
+from loomspark.session import table
+from loomspark.sources import files as FS
+
+
+def _u(seed: str, key: str) -> str:
+    """DuckDB form of sampling.draw."""
+    return f"((('0x' || substr(md5('{seed}' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT + 1) / 4294967297.0)"
+
+
+def _i(seed: str, key: str, n: str) -> str:
+    """DuckDB form of sampling.draw_int."""
+    return f"(('0x' || substr(md5('{seed}' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT % ({n}))"
+
+
+def _scored(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "lang", "source", F.array("quality", "toxic").alias("score"))
+
+
+# ---------------------------------------------------------------- score reports
 
 _SCORE_REPORT = """
 WITH scored AS (
@@ -19,7 +54,844 @@ FROM long_form GROUP BY GROUPING SETS ((lang, pos), (pos))
 
 
 @query(_SCORE_REPORT)
-def score_report_by_lang(spark, sf_dir):
-    """First-wins de-dup per file, then means by language and in total in one grouping-sets pass."""
-    views(spark, sf_dir, "documents", "labels")
-    return spark.sql(_SCORE_REPORT)
+def score_report_by_lang(spark, d):
+    """First-wins de-dup per file, then means by language and in total in one grouping-sets pass."""
+    first = L.first_wins(_scored(spark, d), ["source", "text"], ["doc_id"])
+    return A.score_means(first, "lang").select("lang", "pos", F.col("mean").alias("mean_score"), "n")
+
+
+@query("""SELECT source, round(avg(quality), 6) AS mean_quality, round(avg(toxic), 6) AS mean_toxic, round(avg(quality) + avg(toxic), 3) AS total
+FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def score_mean_by_source(spark, d):
+    """Per-task means and their rounded sum (A3, A4)."""
+    q, t = F.avg(F.col("score")[0]), F.avg(F.col("score")[1])
+    return _scored(spark, d).groupBy("source").agg(F.round(q, 6).alias("mean_quality"), F.round(t, 6).alias("mean_toxic"), F.round(q + t, 3).alias("total"))
+
+
+@query("""SELECT doc_id, round(sqrt(least(quality, toxic + 1)::DOUBLE * least(quality + 3, toxic + 2)::DOUBLE), 6) AS overall FROM labels""")
+def overall_score(spark, d):
+    """Square root of the product of two minima."""
+    r = table(spark, d, "labels")
+    return r.select("doc_id", F.round(A.overall(F.array("quality", F.col("toxic") + 1), F.array(F.col("quality") + 3, F.col("toxic") + 2)), 6).alias("overall"))
+
+
+@query("""SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY source, text""")
+def firstwins_dedup(spark, d):
+    """The first of equal instructions of a file."""
+    return L.first_wins(table(spark, d, "documents").select("source", "text", "doc_id"), ["source", "text"], ["doc_id"])
+
+
+@query("""SELECT conv_id, role, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY conv_id, role""")
+def lastwins_resume(spark, d):
+    """Later lines overwrite earlier ones."""
+    return L.last_wins(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "role", "text", "turn")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark, d):
+    """What has no result yet."""
+    return L.not_done(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def reuse_scores(spark, d):
+    """Scores that exist are taken over."""
+    return L.reused(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "quality")
+
+
+_TASKS = "(VALUES ('PROMO', 1), ('ECONOMY', 2), ('SMALL', 3), ('LARGE', 4))"
+
+
+@query(f"SELECT p_partkey, p_type, CAST(coalesce(t.id, 0) AS INT) AS task_id FROM part LEFT JOIN {_TASKS} t(alias, id) ON p_type = alias")
+def task_lookup(spark, d):
+    """Alias to id by a broadcast table, unknown to 0."""
+    tasks = spark.createDataFrame([("PROMO", 1), ("ECONOMY", 2), ("SMALL", 3), ("LARGE", 4)], "alias string, task_id int")
+    return R.with_task_id(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", tasks)
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang NOT IN ('fr', 'de') AND NOT contains(source, '1')")
+def stoplist_exclude(spark, d):
+    """Stop-list anti join and substring exclusion."""
+    stop = spark.createDataFrame([("fr",), ("de",)], "lang string")
+    return table(spark, d, "documents").join(F.broadcast(stop), "lang", "left_anti").where(~F.contains("source", F.lit("1"))).select("doc_id", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'es')")
+def allowed_only(spark, d):
+    """Only members of an allow-list (U4)."""
+    allowed = spark.createDataFrame([("en",), ("es",)], "lang string")
+    return table(spark, d, "documents").join(F.broadcast(allowed), "lang", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT source, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT source, doc_id FROM documents WHERE n_chars > 100")
+def union_roots(spark, d):
+    """Concatenated roots, repeats kept."""
+    r = table(spark, d, "documents")
+    return r.where("lang = 'en'").select("source", "doc_id").unionByName(r.where("n_chars > 100").select("source", "doc_id"))
+
+
+# ---------------------------------------------------------------- gates
+
+_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_QAC = "l_tax * 50 AS q, l_quantity / 10 AS a, l_discount * 10 AS c"
+
+
+def _line(spark, d):
+    return table(spark, d, "lineitem").select(*_KEY.split(", "), "l_returnflag", (F.col("l_tax") * 50).alias("q"), (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 10).alias("c"))
+
+
+@query(f"""SELECT {_KEY}, CASE l_returnflag
+  WHEN 'A' THEN NOT coalesce(l_quantity + l_linenumber < 20, false)
+  WHEN 'N' THEN NOT (l_tax * 50 < 1 OR l_quantity / 10 < 1.5 OR l_discount * 10 < 0.2 OR l_quantity < 9)
+  ELSE true END AS admitted FROM lineitem""")
+def admission_rules(spark, d):
+    """One boolean case expression by label."""
+    r = table(spark, d, "lineitem")
+    rule = F.when(F.col("l_returnflag") == "A", ~F.coalesce(F.col("l_quantity") + F.col("l_linenumber") < 20, F.lit(False))).when(
+        F.col("l_returnflag") == "N", R.quality_gate(F.col("l_tax") * 50, F.col("l_quantity") / 10, F.col("l_discount") * 10, (1.0, 1.5, 0.2)) & (F.col("l_quantity") >= 9)
+    )
+    return r.select(*_KEY.split(", "), rule.otherwise(True).alias("admitted"))
+
+
+@query(f"SELECT {_KEY} FROM (SELECT {_KEY}, {_QAC} FROM lineitem) t WHERE NOT (q < 3 OR a < 4 OR c < 0.5)")
+def input_gate(spark, d):
+    """Three scores, any of which rejects."""
+    r = _line(spark, d)
+    return r.where(R.quality_gate(F.col("q"), F.col("a"), F.col("c"), R.INPUT_LEAST["bagel"])).select(*_KEY.split(", "))
+
+
+@query(f"""SELECT {_KEY} FROM (SELECT {_KEY}, {_QAC}, l_linenumber % 2 AS z FROM lineitem) t
+WHERE NOT (a + 1 < 5 OR q + 2 < 3.5 OR q - (q + 2) > 0.2 OR a - (a + 1) > 0.2 OR c - c * z > 0.028)""")
+def drop_gate(spark, d):
+    """Scores may fall by little."""
+    r = _line(spark, d)
+    q, a, c, z = F.col("q"), F.col("a"), F.col("c"), F.col("l_linenumber") % 2
+    return r.where(R.drop_gate((q, q + 2), (a, a + 1), (c, c * z))).select(*_KEY.split(", "))
+
+
+@query(f"""SELECT {_KEY} FROM (SELECT {_KEY}, {_QAC} FROM lineitem) t WHERE NOT (abs(q - 1) < 0.02 OR abs(c - 0.5) < 0.008 OR abs(a - 3) < 0.02)""")
+def nochange_gate(spark, d):
+    """Edits that change next to nothing (F8)."""
+    one = lambda v: F.lit(v)
+    r = _line(spark, d)
+    return r.where(R.change_gate((F.col("q"), one(1.0)), (F.col("a"), one(3.0)), (F.col("c"), one(0.5)))).select(*_KEY.split(", "))
+
+
+@query(f"""SELECT {_KEY} FROM (SELECT {_KEY}, l_quantity / 50 AS d, 1 - l_discount AS i, l_tax * 4 AS t FROM lineitem) s
+WHERE NOT ((d > 0.95 AND i > 0.95) OR d < 0.8 OR i < 0.65 OR t < 0.23 OR d > 0.99 OR i > 0.99)""")
+def band_gate(spark, d):
+    """Similarity band of subject pairs."""
+    r = table(spark, d, "lineitem")
+    return r.where(R.subject_band(F.col("l_quantity") / 50, 1 - F.col("l_discount"), F.col("l_tax") * 4)).select(*_KEY.split(", "))
+
+
+@query(f"""SELECT {_KEY} FROM (SELECT {_KEY}, l_quantity / 50 AS d, 1 - l_discount AS i, l_tax * 4 AS t FROM lineitem) s WHERE NOT (d > 0.95 OR i > 0.95 OR t < 0.2)""")
+def style_gate(spark, d):
+    """Similarity band of style pairs."""
+    r = table(spark, d, "lineitem")
+    return r.where(R.style_band(F.col("l_quantity") / 50, 1 - F.col("l_discount"), F.col("l_tax") * 4)).select(*_KEY.split(", "))
+
+
+@query("SELECT p_partkey, p_size * p_retailprice >= 30000 AS area_ok, p_size >= 20 AND p_retailprice >= 1000 AS side_ok FROM part")
+def min_side_area(spark, d):
+    """Smallest side and area."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", R.area_gate(F.col("p_size"), F.col("p_retailprice"), 30000).alias("area_ok"), ((F.col("p_size") >= 20) & (F.col("p_retailprice") >= 1000)).alias("side_ok"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality + toxic >= 2")
+def sum_score_gate(spark, d):
+    """Sum of a score list."""
+    return table(spark, d, "labels").where(R.score_gate(F.array("quality", "toxic"), 2)).select("doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size / 20.0 <= 1.3 AND 20.0 / p_size <= 1.3")
+def aspect_limit(spark, d):
+    """Aspect limit."""
+    return table(spark, d, "part").where(R.aspect_ok(F.col("p_size").cast("double"), F.lit(20.0), 1.3)).select("p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice < 100000 OR o_orderpriority IS NULL AS source_ok, CASE WHEN o_totalprice / 500000 BETWEEN 0.02 AND 0.35 THEN 1 ELSE 0 END AS mask_ok FROM orders")
+def mask_and_source_gates(spark, d):
+    """Area ratio between bounds; a missing score passes."""
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", ((F.col("o_totalprice") < 100000) | F.col("o_orderpriority").isNull()).alias("source_ok"), R.mask_gate(F.col("o_totalprice") / 500000).cast("int").alias("mask_ok"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * l_quantity / l_quantity >= 0.05 AS overlap_ok, l_quantity / 1000 >= 0.01 AS region_ok FROM lineitem WHERE l_quantity >= 1")
+def overlap_region_gates(spark, d):
+    """Overlap share and region share."""
+    r = table(spark, d, "lineitem").where("l_quantity >= 1")
+    return r.select(*_KEY.split(", "), (F.try_divide(F.col("l_discount") * F.col("l_quantity"), F.col("l_quantity")) >= 0.05).alias("overlap_ok"), R.region_gate(F.col("l_quantity"), F.lit(1000)).alias("region_ok"))
+
+
+@query("SELECT p_partkey, len(string_split(p_name, ' ')) <= 2 AS tags_ok, abs(length(p_name) - length(p_type)) <= 3 AS length_ok FROM part")
+def tag_length_gates(spark, d):
+    """Tag count and text length difference."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", R.tag_gate(F.split("p_name", " "), 2).alias("tags_ok"), R.length_gate(F.col("p_name"), F.col("p_type")).alias("length_ok"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'no') AS has_no, regexp_matches(lower(text), '\\bno\\b') AS word_no FROM conversations")
+def yes_no_gate(spark, d):
+    """Answers with "no" as letters or as a word."""
+    return table(spark, d, "conversations").select("conv_id", "turn", J.answers_no(F.col("text")).alias("has_no"), J.answers_no(F.col("text"), True).alias("word_no"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(len(list_filter([l_discount, l_tax, l_quantity / 50], lambda x: x > 0.05)) AS INT) AS kept FROM lineitem""")
+def detection_filter(spark, d):
+    """Detections over a threshold."""
+    r = table(spark, d, "lineitem")
+    boxes = F.transform(F.array("l_discount", "l_tax", F.col("l_quantity") / 50), lambda x: F.struct(x.alias("box_score"), F.lit(1.0).alias("text_score")))
+    return r.select(*_KEY.split(", "), F.size(R.detections(boxes, 0.05, 0.25)).alias("kept"))
+
+
+# ---------------------------------------------------------------- buckets, batches, mixing
+
+_BUCKET_LIST = ", ".join(f"({i}, {w}, {h})" for i, (w, h) in enumerate(R.BUCKETS))
+_NEAREST = f"""SELECT p_partkey, CAST(arg_min(i, (abs(w::DOUBLE / h - p_size / 20.0::DOUBLE), i)) AS INT) AS bucket_id, round(min(abs(w::DOUBLE / h - p_size / 20.0::DOUBLE)) + 0.0, 6) AS bucket_error
+FROM part, (VALUES {_BUCKET_LIST}) b(i, w, h) GROUP BY p_partkey"""
+
+
+def _with_buckets(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("w"), F.lit(20).alias("h"))
+    return R.bucketed(p, "w", "h")
+
+
+@query(_NEAREST)
+def bucket_nearest(spark, d):
+    """Nearest of the fixed aspect buckets, first of ties."""
+    return _with_buckets(spark, d).select("p_partkey", "bucket_id", F.round("bucket_error", 6).alias("bucket_error"))
+
+
+@query(f"SELECT p_partkey FROM ({_NEAREST}) t WHERE bucket_error < 0.1")
+def bucket_error_gate(spark, d):
+    """Rows far from every bucket go."""
+    return _with_buckets(spark, d).where(F.round("bucket_error", 6) < 0.1).select("p_partkey")
+
+
+@query(f"""SELECT bucket_id, CAST(floor(count(*) / 8) AS BIGINT) AS batches, CAST(floor(count(*) / 8) * 8 AS BIGINT) AS rows_kept FROM ({_NEAREST}) t GROUP BY bucket_id HAVING count(*) >= 8""")
+def bucket_batches(spark, d):
+    """Homogeneous batches of eight; only the last partial batch of a bucket goes."""
+    b = M.batches(_with_buckets(spark, d), "bucket_id", 8, "42", "p_partkey")
+    per = b.groupBy("bucket_id", "batch").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots")).where("n = 8 AND slots = 8")
+    return per.groupBy("bucket_id").agg(F.count("*").alias("batches"), F.sum("n").alias("rows_kept"))
+
+
+@query()
+def weighted_mix(spark, d):
+    """Batches of languages in an order drawn by weights (M3, T12); checked by property tests."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    mixed = M.multiplexed(M.batches(docs, "lang", 4, "7", "doc_id"), "lang", {"en": 0.6, "fr": 0.2, "de": 0.1, "es": 0.1}, "7")
+    return mixed.select("doc_id", "lang", "batch", "slot", F.round("position", 6).alias("position"))
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey - 1) % 7 AS INT) AS worker FROM orders WHERE (o_orderkey - 1) % 7 = 3")
+def strided_shard(spark, d):
+    """Every n-th row for one worker (M7)."""
+    o = table(spark, d, "orders").select("o_orderkey", M.round_robin(F.col("o_orderkey"), 7).alias("worker"))
+    return M.strided(o, "o_orderkey", 7, 3)
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 5 AS INT) AS style FROM orders")
+def round_robin(spark, d):
+    """Styles in turn."""
+    return S.with_rank(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "r").select("o_orderkey", M.round_robin(F.col("r"), 5).alias("style"))
+
+
+@query("SELECT doc_id, lpad(CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR), 9, '0') AS key FROM documents")
+def running_keys(spark, d):
+    """Zero-padded running keys."""
+    return S.sequence_keys(table(spark, d, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) - 1 AS INT) AS part FROM documents")
+def array_split(spark, d):
+    """Contiguous near-equal parts."""
+    return S.contiguous_split(table(spark, d, "documents").select("doc_id"), 7, ["doc_id"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def demux_counts(spark, d):
+    """Rows dealt to their classes (M2)."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
+    pipes = M.demultiplexed(table(spark, d, "events"), kind, len(kinds))
+    out = None
+    for i, pipe in pipes.items():
+        part = pipe.select(F.lit(kinds[i]).alias("event_type"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- sampling
+
+@query(f"SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln({_u('w', 'doc_id')}) / n_chars, doc_id LIMIT 20")
+def weighted_sample(spark, d):
+    """Twenty rows drawn in proportion to a weight, without replacement."""
+    return S.weighted_sample(table(spark, d, "documents"), "w", "doc_id", F.col("n_chars"), 20).select("doc_id")
+
+
+@query(f"SELECT doc_id, {_u('c', 'doc_id')} < 0.3 AS heads FROM documents")
+def bernoulli_coin(spark, d):
+    """A hashed coin."""
+    return table(spark, d, "documents").select("doc_id", S.coin("c", F.col("doc_id"), 0.3).alias("heads"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_u('s', 'doc_id')} < 0.9 THEN 'train' ELSE 'val' END AS part FROM documents")
+def hash_split(spark, d):
+    """Train and validation by hash."""
+    return table(spark, d, "documents").select("doc_id", S.split_by_hash("s", F.col("doc_id"), {"train": 0.9, "val": 0.1}).alias("part"))
+
+
+@query(f"""SELECT doc_id, CAST(len(list_distinct([w[{_i('d0', 'doc_id', 'len(w)')} + 1], w[{_i('d1', 'doc_id', 'len(w)')} + 1], w[{_i('d2', 'doc_id', 'len(w)')} + 1]])) AS INT) AS kept
+FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents) t""")
+def k_draws_dedup(spark, d):
+    """Three draws with replacement, repeats dropped."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("w"))
+    return docs.select("doc_id", F.size(S.draws_with_replacement("d", F.col("doc_id"), F.col("w"), 3)).alias("kept"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(list_sort(list_transform(range(len(w)), lambda i: {'o': md5('e' || CAST(p_partkey AS VARCHAR) || '/' || CAST(i AS VARCHAR)), 'v': w[i + 1]}))[1:2], lambda s: s.v), ' ') AS words
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) t""")
+def sample_entries(spark, d):
+    """min(n, size) entries without replacement."""
+    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return p.select("p_partkey", F.array_join(S.draws_without_replacement("e", F.col("p_partkey"), F.col("w"), 2), " ").alias("words"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('42' || CAST(doc_id AS VARCHAR)), doc_id) AS BIGINT) AS place FROM documents")
+def shuffled_order(spark, d):
+    """A seeded order (T6, M6): the place of each row in it."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.concat(F.lit("42"), F.col("doc_id").cast("string"))).alias("h"))
+    prefix = docs.withColumn("p", F.conv(F.substring("h", 1, 8), 16, 10).cast("long"))
+    return S.with_rank(prefix, ["p", "h", "doc_id"], "place").select("doc_id", "place")
+
+
+@query(f"SELECT doc_id, CASE WHEN {_u('capblank', 'doc_id')} < 0.1 THEN ' ' ELSE [lang, source, 'x'][{_i('cap', 'doc_id', '3')} + 1] END AS caption FROM documents")
+def caption_choice(spark, d):
+    """One of several captions, a tenth blank."""
+    return table(spark, d, "documents").select("doc_id", S.caption_choice("cap", F.col("doc_id"), F.array("lang", "source", F.lit("x"))).alias("caption"))
+
+
+@query(f"SELECT p_partkey, CAST(16 * (8 + {_i('r', 'p_partkey', '25')}) AS INT) AS side, CAST(CASE WHEN p_size > 10 THEN {_i('o', 'p_partkey', 'p_size - 10 + 1')} ELSE 0 END AS INT) AS crop_at FROM part")
+def random_sizes(spark, d):
+    """Random resolutions and crop offsets."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", S.random_side("r", F.col("p_partkey"), 8, 32).alias("side"), S.crop_offset("o", F.col("p_partkey"), F.col("p_size"), F.lit(10)).alias("crop_at"))
+
+
+# ---------------------------------------------------------------- top-k and windows
+
+@query(f"SELECT {_KEY}, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, {_KEY}) AS rn FROM lineitem) t WHERE rn <= 3")
+def topk_per_group(spark, d):
+    """The three largest of each group (T4)."""
+    order = [F.col("l_extendedprice").desc(), *map(F.col, _KEY.split(", "))]
+    w = Window.partitionBy("l_suppkey").orderBy(*order)
+    return table(spark, d, "lineitem").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(*_KEY.split(", "), "l_extendedprice")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) t WHERE rn <= 2")
+def newest_n_retention(spark, d):
+    """The newest two of each group by numeric suffix."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))
+    return L.newest(o.withColumn("step", L.step_number(F.col("name"))), ["o_custkey"], "step", 2).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
+def first_passing_candidate(spark, d):
+    """The first candidate that passes."""
+    return table(spark, d, "lineitem").where("l_discount > 0.05 AND l_tax < 0.06").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+
+
+@query("SELECT l_orderkey, max(l_quantity) AS area, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def max_area_region(spark, d):
+    """The largest region, first of ties."""
+    r = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("area"), F.col("l_linenumber").alias("n"), "l_linenumber")
+    return A.largest_region(r, ["l_orderkey"], "area", "n", "l_linenumber").select("l_orderkey", "area", "l_linenumber")
+
+
+@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS n FROM events)
+SELECT a.event_id, round(count(*) FILTER (b.event_type = a.event_type) / count(*), 6) AS share
+FROM r a JOIN r b ON b.n BETWEEN a.n - 99 AND a.n GROUP BY a.event_id""")
+def rolling_type_share(spark, d):
+    """Share of a row's kind among the last hundred."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    return A.rolling_share(e, ["event_id"], "event_type", 100).select("event_id", F.round("share", 6).alias("share"))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share, round(1 - count(*) / (SELECT count(*) FROM events), 6) AS weight FROM events GROUP BY event_type")
+def type_proportions(spark, d):
+    """Counts, shares and inverse-frequency weights."""
+    f = S.inverse_frequency(table(spark, d, "events"), "event_type")
+    return f.select("event_type", "n", F.round("share", 6).alias("share"), F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT CAST(coalesce(min(n), 1) AS BIGINT) AS next FROM (SELECT range AS n FROM range(1, 2000)) t WHERE n NOT IN (SELECT o_custkey FROM orders)")
+def next_free_number(spark, d):
+    """The smallest free sequence number (K9)."""
+    return L.next_free(table(spark, d, "orders"), "o_custkey")
+
+
+# ---------------------------------------------------------------- JSON and judge answers
+
+@query("SELECT event_id, k AS name, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) t WHERE json_extract_string(props, '$.' || k) IS NOT NULL AND json_extract_string(props, '$.' || k) <> ''")
+def explode_instructions(spark, d):
+    """A JSON dictionary to rows, empty values dropped."""
+    e = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    kept = F.map_filter("m", lambda k, v: v.isNotNull() & (v != ""))
+    return e.select("event_id", F.explode(kept).alias("name", "v"))
+
+
+@query("SELECT event_id, coalesce(json_extract(props, '$.k') IS NOT NULL, false) AS has_k, coalesce(json_extract(props, '$.zz') IS NOT NULL, false) AS has_zz FROM events")
+def json_haskey(spark, d):
+    """Whether a JSON object has a key."""
+    return table(spark, d, "events").select("event_id", J.has_key(F.col("props"), "k").alias("has_k"), J.has_key(F.col("props"), "zz").alias("has_zz"))
+
+
+# Literal judge answers, one for each rule.
+ANSWERS = [
+    "Score 1: 4\nScore 2: 5\nScore 10: 3\nScore 3:2", "[8, 9] ok", "score = [ 7 ,10 ]", "[8.5, 9]", "[1,2,3]", "none", '{"score": [7, 8], "reasoning": "x"}',
+    '{"score": 7, "reasoning": "x"}', "[6, 0]", "5", "11", "free text", '||V^=^V||{"score": [3, 4], "reasoning": "d"}||V^=^V||', "a ```json\n{\"a\": 1}\n``` b", "rate_limit_exceeded",
+    "Edit score: 4 (good)\nQuality score: 3\nremark: none", "score1: 3, score2: 11", "[score1: 3, score2: 4]",
+]
+_ANSWERS_SQL = "(VALUES " + ", ".join(f"({i}, '{a.replace(chr(39), chr(39) * 2)}')" for i, a in enumerate(ANSWERS)) + ") t(id, a)"
+
+
+def _answers(spark):
+    return spark.createDataFrame(list(enumerate(ANSWERS)), "id int, a string")
+
+
+@query(rf"""SELECT id, array_to_string(regexp_extract_all(a, 'Score \d: (\d+)', 1), ',') AS numbered,
+CASE WHEN regexp_matches(a, '\[\s*\d+\s*,\s*\d+\s*\]') THEN regexp_extract(a, '\[\s*(\d+)\s*,\s*(\d+)\s*\]', 1) || ',' || regexp_extract(a, '\[\s*(\d+)\s*,\s*(\d+)\s*\]', 2) END AS pair,
+CASE WHEN regexp_matches(a, '(?s)```json.*?```') THEN regexp_extract(a, '(?s)```json(.*?)```', 1) END AS fenced FROM {_ANSWERS_SQL}""")
+def score_regex(spark, d):
+    """Numbered scores, pairs and fenced JSON."""
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _answers(spark).select("id", join(J.numbered_scores(F.col("a"))).alias("numbered"), join(J.score_pair(F.col("a"))).alias("pair"), J.fenced_json(F.col("a")).alias("fenced"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {v!r})" if v else f"({i}, NULL)" for i, v in enumerate([None, "8.0,9.0", None, None, None, None, "7.0,8.0", "7.0", "6.0,0.0", "5.0", None, None, "3.0,4.0", None, None, None, None, None])) + ") t(id, score)")
+def judge_parse(spark, d):
+    """Tolerant answers by the first rule that holds; nothing is guessed."""
+    parsed = J.parse_answer(F.col("a"))["score"]
+    return _answers(spark).select("id", F.array_join(F.transform(parsed, lambda x: x.cast("string")), ",").alias("score"))
+
+
+@query(rf"""SELECT id, coalesce(regexp_matches(a, '^\s*\+?\d+\s*$') AND try_cast(trim(a) AS INT) BETWEEN 0 AND 10, false) AS is_score, a IN ('[6, 0]', '[1,2,3]') AS is_list, a = '[score1: 3, score2: 4]' AS is_named, contains(a, '||V^=^V||') AS is_delimited FROM {_ANSWERS_SQL}""")
+def score_validators(spark, d):
+    """Format checks."""
+    a = F.col("a")
+    return _answers(spark).select("id", J.is_score(a).alias("is_score"), J.is_score_list(a).alias("is_list"), J.is_named_scores(a).alias("is_named"), J.delimited(a).alias("is_delimited"))
+
+
+@query(f"SELECT id, CASE WHEN id = 15 THEN '4.0,3.0' WHEN id = 16 THEN '' WHEN id = 0 THEN '4.0,5.0,3.0' ELSE '' END AS values FROM {_ANSWERS_SQL} WHERE id IN (0, 1, 5, 15)")
+def line_score_parse(spark, d):
+    """Values of lines that split in two."""
+    return _answers(spark).where(F.col("id").isin(0, 1, 5, 15)).select("id", F.array_join(F.transform(J.line_scores(F.col("a")), lambda x: x.cast("string")), ",").alias("values"))
+
+
+@query("SELECT * FROM (VALUES (0, '{\"score\": [7],\"reasoning\": \"good\"}'), (1, NULL)) t(id, fixed)")
+def relaxed_json(spark, d):
+    """Relaxed JSON made strict."""
+    rows = spark.createDataFrame([(0, "{score: 7,reasoning: good}"), (1, "no json")], "id int, a string")
+    return rows.select("id", J.repair_json("a").alias("fixed"))
+
+
+@query()
+def score_log_lines(spark, d):
+    """Valid lines of a score log."""
+    lines = ["Add a hat\t[5, 4]", "Add a hat\t[1, 1]", "改成蓝色\t[3, 3]", "X改\t[2, 4]", "final score: [3.0, 3.0, 6.0]", "broken line"]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
+    parsed = L.first_wins(FS.parse_score_lines(rows), ["file", "instruction"], ["line_no"])
+    return parsed.select("line_no", "instruction", X.script_language(F.col("instruction")).alias("lang"), F.array_join(F.transform("score", lambda x: x.cast("string")), ",").alias("score"))
+
+
+# ---------------------------------------------------------------- text
+
+@query(r"""SELECT doc_id, md5(lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g'))) AS plain, md5(replace(replace(replace(text, chr(10), ''), '```json', ''), '```', '')) AS unfenced,
+lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) <> lower(regexp_replace(lang, '[^a-zA-Z0-9]', '', 'g')) AS differs FROM documents""")
+def text_normalise(spark, d):
+    """Letters and digits only; fences and line ends removed; inequality."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(X.normalised(t)).alias("plain"), F.md5(X.unfenced(t)).alias("unfenced"), (X.normalised(t) != X.normalised(F.col("lang"))).alias("differs"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '[a-zA-Z]') AS latin, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS han, regexp_matches(text, '[\x{4e00}-\x{9fa5}]') AS han_narrow, CASE WHEN length(text) = 0 THEN NULL ELSE 'en' END AS lang_class FROM documents")
+def contains_script(spark, d):
+    """Scripts that a text has."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.has_latin(t).alias("latin"), X.has_han(t).alias("han"), X.has_han_narrow(t).alias("han_narrow"), X.script_language(t).alias("lang_class"))
+
+
+@query("""SELECT page_id, regexp_extract_all(html, '["“”]([^"“”]*)["“”]', 1)[-1] AS last, regexp_extract_all(html, '["“”]([^"“”]*)["“”]', 1)[-2] AS second_last FROM pages""")
+def quoted_substring(spark, d):
+    """Last quoted substrings."""
+    return table(spark, d, "pages").select("page_id", X.quoted(F.col("html")).alias("last"), X.quoted(F.col("html"), 2).alias("second_last"))
+
+
+@query()
+def sentences(spark, d):
+    """Stretches from a capital to a full stop (X13); look-ahead is beyond DuckDB's expressions."""
+    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"), F.try_element_at(X.sentences(F.col("text")), F.lit(1)).alias("first"))
+
+
+@query("SELECT p_partkey, contains(p_name, string_split(p_name, ' ')[1]) AS found, replace('Change <color> of <thing>', '<color>', p_type) AS half, replace(replace('Change <color> of <thing>', '<color>', p_type), '<thing>', p_name) AS prompt FROM part")
+def template_and_ocr(spark, d):
+    """Templates filled, text found in text."""
+    p = table(spark, d, "part")
+    tpl = F.lit("Change <color> of <thing>")
+    return p.select("p_partkey", F.contains("p_name", F.split("p_name", " ")[0]).alias("found"), X.fill_template(tpl, color=F.col("p_type")).alias("half"), X.fill_template(tpl, color=F.col("p_type"), thing=F.col("p_name")).alias("prompt"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g'))) AS canonical FROM documents""")
+def canonical_text(spark, d):
+    """Punctuation removed, white space folded."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.canonical(F.col("text"))).alias("canonical"))
+
+
+@query("""SELECT p_partkey, array_to_string(string_split(p_type, ''), '  ') AS spaced, CASE WHEN trim(lower(p_name)) LIKE '%.' THEN trim(lower(p_name)) ELSE trim(lower(p_name)) || '.' END AS caption,
+'''' || array_to_string(string_split(p_name, ' '), ''', ''') || '''' AS quoted FROM part""")
+def caption_forms(spark, d):
+    """Spaced letters, closed captions, quoted words."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", X.spaced(F.col("p_type"), 2).alias("spaced"), X.caption(F.col("p_name")).alias("caption"), X.quote_words(F.split("p_name", " ")).alias("quoted"))
+
+
+@query("SELECT c_custkey, 'Delete ' || c_mktsegment || ' in the picture' AS removal, 'Convert the image to a ' || replace(string_split(c_name, '_rank')[1], '_', ' ') || ' style' AS style, string_split(c_name, '#')[-1] AS tail FROM customer")
+def instruction_builders(spark, d):
+    """Instruction texts, style names, last path segments."""
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.concat(F.lit("Delete "), "c_mktsegment", F.lit(" in the picture")).alias("removal"), F.concat(F.lit("Convert the image to a "), X.style_name(F.col("c_name")), F.lit(" style")).alias("style"), F.element_at(F.split("c_name", "#"), -1).alias("tail"))
+
+
+@query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(substr(text, 1, 30))) AS url FROM documents")
+def data_url(spark, d):
+    """Base64 data URLs."""
+    return table(spark, d, "documents").select("doc_id", X.data_url(F.substring("text", 1, 30).cast("binary")).alias("url"))
+
+
+@query("SELECT page_id, string_split(string_split(html, '</title>')[1], '<title>')[2] AS title, array_to_string(list_transform(string_split(url, '/'), lambda x: trim(x)), '|') AS parts FROM pages")
+def between_markers(spark, d):
+    """Text between markers; trimmed parts."""
+    return table(spark, d, "pages").select("page_id", X.between(F.col("html"), "<title>", "</title>").alias("title"), F.array_join(X.parts(F.col("url"), "/"), "|").alias("parts"))
+
+
+@query()
+def prompt_pieces(spark, d):
+    """Quote-aware prompt split."""
+    rows = spark.createDataFrame([(0, "x" * 156 + '"ab" end'), (1, 'a "b" c'), (2, "")], "id int, p string")
+    return rows.select("id", F.array_join(X.split_prompt("p"), "|").alias("pieces"))
+
+
+# ---------------------------------------------------------------- geometry
+
+@query("""SELECT p_partkey, CAST(round_even(p_size / 16.0, 0) * 16 AS INT) AS m16, CAST(CASE WHEN p_size % 8 >= 4 THEN p_size + 8 - p_size % 8 ELSE p_size - p_size % 8 END AS INT) AS m8,
+CAST(ceil(p_size / 32.0) * 32 AS INT) AS up32, CAST(floor(p_retailprice / 32.0) * 32 AS INT) AS down32, CASE WHEN p_size > 25 THEN 'horizontal' ELSE 'vertical' END AS direction FROM part""")
+def round_dims(spark, d):
+    """Roundings and the merge direction."""
+    p = table(spark, d, "part")
+    n, r = F.col("p_size"), F.col("p_retailprice")
+    return p.select("p_partkey", G.multiple_of_16(n).alias("m16"), G.multiple_of_8(n).alias("m8"), G.ceil_to(n, 32).alias("up32"), G.floor_to(r, 32).alias("down32"), G.concat_direction(n, F.lit(25)).alias("direction"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_size * 10 AS w, CAST(floor(p_retailprice) AS INT) AS h FROM part), s AS (SELECT *, w::DOUBLE / h AS r FROM t)
+SELECT p_partkey, CAST(floor((CASE WHEN w > h THEN ceil(sqrt(262144.0 * r)) ELSE ceil(ceil(sqrt(262144.0 / r)) * r) END) / 16) * 16 AS INT) AS aw,
+CAST(floor((CASE WHEN w > h THEN ceil(ceil(sqrt(262144.0 * r)) / r) ELSE ceil(sqrt(262144.0 / r)) END) / 16) * 16 AS INT) AS ah,
+CAST(CASE WHEN floor(w * 512 / h::DOUBLE) >= 512 THEN floor(w * 512 / h::DOUBLE) ELSE 512 END AS INT) AS sw, CAST(CASE WHEN floor(w * 512 / h::DOUBLE) >= 512 THEN 512 ELSE floor(h * 512 / w::DOUBLE) END AS INT) AS sh FROM s""")
+def resize_dims(spark, d):
+    """Resizes by area and by the shorter side."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 10).alias("w"), F.floor("p_retailprice").cast("int").alias("h"))
+    area, side = G.area_resize(F.col("w"), F.col("h")), G.shorter_side_resize(F.col("w"), F.col("h"))
+    return p.select("p_partkey", area["w"].alias("aw"), area["h"].alias("ah"), side["w"].alias("sw"), side["h"].alias("sh"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_discount - l_tax / 2) * 640, 4) + 0.0 AS x0, round((l_discount + l_tax / 2) * 640, 4) + 0.0 AS x1 FROM lineitem""")
+def box_transform(spark, d):
+    """Centre form to corners."""
+    r = table(spark, d, "lineitem")
+    b = G.box_corners(F.col("l_discount"), F.col("l_discount"), F.col("l_tax"), F.col("l_tax"), F.lit(640), F.lit(480))
+    return r.select(*_KEY.split(", "), (F.round(b["x0"], 4) + 0.0).alias("x0"), (F.round(b["x1"], 4) + 0.0).alias("x1"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size * p_size < 1024 THEN 0 WHEN p_size * p_size < 2000 THEN 1 ELSE 2 END AS INT) AS band, CAST(CASE WHEN p_size * 300 < 1024 THEN 0 WHEN p_size * 300 < 9216 THEN 1 ELSE 2 END AS INT) AS coco FROM part")
+def area_bands(spark, d):
+    """Small, medium and large objects."""
+    n = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.when(n * n < 1024, 0).when(n * n < 2000, 1).otherwise(2).alias("band"), G.area_band(n * 300).alias("coco"))
+
+
+@query("SELECT s_suppkey, round(s_acctbal * 0.5 + 3, 6) AS x, CAST(s_suppkey % 3 + s_suppkey % 5 + 20 AS INT) AS w, CAST(floor((s_nationkey + 10) / 2.0) AS INT) AS h FROM supplier")
+def merge_geometry(spark, d):
+    """Side-by-side sizes and de-normalisation."""
+    s = table(spark, d, "supplier")
+    m = G.merged_size(F.array(F.col("s_suppkey") % 3, F.col("s_suppkey") % 5, F.lit(0)), F.array(F.col("s_nationkey"), F.lit(10)))
+    return s.select("s_suppkey", F.round(G.denormalised(F.col("s_acctbal"), F.lit(3), F.lit(0.5)), 6).alias("x"), m["w"].alias("w"), m["h"].alias("h"))
+
+
+# ---------------------------------------------------------------- vectors and metrics
+
+_COS = "(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))"
+
+
+@query(f"SELECT a.vec_id, round({_COS}, 6) AS cosine, round(({_COS} + 1) / 2, 6) AS share FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, d):
+    """Cosines of paired vectors."""
+    e = table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    j = e.join(b, "vec_id")
+    return j.select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(V.cosine_share(F.col("embedding"), F.col("other")), 6).alias("share"))
+
+
+@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) t WHERE vec_id < 400),
+p AS (SELECT a.vec_id, sum(CASE WHEN a.label = b.label AND a.vec_id <> b.vec_id THEN e ELSE 0 END) AS same, sum(e) AS total FROM (
+  SELECT a, b, exp(-greatest(0, 2 - 2 * list_dot_product(a.v, b.v)) / 0.5) AS e FROM u a, u b) t GROUP BY a.vec_id)
+SELECT round(avg(-ln((same + 1e-8) / (total + 1e-8))), 5) AS loss, count(*) AS n FROM p""")
+def dispersive_loss(spark, d):
+    """Dispersive loss of one batch of four hundred vectors, block by block."""
+    batch = table(spark, d, "embeddings").where("vec_id < 400")
+    return A.dispersive_loss(batch, "embedding", "label", "vec_id").select(F.round("loss", 5).alias("loss"), "n")
+
+
+@query("""SELECT vec_id, round(exp(embedding[1]) / list_sum(list_transform(embedding[1:4], lambda x: exp(x::DOUBLE))), 6) AS p0, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS s0,
+round(0.7 * embedding[1]::DOUBLE + 0.3 * embedding[2]::DOUBLE, 6) AS mix, round(list_sum(list_transform(range(1, 5), lambda i: (embedding[i]::DOUBLE - embedding[i + 4]::DOUBLE) ** 2)), 6) AS d2 FROM embeddings""")
+def vector_maths(spark, d):
+    """Softmax, sigmoid, interpolation, squared distance."""
+    e = F.col("embedding")
+    head = F.slice(e, 1, 4)
+    rows = table(spark, d, "embeddings")
+    return rows.select("vec_id", F.round(V.softmax(head)[0], 6).alias("p0"), F.round(V.sigmoid(e[0].cast("double")), 6).alias("s0"), F.round(V.interpolated(head, F.slice(e, 2, 4), F.lit(0.3))[0], 6).alias("mix"), F.round(V.squared_distance(head, F.slice(e, 5, 4)), 6).alias("d2"))
+
+
+@query("SELECT CAST(l_linenumber AS INT) AS expert, count(*) AS tokens, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS load, round(avg(l_discount), 6) AS mean_prob, CAST(sum(count(*)) OVER (ORDER BY l_linenumber) - count(*) AS BIGINT) AS offset FROM lineitem GROUP BY l_linenumber")
+def expert_load(spark, d):
+    """Load, mean gate and offsets by expert."""
+    r = A.expert_load(table(spark, d, "lineitem"), "l_linenumber", "l_discount")
+    return r.select(F.col("l_linenumber").alias("expert"), "tokens", F.round("load", 6).alias("load"), F.round("mean_prob", 6).alias("mean_prob"), F.col("offset").cast("long").alias("offset"))
+
+
+@query("""SELECT vec_id, CAST(s[1].i AS INT) AS first, round(-s[1].p, 6) AS p1, CAST(s[2].i AS INT) AS second, round(-s[1].p * 2 - s[2].p * 3, 6) AS mixed FROM (
+SELECT vec_id, list_sort(list_transform(range(1, 9), lambda k: {'p': -(embedding[k]::DOUBLE), 'i': k - 1})) AS s FROM embeddings) t""")
+def top_experts(spark, d):
+    """Top-two gates and their weighted sum."""
+    t = A.top_experts(V.as_double(F.slice("embedding", 1, 8)), 2)
+    rows = table(spark, d, "embeddings").select("vec_id", t.alias("t"))
+    return rows.select("vec_id", F.col("t")[0]["expert"].alias("first"), F.round(F.col("t")[0]["prob"], 6).alias("p1"), F.col("t")[1]["expert"].alias("second"), F.round(F.col("t")[0]["prob"] * 2 + F.col("t")[1]["prob"] * 3, 6).alias("mixed"))
+
+
+_AP = """WITH r AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS h
+FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey))
+SELECT l_suppkey, sum(CASE WHEN y = 1 THEN h::DOUBLE / k ELSE 0 END) / (sum(y) + 1e-8) AS ap FROM r GROUP BY l_suppkey"""
+
+
+def _aps(spark, d):
+    r = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("k"))
+    return A.average_precision(r, ["l_suppkey"], "l_extendedprice", "y", "k")
+
+
+@query(f"SELECT l_suppkey, round(ap, 6) AS ap FROM ({_AP}) t")
+def average_precision(spark, d):
+    """AP by group."""
+    return _aps(spark, d).select("l_suppkey", F.round("ap", 6).alias("ap"))
+
+
+@query(f"SELECT round(100 * avg(ap), 5) AS map FROM ({_AP}) t")
+def mean_average_precision(spark, d):
+    """Mean AP (A9)."""
+    return A.mean_average_precision(_aps(spark, d)).select(F.round("map", 5).alias("map"))
+
+
+@query("SELECT event_type, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 6) AS mean FROM events GROUP BY event_type")
+def running_mean(spark, d):
+    """Weighted running mean (A10)."""
+    e = table(spark, d, "events").withColumn("n", F.col("event_id") % 5 + 1)
+    return e.groupBy("event_type").agg(F.round(A.running_mean("value", "n"), 6).alias("mean"))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(sum(CASE WHEN k = 1 THEN 1.0 ELSE 0.01 END * pow(0.99, n - k) * value), 6) AS ema FROM r GROUP BY event_type""")
+def ema(spark, d):
+    """Exponential average in order of time."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("k", F.row_number().over(w))
+    return A.ema_by_blocks(e, ["event_type"], "k", "value").select("event_type", F.round("ema", 6).alias("ema"))
+
+
+@query("""SELECT n AS id, round(CASE WHEN i = 10 THEN 0 ELSE exp(mu) / (exp(mu) + (1 / (1 - i / 10.0) - 1)) END, 6) AS t, CAST(i AS INT) AS step FROM (
+SELECT n, i, n * (0.65 / 3840) + (0.5 - (0.65 / 3840) * 256) AS mu FROM (VALUES (256), (1024), (4096)) a(n), range(11) b(i)) x""")
+def timestep_schedule(spark, d):
+    """Shifted time schedules."""
+    rows = spark.createDataFrame([(256,), (1024,), (4096,)], "id int")
+    return rows.select("id", F.posexplode(V.schedule(10, F.col("id"))).alias("step", "t")).select("id", F.round("t", 6).alias("t"), "step")
+
+
+@query("SELECT p AS pos, CAST(i AS INT) AS i, round(CASE WHEN i < 4 THEN sin(p / pow(10000.0, i / 4.0)) ELSE cos(p / pow(10000.0, (i - 4) / 4.0)) END, 6) AS v FROM (VALUES (0), (1), (7)) a(p), range(8) b(i)")
+def sincos_embedding(spark, d):
+    """Sine and cosine position embeddings."""
+    rows = spark.createDataFrame([(0,), (1,), (7,)], "pos int")
+    return rows.select("pos", F.posexplode(V.sin_cos(F.col("pos"), 8)).alias("i", "v")).select("pos", "i", F.round("v", 6).alias("v"))
+
+
+@query("""SELECT vec_id, round(-(CASE WHEN label = 1 THEN ln(greatest(p, 1e-8)) ELSE ln(greatest(q, 1e-8)) END) * pow(1 - CASE WHEN label = 1 THEN p ELSE q END, CASE WHEN label = 1 THEN 1.0 ELSE 4.0 END), 6) + 0.0 AS loss
+FROM (SELECT vec_id, label, p, least(1 - p + 0.05, 1.0) AS q FROM (SELECT vec_id, label, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS p FROM embeddings) a) b""")
+def asymmetric_loss(spark, d):
+    """Asymmetric multi-label loss, one class."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", (F.round(V.asymmetric_loss(F.col("embedding")[0].cast("double"), (F.col("label") == 1).cast("int")), 6) + 0.0).alias("loss"))
+
+
+@query("SELECT label, round(avg(embedding[1]::DOUBLE), 5) AS m1, round(avg(embedding[64]::DOUBLE), 5) AS m64 FROM embeddings GROUP BY label")
+def mean_pool(spark, d):
+    """Element-wise means."""
+    e = table(spark, d, "embeddings").select("label", V.as_double(F.col("embedding")).alias("embedding"))
+    m = A.mean_pool(e, ["label"], "embedding")
+    return m.select("label", F.round(F.col("embedding")[0], 5).alias("m1"), F.round(F.col("embedding")[63], 5).alias("m64"))
+
+
+# ---------------------------------------------------------------- labels
+
+_VOCAB = "SELECT w AS label, CAST(row_number() OVER (ORDER BY w) - 1 AS INT) AS label_id FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) t"
+
+
+@query(_VOCAB)
+def vocabulary(spark, d):
+    """Sorted distinct labels with their index."""
+    return A.vocabulary(table(spark, d, "part").select(F.split("p_name", " ").alias("w")), "w")
+
+
+@query("""SELECT p_partkey, list_transform(range(5), lambda i: CASE WHEN i = p_size % 5 OR i = p_partkey % 5 THEN 1 ELSE 0 END)::VARCHAR AS hot, CAST([p_size, p_size + 1][(p_partkey % 2) + 1] AS INT) AS picked FROM part""")
+def multihot(spark, d):
+    """Multi-hot vectors and picked elements."""
+    p = table(spark, d, "part")
+    ids = F.array((F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 5).cast("int"))
+    hot = F.transform(V.multi_hot(ids, 5), lambda x: x.cast("int").cast("string"))
+    return p.select("p_partkey", F.concat(F.lit("["), F.array_join(hot, ", "), F.lit("]")).alias("hot"), V.pick(F.array("p_size", F.col("p_size") + 1), F.array((F.col("p_partkey") % 2).cast("int")))[0].alias("picked"))
+
+
+@query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x LIKE 'a%')) > 0 AS relevant FROM part")
+def relevant_labels(spark, d):
+    """Any label of a class list."""
+    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return p.select("p_partkey", F.exists("w", lambda x: x.startswith("a")).alias("relevant"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '[0, 0]' ELSE '[' || (1 - l.quality) || ', ' || l.quality || ']' END AS labels FROM documents d LEFT JOIN labels l USING (doc_id)")
+def label_lookup(spark, d):
+    """Key to label vector, zeros where there is none."""
+    labels = table(spark, d, "labels").select("doc_id", F.array(F.col("quality").cast("int")).alias("ids"))
+    out = L.label_vectors(table(spark, d, "documents").select("doc_id"), labels, "doc_id", "ids", 2)
+    return out.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("labels", lambda x: x.cast("int").cast("string")), ", "), F.lit("]")).alias("labels"))
+
+
+@query("SELECT p_partkey, p_type IN ('PROMO', 'SMALL') AS in_test, p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') AS in_train FROM part")
+def class_split_membership(spark, d):
+    """Rows whose class is in a split."""
+    splits = spark.createDataFrame([("PROMO", "test"), ("SMALL", "test"), ("ECONOMY", "train"), ("LARGE", "train"), ("MEDIUM", "train")], "name string, split string")
+    p = table(spark, d, "part").select("p_partkey", F.array("p_type").alias("names"))
+    return L.membership(p, "names", splits).select("p_partkey", "in_test", "in_train")
+
+
+@query("SELECT * FROM (VALUES (0, 'cat|dog'), (1, 'sun'), (2, '')) t(id, labels)")
+def multilabel_parse(spark, d):
+    """Label lists written as text."""
+    rows = spark.createDataFrame([(0, "[cat, dog]"), (1, "[sun]"), (2, "[]")], "id int, s string")
+    return rows.select("id", F.array_join(FS.label_list(F.col("s")), "|").alias("labels"))
+
+
+# ---------------------------------------------------------------- tokens, sequences, conversations
+
+@query("""SELECT conv_id, turn, array_to_string((list_concat(ids, [0, 0, 0, 0, 0, 0]))[1:6], ',') AS ids, array_to_string(list_transform(range(1, 7), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ',') AS mask
+FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations) t""")
+def pad_truncate(spark, d):
+    """Ids cut or filled to a length, with a mask."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("lengths"))
+    join = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return c.select("conv_id", "turn", join(V.padded(F.col("lengths"), 6)).alias("ids"), join(V.pad_mask(F.col("lengths"), 6)).alias("mask"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter(list_transform(range(len(ids)), lambda i: CASE WHEN ids[i + 1] > 2 THEN ids[i + 1] END), lambda x: x IS NOT NULL)[3:], ',') AS kept
+FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations) t""")
+def masked_positions(spark, d):
+    """Positions whose mask is set, a prefix dropped."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+    kept = V.masked(F.col("ids"), F.transform("ids", lambda x: (x > 2).cast("int")), 2)
+    return c.select("conv_id", "turn", F.array_join(F.transform(kept, lambda x: x.cast("string")), ",").alias("kept"))
+
+
+def _items(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.when(F.col("role") == "user", "text").otherwise("image").alias("kind"), F.substring("text", 1, 8).alias("value")).alias("x"))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("items"))
+
+
+@query("""SELECT conv_id, arg_max(CASE WHEN role <> 'user' THEN substr(text, 1, 8) END, turn) FILTER (role <> 'user') AS image, arg_max(substr(text, 1, 8), turn) FILTER (role = 'user') AS text FROM conversations GROUP BY conv_id""")
+def last_per_type(spark, d):
+    """The last output of each type."""
+    last = A.last_of_kind(F.col("items"))
+    return _items(spark, d).select("conv_id", last["image"].alias("image"), last["text"].alias("text"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '[t:' ELSE '[i:' END || substr(text, 1, 8) || ']' AS mark, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS lt FROM conversations)
+SELECT conv_id, string_agg(mark, '' ORDER BY turn) AS context, coalesce(string_agg(mark, '' ORDER BY turn) FILTER (turn < lt), '') AS before_text FROM m GROUP BY conv_id""")
+def fold_conversation(spark, d):
+    """A left fold of mixed items, forked at the last text."""
+    fold = A.folded_context(F.col("items"))
+    return _items(spark, d).select("conv_id", fold["context"].alias("context"), fold["before_text"].alias("before_text"))
+
+
+@query("""SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS INT) AS users, CAST(least(count(*) FILTER (role = 'user'), count(*) FILTER (role <> 'user')) AS INT) AS pairs FROM conversations GROUP BY conv_id""")
+def positional_zip(spark, d):
+    """Positional pairs, the shorter side wins."""
+    i = _items(spark, d)
+    users, others = F.filter("items", lambda x: x["kind"] == "text"), F.filter("items", lambda x: x["kind"] != "text")
+    return i.select("conv_id", F.size(users).alias("users"), F.size(L.zip_shortest(users, others)).alias("pairs"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents")
+def upsert(spark, d):
+    """New rows replace old ones by key (K5)."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return L.upsert(docs, docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("new")), "doc_id")
+
+
+@query("SELECT regexp_extract(name, '^(.*)_in$', 1) AS stem, count(*) AS n FROM (SELECT p_type || '_' || p_size || '_in' AS name FROM part) t GROUP BY 1")
+def in_out_pairs(spark, d):
+    """Files paired by suffix swap."""
+    p = table(spark, d, "part").select(F.concat_ws("_", "p_type", F.col("p_size").cast("string")).alias("s"))
+    names = p.select(F.concat("s", F.lit("_in")).alias("name")).unionByName(p.select(F.concat("s", F.lit("_out")).alias("name")).distinct())
+    return L.paired_by_stem(names, "name").groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(CASE WHEN s BETWEEN 1 AND 10 THEN 1 ELSE 0 END) AS BIGINT) AS in_range FROM (SELECT doc_id, 5 AS s FROM documents) t")
+def scorer_stand_in(spark, d):
+    """A scorer over all rows behind the interface."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("payload"))
+    scored = C.apply_scorer(docs, C.STAND_INS["aesthetic"])
+    return scored.agg(F.count("*").alias("n"), F.sum(F.col("aesthetic").between(1, 10).cast("long")).alias("in_range"))
+
+
+@query("SELECT doc_id, lang || chr(10) || source || chr(10) || '1, 2' AS audit FROM documents")
+def audit_column(spark, d):
+    """The audit text of a sample."""
+    from loomspark.operators.sinks import audit_text
+
+    return table(spark, d, "documents").select("doc_id", audit_text(F.col("lang"), F.col("source"), F.array(F.lit(1), F.lit(2))).alias("audit"))
+
+
+# ---------------------------------------------------------------- events (extension: windows)
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark, d):
+    """Hourly counts by kind, as a stream does with a watermark (extension)."""
+    from loomspark.streaming.scores import event_windows
+
+    return event_windows(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_events(spark, d):
+    """Sessions by a gap of half an hour (extension)."""
+    from loomspark.streaming.scores import sessions
+
+    return sessions(table(spark, d, "events")).select("user_id", "start", "n")

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers: tar shards, score logs, prompt lists, label tables and file pairs."""
