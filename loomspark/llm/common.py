@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -20,6 +20,25 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+def pack_columns(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Puts all columns but the used ones into one struct, so that no name of theirs can clash, and a function that takes them out.
+
+    That function puts the input's columns back in their order, then what was added. An input column of the same
+    name (in any case) as an added one gives way to it.
+    """
+    names, used = df.columns, tuple(dict.fromkeys(used))
+    rest = [c for c in names if c not in used]
+    packed = df.select(*[F.col(f"`{c}`") for c in used], *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row")] if rest else []))
+
+    def unpack(out: DataFrame) -> DataFrame:
+        added = [c for c in out.columns if c not in used and c != "__row"]
+        taken = {c.lower() for c in added}
+        kept = [(F.col(f"`{c}`") if c in used else F.col("__row").getField(c).alias(c)) for c in names if c.lower() not in taken]
+        return out.select(*kept, *[F.col(f"`{c}`") for c in added])
+
+    return packed, unpack
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the session's spark.checkpoint.dir; sets a folder only where that is unset, as in tests."""
     context = spark.sparkContext

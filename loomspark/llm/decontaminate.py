@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, pack_columns
 
 WINDOW = 10
 #: Positions by which a term may stray in a proximity match, and the rarest terms of a window that must be met.
@@ -197,18 +197,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     The benchmark is broadcast in slices of at most SLICE_BYTES, with one counting and one matching pass each;
     documents never move, so one that many passages or copies share costs no more than its own words.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text")).where("item IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // SLICE_BYTES) or 1
-    empty = spark.createDataFrame([], docs.schema).schema
+    docs, unpack = pack_columns(docs, text_col)
+    names = docs.columns
     out = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.array().cast(MATCH).alias("__matches"))
     texts = out.select("__text")
     for number in range(slices):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number) if slices > 1 else items
         terms = Terms.of([(i, bytes(t)) for i, t in own.collect()])  # bounded by the slice
         out = _add_matches(out, Plan.of(terms, _counts(texts, terms), window), window, slop)
-    return out.select(*[F.col(c) for c in empty.names], F.col("__n_words").alias("n_words"), F.col("__matches").alias("matches"))
+    return unpack(out.select(*[F.col(f"`{c}`") for c in names], F.col("__n_words").alias("n_words"), F.col("__matches").alias("matches")))
 
 
 def with_digest(found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, pack_columns
 
 _RAW = "script|style|noscript|template|svg|iframe|canvas|object|textarea|select|title|math"
 _TOKEN = re.compile(
@@ -273,6 +273,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "main_tex
     string. Each row stands alone, so repeated rows give equal results; an empty table gives no rows.
     Other columns pass through.
     """
+    pages, unpack = pack_columns(pages, html_col)
     names = pages.columns
     source = pages.select("*", F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     schema = pages.select("*", F.lit("").alias("__main")).schema
@@ -282,7 +283,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "main_tex
             made = pa.array([extract(x) for x in batch.column(len(names)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], made], names=[*names, "__main"])
 
-    return source.mapInArrow(run, schema).withColumnRenamed("__main", out)
+    return unpack(source.mapInArrow(run, schema).withColumnRenamed("__main", out))
 
 
 def op4_min_cut_extraction(spark, sf_dir: str) -> DataFrame:

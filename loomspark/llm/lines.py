@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _DOWN, _UP, BASE, INVERSE, Words, checkpoint, chunks, mix, read_words, spans, with_row_key, written
+from loomspark.llm.common import _DOWN, _UP, BASE, INVERSE, Words, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
 #: one edit in five words is a similarity of 0.8. Shorter lines count as duplicates only when equal.
@@ -156,6 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines that agree without their word at one position are pairwise one edit apart, so each such group needs
     only its earliest, and no pairs within groups are made. The texts of candidate pairs are compared in the end.
     """
+    docs, unpack = pack_columns(docs, id_col, text_col)
     names = docs.columns
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -214,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *made], names=[*names, "n_lines", "n_removed", out])
 
-    return joined.mapInArrow(remove, schema)
+    return unpack(joined.mapInArrow(remove, schema))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, pack_columns
 
 #: Bound on the labelled rows that the model is fitted on and votes with (the rows of smallest id hash).
 MAX_LABELLED = 6144
@@ -137,6 +137,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out:
     Only the text counts. Null or empty text is scored like any other, from its (empty) features; equal
     texts score alike; with no labelled rows every score is the prior. Other columns pass through.
     """
+    docs, unpack = pack_columns(docs, text_col)
     names = docs.columns
     source = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), F.lit(0.0).cast("double").alias("__score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -148,7 +149,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out:
             columns = [batch.column(i) for i in range(len(names) + 1)] + [pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "__text", "__score"])
 
-    return source.mapInArrow(run, source.schema).drop("__text").withColumnRenamed("__score", out)
+    return unpack(source.mapInArrow(run, source.schema).drop("__text").withColumnRenamed("__score", out))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import pack_columns
+
 #: Kinds in the order in which ties at one start are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # maximal runs, so the bound equals dropping the shorter ones
@@ -97,6 +99,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
     kind covers, in a run of 20 or more candidate characters with letters and digits, the windows whose
     Shannon entropy reaches the least bits of the run's class (hex or mixed), unless the allow-list has it.
     """
+    docs, unpack = pack_columns(docs, text_col)
     df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     for kind, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("candidate", CANDIDATE, 0)):
         df = located(df, "__text", pattern, f"__{kind}", group)
@@ -119,7 +122,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
     spans = F.concat(*[F.transform(f"__{kind}", ranked(rank)) for rank, kind in enumerate(kinds)])
     names = F.array(*map(F.lit, kinds))
     listed = F.transform(F.array_sort(spans), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(names, x["k"]).alias("kind")))
-    return df.withColumn(out, listed).drop("__text", "__candidate", *[f"__{k}" for k in kinds])
+    return unpack(df.withColumn(out, listed).drop("__text", "__candidate", *[f"__{k}" for k in kinds]))
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, checkpoint, chunks, mix, read_words, spans, with_row_key, written
+from loomspark.llm.common import BASE, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -222,6 +222,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     then compared by their hashes, under equal anchors, in tasks that hold one anchor's rows at a time (at most
     HOT); the windows of more frequent anchors are counted by a distributed aggregation instead. Texts move once.
     """
+    docs, unpack = pack_columns(docs, id_col, text_col)
     names = docs.columns
     source = with_row_key(docs, id_col, text_col)
     long_key = "__k1 long, __k2 long"
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *made], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(remove, out_schema)
+    return unpack(joined.mapInArrow(remove, out_schema))
 
 
 def op7_recompression(spark, sf_dir: str) -> DataFrame:
