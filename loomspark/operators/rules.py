@@ -35,11 +35,13 @@ BUCKET_SHARES = [0.05, 0.012, 0.006, 0.029, 0.025, 0.067, 0.499, 0.064, 0.025, 0
 MAX_BUCKET_ERROR = 2.0
 
 #: Metadata fields of an edit record; producers write subsets. Numbers may come as one-element lists, scores as text.
-EDIT_SCHEMA = T.StructType.fromDDL(
-    "label string, task string, instruction string, instruction_zh string, instruction_en string, caption_en array<string>, caption_en_ori string,"
-    " label_fine string, style_zh string, score array<int>, score_7b array<int>, aesthetic_score double, liqe_score double, liqe_score_edit double,"
-    " liqe_score_clip double, liqe_score_clip_edit double, aesthetic_score_v2_5 double, aesthetic_score_v2_5_edit double, dino double, clipI double, clipT double"
-)
+_KINDS = {
+    T.StringType(): "label task instruction instruction_zh instruction_en caption_en_ori label_fine style_zh",
+    T.ArrayType(T.StringType()): "caption_en",
+    T.ArrayType(T.IntegerType()): "score score_7b",
+    T.DoubleType(): "aesthetic_score liqe_score liqe_score_edit liqe_score_clip liqe_score_clip_edit aesthetic_score_v2_5 aesthetic_score_v2_5_edit dino clipI clipT",
+}
+EDIT_SCHEMA = T.StructType([T.StructField(name, kind) for kind, names in _KINDS.items() for name in names.split()])
 
 
 def read_metadata(raw: Column) -> Column:

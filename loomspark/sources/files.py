@@ -23,7 +23,7 @@ def words_of(text: Column) -> Column:
 
 def score_log(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Valid lines of tab-separated score logs: file, line_no (within the file), instruction, score."""
-    rows = spark.read.option("wholetext", "true").text(paths).select("_metadata.file_path", "value")
+    rows = spark.read.text(paths, wholetext=True).select("_metadata.file_path", "value")
     lines = rows.select(F.col("file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return parse_score_lines(lines)
 
@@ -47,7 +47,7 @@ def label_list(c: Column) -> Column:
 
 def label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """key, label_ids of a JSON object of arrays."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("key", "label_ids"))
 
 
@@ -74,7 +74,7 @@ def edit_pairs(listed: DataFrame) -> DataFrame:
 
 def templates(spark: SparkSession, root: str) -> DataFrame:
     """name, text of every text file."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("_metadata.file_name", "value")
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("_metadata.file_name", "value")
     return rows.select(F.regexp_replace("file_name", r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
 
 
@@ -92,7 +92,7 @@ def annotations(objects: Column, classes: int) -> Column:
     return F.array(*[band(i) for i in range(3)])
 
 
-@F.pandas_udf(T.StructType.fromDDL("w int, h int"))
+@F.pandas_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())]))
 def image_size(payloads: pd.Series) -> pd.DataFrame:
     """Width and height from a PNG, GIF, BMP, WebP or JPEG header; null where none is found."""
     return pd.DataFrame([_size(p) or (None, None) for p in payloads], columns=["w", "h"]).astype("Int32")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -51,7 +53,7 @@ class _Reader(DataSourceReader):
         if not path:
             return
         try:
-            with tarfile.open(path.removeprefix("file://")) as tar:
+            with tarfile.open(re.sub("^file:(//)?", "", path)) as tar:
                 for member in tar:
                     if member.isfile():
                         key, ext = split_name(member.name)
@@ -132,9 +134,33 @@ class ShardSource(DataSource):
 def read_members(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row a member; a shard that can't be read to its end adds a row with `error` alone."""
     spark.dataSource.register(ShardSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("shards").option("paths", json.dumps(paths)).load()
 
 
+def read_remote_members(spark: SparkSession, patterns: list[str] | str) -> DataFrame:
+    """The same rows for shards in any store that Spark reads, of up to 2 GB each: files come as binary rows and are unpacked in tasks."""
+    listed = spark.read.format("binaryFile").load(patterns).select("path", "content")
+
+    def unpack(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content.as_buffer())) as tar:
+                        for member in tar:
+                            if member.isfile():
+                                yield _member(path, *split_name(member.name), tar.extractfile(member).read(), None)
+                except (tarfile.TarError, OSError, EOFError) as problem:
+                    yield _member(path, None, None, None, f"{type(problem).__name__}: {problem}")
+
+    return listed.mapInArrow(unpack, MEMBERS)
+
+
+def _member(*values) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "key", "ext", "payload", "error"])
+
+
 def samples(members: DataFrame, extensions: list[str]) -> DataFrame:
     """One row a sample: shard, key, and a binary column m["ext"] for each extension, in struct `m`."""
     good = members.where("error IS NULL")

@@ -26,15 +26,20 @@ def resampled_batch(table: DataFrame, fraction: float, seed: int = 0) -> DataFra
     return table.sample(withReplacement=True, fraction=fraction, seed=seed)
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Streams get a watermark, which needs times with a zone; tables stay as they are."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Counts and sums by window and kind; works on streams (with a watermark) and tables."""
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    source = _watermarked(events, ts, late)
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return source.groupBy(window.alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "total")
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    source = _watermarked(events, ts, late)
     return source.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
 
 
