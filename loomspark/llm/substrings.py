@@ -159,29 +159,42 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = np.repeat(lo - offsets[:-1], hi - lo) + np.arange(offsets[-1])
         start = found.window[take] - np.repeat(begins[doc], hi - lo)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[take]))
-        firsts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(start.astype(np.int32)))
+        # windows mostly follow one another: then their first start says all
+        follows = start[offsets[1:] - 1] - start[offsets[:-1]] == hi - lo - 1
+        shown = np.where(follows, 1, hi - lo)
+        places = np.concatenate([[0], np.cumsum(shown)])
+        some = np.repeat(offsets[:-1] - places[:-1], shown) + np.arange(places[-1])
+        firsts = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(start[some].astype(np.int32)))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From window rows sorted by key: the starts of windows whose hash comes twice or more under its key."""
+    """From window rows sorted by key: stretches of window starts whose hash comes twice or more under its key."""
     held: list[pa.RecordBatch] = []
 
     def close(part: pa.RecordBatch) -> pa.RecordBatch:
-        starts, hashes = part.column(3), part.column(4)
-        flat = hashes.flatten().to_numpy()
-        sizes = np.diff(hashes.offsets.to_numpy())
+        listed, hashes = part.column(3), part.column(4)
+        flat, firsts = hashes.flatten().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
+        sizes, begin = np.diff(hashes.offsets.to_numpy()), listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py()
         row = np.repeat(np.arange(part.num_rows), sizes)
-        key = np.repeat(part.column(0).to_numpy(), sizes)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        short = (np.diff(listed.offsets.to_numpy()) < sizes)[row]
+        start = firsts[begin[row] + np.where(short, 0, within)] + np.where(short, within, 0)
+        key = part.column(0).to_numpy()[row]
         order = np.lexsort((flat, key))
         k, h = key[order], flat[order]
         same = (k[1:] == k[:-1]) & (h[1:] == h[:-1])
         twice = np.zeros(len(order), dtype=bool)
         twice[1:] |= same
         twice[:-1] |= same
-        found = order[twice]
-        r = row[found]
-        return pa.RecordBatch.from_arrays([part.column(1).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array(starts.flatten().to_numpy()[found].astype(np.int64))], names=[*KEY, "start"])
+        found = np.sort(order[twice])  # by row, then by start
+        r, at = row[found], start[found]
+        opens = np.ones(len(found), dtype=bool)
+        opens[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.nonzero(opens)[0]
+        length = np.diff(np.append(first, len(found)))
+        index = pa.array(r[first])
+        return pa.RecordBatch.from_arrays([part.column(1).take(index), part.column(2).take(index), pa.array(at[first]), pa.array(length)], names=[*KEY, "start", "length"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -203,10 +216,11 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _cover(n: int, starts: np.ndarray) -> np.ndarray:
+def _cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words in any window of the stretches."""
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
+    np.add.at(edge, starts + lengths - 1 + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -238,13 +252,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return source.join(listed, on).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
 
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long")
+    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long, length long")
     if not counted.where("hot").isEmpty():
-        each = windows(repeated.where("hot")).select("key", *KEY, F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-        each = each.select("key", F.col("w.hashes").alias("hash"), *KEY, F.col("w.starts").cast("long").alias("start"))
+        each = windows(repeated.where("hot")).select("key", *KEY, "starts", F.posexplode("hashes").alias("i", "hash"))
+        start = F.coalesce(F.get("starts", "i"), F.get("starts", F.lit(0)) + F.col("i")).cast("long")
+        each = each.select("key", "hash", *KEY, start.alias("start"))
         twice = each.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
-        places = places.unionByName(each.join(twice, (each["key"] == twice["__key"]) & (each["hash"] == twice["__hash"])).select(*KEY, "start"))
-    starts = places.groupBy(*KEY).agg(F.collect_set("start").alias("__starts")).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__starts")
+        places = places.unionByName(each.join(twice, (each["key"] == twice["__key"]) & (each["hash"] == twice["__hash"])).select(*KEY, "start", F.lit(1).cast("long").alias("length")))
+    starts = places.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("__starts")).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__starts")
     joined = source.join(starts, (source["__k1"] == starts["__j1"]) & (source["__k2"] == starts["__j2"]), "left")
     out_schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
@@ -255,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, at in zip(column["__text"].to_pylist(), column["__starts"]):
                 words = text.split()
                 if at.is_valid:
-                    gone = _cover(len(words), np.array(at.values, dtype=np.int64))
+                    gone = _cover(len(words), *(at.values.field(i).to_numpy() for i in range(2)))
                     rows.append((len(words), int(gone.sum()), b" ".join(compress(words, (~gone).tolist())).decode()))
                 else:
                     rows.append((len(words), 0, b" ".join(words).decode()))
