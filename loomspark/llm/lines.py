@@ -71,7 +71,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (half, h1, h2) of distinct lines, sorted by half: the keys of lines whose half some other line has."""
+    """From (half, h1) of distinct lines, sorted by half: h1 of the lines whose half some other line has."""
     before: tuple | None = None  # the last half and its row, None once that row has gone out
     for batch in batches:
         half = batch.column(0).to_numpy()
@@ -84,8 +84,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if before is not None and before[0] == half[0]:
             out[0] = True
             if before[1] is not None:
-                yield before[1].select(LINE)
-        yield batch.filter(pa.array(out)).select(LINE)
+                yield before[1].select(LINE[:1])
+        yield batch.filter(pa.array(out)).select(LINE[:1])
         before = (half[-1], None if out[-1] else batch.slice(len(half) - 1))
 
 
@@ -166,8 +166,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lines = written(source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, " + ", ".join(f"{c} long" for c in LINE + HALVES)))
     distinct = lines.groupBy(*LINE).agg(*[F.min(c).alias(c) for c in HALVES])
-    halves = distinct.select(F.explode(F.array_compact(F.array(*HALVES))).alias("half"), *LINE)
-    shared = checkpoint(halves.repartition(spread, "half").sortWithinPartitions("half").mapInArrow(_shared, "h1 long, h2 long").distinct())
+    halves = distinct.select(F.explode(F.array_compact(F.array(*HALVES))).alias("half"), "h1")
+    shared = checkpoint(halves.repartition(spread, "half").sortWithinPartitions("half").mapInArrow(_shared, "h1 long").distinct())
     bits = spark.sparkContext.broadcast(_filter_of(shared))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             index = pa.array(found.text[at])
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(found.number[at]), pa.array(h1[at]), pa.array(h2[at]), pa.array(texts, pa.binary())], names=[*PLACE, *LINE, "words"])
 
-    texts = source.select("__text", "__doc", *KEY).mapInArrow(candidates, f"{place_type}, h1 long, h2 long, words binary").join(shared, LINE, "left_semi")
+    texts = source.select("__text", "__doc", *KEY).mapInArrow(candidates, f"{place_type}, h1 long, h2 long, words binary").join(shared, "h1", "left_semi")
     texts = texts.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("p"), F.first("words").alias("words"))
     # ranks follow the order of places: ranges of places, numbered, and rows numbered within them
     texts = written(texts.repartitionByRange(spread, "p").sortWithinPartitions("p").select(F.monotonically_increasing_id().alias("rank"), *LINE, "words"))
