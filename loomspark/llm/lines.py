@@ -198,7 +198,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = near.mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
 
     first = lines.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    ruled = first.join(near, LINE, "left").where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # cut here, so that the join below shuffles both sides anew and a frequent line can be split over tasks
+    ruled = checkpoint(first.join(near, LINE, "left").where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near")))
     gone = lines.join(ruled, LINE).where(F.col("near") | (F.struct(*PLACE) > F.col("first"))).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "line")
     gone = gone.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))  # of one document
     joined = source.join(gone, (source["__k1"] == gone["__j1"]) & (source["__k2"] == gone["__j2"]), "left")
