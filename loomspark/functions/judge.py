@@ -90,27 +90,50 @@ def parse_answer(c: Column) -> Column:
     return F.when(c == RATE_LIMITED, F.lit(None).cast(_ANSWER)).when(block.isNotNull(), from_block).otherwise(F.coalesce(pair, number))
 
 
+def _split_top(body: str, mark: str) -> list[str]:
+    """Parts between marks that stand outside quotes and brackets."""
+    out, depth, quoted, begin = [], 0, False, 0
+    for i, c in enumerate(body):
+        if c == '"':
+            quoted = not quoted
+        elif not quoted:
+            depth += (c in "[{") - (c in "]}")
+            if c == mark and not depth:
+                out.append(body[begin:i])
+                begin = i + 1
+    return [*out, body[begin:]]
+
+
+def _strict_value(text: str):
+    """A number as a list of one, a literal or strict JSON as it is, anything else as a string."""
+    try:
+        value = json.loads(text if text.lower() not in ("true", "false", "null") else text.lower())
+    except ValueError:
+        return text.strip("\"' ")
+    return [value] if isinstance(value, (int, float)) and not isinstance(value, bool) else value
+
+
 @F.pandas_udf(T.StringType())
 def repair_json(texts: pd.Series) -> pd.Series:
-    """Relaxed JSON made strict: bare keys and strings get quotes, bare numbers become lists of one. Null where that fails."""
-    number, literal = re.compile(r"-?\d+(\.\d+)?"), re.compile("true|false|null", re.I)
+    """One flat relaxed object made strict: bare keys and strings get quotes, bare numbers become lists of one. Null where there is none."""
 
     def strict(text):
-        if text is None:
-            return None
-        keyed = re.sub(r"(\w+):", r'"\1":', text)
-
-        def value(m):
-            body = m[2].strip()
-            body = f"[{body}]" if number.fullmatch(body) else body if literal.fullmatch(body) else f'"{body}"'
-            return f"{m[1]}: {body}{m[3]}"
-
-        fixed = re.sub(r'(".*?"):(.*?)(,|})', value, keyed)
-        try:
-            json.loads(fixed)
-        except ValueError:
+        if text is None or "{" not in text or "}" not in text:
             return None
-        return fixed
+        body = text[text.index("{") + 1 : text.rindex("}")].strip()
+        fields: dict[str, object] = {}
+        last = None
+        for part in _split_top(body, ",") if body else []:
+            key, colon, value = part.partition(":")
+            name = key.strip().strip("\"'")
+            if colon and re.fullmatch(r"\w+", name):
+                fields[name] = _strict_value(value.strip())
+                last = name
+            elif last is not None and isinstance(fields[last], str):
+                fields[last] += "," + part  # a comma inside a bare string
+            else:
+                return None
+        return json.dumps(fields, ensure_ascii=False)
 
     return texts.map(strict)
 

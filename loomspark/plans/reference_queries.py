@@ -491,10 +491,10 @@ def line_score_parse(spark, d):
     return _answers(spark).where(F.col("id").isin(0, 1, 5, 15)).select("id", F.array_join(F.transform(J.line_scores(F.col("a")), lambda x: x.cast("string")), ",").alias("values"))
 
 
-@query("SELECT * FROM (VALUES (0, '{\"score\": [7],\"reasoning\": \"good\"}'), (1, NULL)) t(id, fixed)")
+@query("""SELECT * FROM (VALUES (0, '{"score": [7], "reasoning": "good, clear"}'), (1, NULL), (2, '{"score": [7, 8], "ok": true}')) t(id, fixed)""")
 def relaxed_json(spark, d):
     """Relaxed JSON made strict."""
-    rows = spark.createDataFrame([(0, "{score: 7,reasoning: good}"), (1, "no json")], "id int, a string")
+    rows = spark.createDataFrame([(0, "{score: 7, reasoning: good, clear}"), (1, "no json"), (2, '{"score": [7, 8], ok: True}')], "id int, a string")
     return rows.select("id", J.repair_json("a").alias("fixed"))
 
 
