@@ -30,12 +30,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "t
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 BOILER_TAGS = frozenset("nav aside footer form menu dialog button search".split())
 BOILER_WORDS = frozenset(
-    "nav navbar navigation menu sidebar sidebars aside footer ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter"
+    "nav navbar navigation menu menubar topbar sidebar sidebars side rail aside footer ad ads adslot adsbygoogle advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter"
     " subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar copyright legal disclaimer masthead skip".split()
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CONTENT_WORDS = frozenset("article post entry story content main body text".split())
 
+#: Names of containers that hold the main text where a page has no article element.
+MAIN_WORDS = frozenset("article content entry main post story".split())
+
 #: Evidence, in the units of the capacities, for and against a block being content.
 IN_ARTICLE, BESIDE_ARTICLE, HINTED = 8.0, -8.0, -20.0
 #: Smoothness between neighbours in page order (less by each step apart in the tree) and between blocks of one parent.
@@ -64,6 +67,16 @@ class _Open:
     link: bool
 
 
+def _holds_main(tag: str, attrs: str) -> bool:
+    if tag == "main":
+        return True
+    for name, *values in _ATTR.findall(attrs):
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(values)).lower()))
+        if words & MAIN_WORDS and tag in ("div", "section", "td") and name.lower() != "role" or name.lower() == "role" and words & {"main", "article"}:
+            return True
+    return False
+
+
 def _hinted(tag: str, attrs: str, within_article: bool) -> bool:
     if tag in BOILER_TAGS or tag == "header" and not within_article:
         return True
@@ -142,7 +155,7 @@ def blocks(page: str) -> list[Block]:
         number += 1
         article = up.article or tag == "article"
         hinted = up.hinted or _hinted(tag, m["attrs"], up.article)
-        stack.append(_Open(tag, number, article, up.main or tag == "main" or 'role="main"' in m["attrs"].lower(), hinted, up.link or tag == "a"))
+        stack.append(_Open(tag, number, article, up.main or not hinted and _holds_main(tag, m["attrs"]), hinted, up.link or tag == "a"))
         opened[tag] += 1
     if at < len(page):
         parts.append((page[at:], stack[-1].link))
@@ -153,12 +166,12 @@ def blocks(page: str) -> list[Block]:
 def evidence(block: Block, has_article: bool, has_main: bool) -> float:
     """Positive for content, negative for boilerplate; the classifier behind the terminal capacities."""
     n = len(block.text)
-    score = max(-2.0, min(4.0, 1.2 * math.log(n / 40))) - 5.0 * block.link_chars / n
+    score = max(-0.25, min(4.0, 1.2 * math.log(n / 40))) - 5.0 * block.link_chars / n
     score += 1.0 * (block.tag in ("p", "pre", "blockquote")) + 0.7 * (block.text[-1] in ".!?…。\"”") + 0.8 * (block.tag in ("h1", "h2", "h3"))
     if has_article:
         score = IN_ARTICLE if block.article else BESIDE_ARTICLE
     elif has_main:
-        score += 4.0 if block.main else BESIDE_ARTICLE
+        score = IN_ARTICLE if block.main else BESIDE_ARTICLE
     return score + HINTED * block.hinted
 
 

@@ -486,9 +486,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>"
 MAIN = "Title & more\nA first paragraph that is long enough to be read as text.\nA second paragraph, also long enough to be read as text.\nOne\nTwo"
 
 
-@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main>", "</main>")])
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content"><ul><li><a href="/x">kept link</a></li></ul>', "</div>"), ("<div>", "</div>")])
 def test_html(open_, close):
-    assert html_extract.extract(PAGE.format(open=open_, close=close)) == MAIN
+    want = ("kept link\n" if "kept link" in open_ else "") + MAIN
+    assert html_extract.extract(PAGE.format(open=open_, close=close)) == want
 
 
 def test_html_edges(spark):
