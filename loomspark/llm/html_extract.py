@@ -42,7 +42,7 @@ MAIN_WORDS = frozenset("article content entry main post story".split())
 #: Evidence, in the units of the capacities, for and against a block being content.
 IN_ARTICLE, BESIDE_ARTICLE, HINTED = 8.0, -8.0, -20.0
 #: Smoothness between neighbours in page order (less by each step apart in the tree) and between blocks of one parent.
-ADJACENT, SIBLING = 0.8, 0.8
+ADJACENT, SIBLING = 1.6, 0.8
 
 
 @dataclass(slots=True)
@@ -166,7 +166,7 @@ def blocks(page: str) -> list[Block]:
 def evidence(block: Block, has_article: bool, has_main: bool) -> float:
     """Positive for content, negative for boilerplate; the classifier behind the terminal capacities."""
     n = len(block.text)
-    score = max(-0.25, min(4.0, 1.2 * math.log(n / 40))) - 5.0 * block.link_chars / n
+    score = max(0.0, min(4.0, 1.2 * math.log(n / 40))) - 5.0 * block.link_chars / n
     score += 1.0 * (block.tag in ("p", "pre", "blockquote")) + 0.7 * (block.text[-1] in ".!?…。\"”") + 0.8 * (block.tag in ("h1", "h2", "h3"))
     if has_article:
         score = IN_ARTICLE if block.article else BESIDE_ARTICLE
