@@ -121,11 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(made, pa.binary())], names=["__id", "__label", "__vector"])
 
     made = source.mapInArrow(run, f"__id {source.schema[0].dataType.simpleString()}, __label int, __vector binary")
-    found = {}
-    for key, label, vector in made.collect():  # repeated ids keep one row
-        if key not in found or (label, bytes(vector)) > found[key]:
-            found[key] = (label, bytes(vector))
-    found = sorted(found.items())
+    # repeated ids keep one row, so at most MAX_LABELLED rows come
+    made = made.groupBy("__id").agg(F.max(F.struct("__label", "__vector")).alias("v")).select("__id", "v.*")
+    found = sorted(((key, (label, bytes(vector))) for key, label, vector in made.collect()), key=lambda x: repr(x[0]))
     width = TRIGRAMS + SHAPES + SCALARS
     matrix = np.frombuffer(b"".join(v for _, (_, v) in found), dtype=np.float16).reshape(-1, width).astype(np.float32)
     return Model.fit(matrix, np.array([label for _, (label, _) in found]))
