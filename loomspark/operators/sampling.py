@@ -89,8 +89,9 @@ def contiguous_split(df: DataFrame, n: int, order: list[str], out: str = "part")
 def with_rank(df: DataFrame, order: list[str], out: str, ranges: int = 64) -> DataFrame:
     """A global row number (long, from 1) in the given order, without putting all rows in one task.
 
-    Rows are dealt to ranges by quantile borders of the first order column when it is numeric; else by hash
-    prefix of nothing, in which case one sorted window is used.
+    Rows are dealt to ranges by quantile borders of the first order column; ranges are counted, and rows are
+    numbered within theirs. That column should be numeric (put a hash prefix first if it isn't): any other is
+    numbered by one window.
     """
     first = order[0]
     if dict(df.dtypes)[first] in ("bigint", "int", "double", "float", "smallint"):

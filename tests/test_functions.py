@@ -53,6 +53,14 @@ def test_judge(ev):
     assert ev(J.after_thinking(lit("<think>a</think> b "))) == "b"
 
 
+@pytest.mark.parametrize("text,want", [
+    ('{score: 7, reasoning: fine}', '{"score": [7], "reasoning": "fine"}'), ('{"score": [7, 8], reasoning: a, b}', '{"score": [7, 8], "reasoning": "a, b"}'), ("x {ok: TRUE, n: null, f: -1.5} y", '{"ok": true, "n": null, "f": [-1.5]}'),
+    ("{}", "{}"), ("no braces", None), ("{just words}", None), (None, None),
+])
+def test_repair(ev, text, want):
+    assert ev(J.repair_json(lit(text).cast("string"))) == want
+
+
 def test_geometry(ev):
     assert [ev(G.multiple_of_16(lit(x))) for x in (8, 24, 40, 100, 504)] == [0, 32, 32, 96, 512]
     assert [ev(G.multiple_of_8(lit(x))) for x in (1023, 1028, 1027)] == [1024, 1032, 1024]
