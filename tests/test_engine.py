@@ -239,3 +239,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_balanced_stream(spark, tmp_path):
+    spark.createDataFrame([("g", k) for k in "aabab"], "group string, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("group string, kind string").parquet(str(tmp_path / "in"))
+        q = ST.balanced(stream).writeStream.format("memory").queryName("balanced").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [round(r.share, 3) for r in spark.table("balanced").collect()] == [0.0, 1.0, 0.0, 0.667, 0.25]
