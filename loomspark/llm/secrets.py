@@ -25,7 +25,7 @@ ALLOW = (
     r"(?i)0123456789|abcdefghijkl|qwertyuiop",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.{1,6})\1{3,}.{0,5}$",
-    r"^[a-z0-9_-]*(/[a-z_-]+){2,}/?[a-z0-9_-]*$",
+    r"^(?=[^/]*/[^/]*/)[a-z0-9/_-]+$",
 )
 BLOCK = 256
 

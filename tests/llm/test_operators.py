@@ -126,6 +126,13 @@ def test_entropy_windows_match_direct_counts(spark):
         assert found[i] == want, text
 
 
+def test_secrets_in_one_very_long_run(spark):
+    """No pattern recurses with the length of what it reads."""
+    rows = spark.createDataFrame([(1, "/ab1" * 200_000), (2, "token=" * 50_000 + "abcdefg"), (3, "AB1" * 100_000)], DOCS)
+    assert secrets.find_secrets(rows).select(F.size("secret_spans")).count() == 3
+    assert secrets.find_secrets(rows).where("size(secret_spans) > 0").count() >= 1
+
+
 def test_secrets_edges(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
     out = secrets.find_secrets(clashing(spark))
