@@ -58,6 +58,11 @@ def located(df: DataFrame, text: str, pattern: str, out: str, group: int = 0) ->
     return df.withColumn(out, spans).drop("__m", "__gap", "__step", "__at", "__g")
 
 
+def _bumped(counts: Column, at: Column, by: int) -> Column:
+    """The array with one element changed; slices are copied whole, which costs far less than a function of each element."""
+    return F.concat(F.slice(counts, 1, at), F.array(F.get(counts, at) + by), F.slice(counts, at + 2, 128))
+
+
 def _entropy_span(word: Column, start: Column, least: Column) -> Column:
     """From the first to the last window of at least `least` bits, or null.
 
@@ -70,6 +75,11 @@ def _entropy_span(word: Column, start: Column, least: Column) -> Column:
         F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).cast("double").alias("t"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
     )
 
+    def seen(acc: Column) -> tuple[Column, Column]:
+        """First and last with the window that ends after the characters taken so far."""
+        high = (acc["i"] >= WINDOW) & (math.log2(WINDOW) - acc["t"] / WINDOW >= least)
+        return F.when(high & (acc["first"] < 0), acc["i"] - WINDOW).otherwise(acc["first"]).alias("first"), F.when(high, acc["i"]).otherwise(acc["last"]).alias("last")
+
     def step(codes_: Column, acc: Column, new: Column) -> Column:
         i = acc["i"]
         old = F.when(i >= WINDOW, F.get(codes_, i - WINDOW)).otherwise(F.lit(-1))
@@ -78,18 +88,13 @@ def _entropy_span(word: Column, start: Column, least: Column) -> Column:
         t = acc["t"] + F.when(same, 0.0).otherwise(
             F.get(table, up + 1) - F.get(table, up) + F.when(old >= 0, F.get(table, down - 1) - F.get(table, down)).otherwise(0.0)
         )
-        high = (i >= WINDOW - 1) & (math.log2(WINDOW) - t / WINDOW >= least)
-        counts = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda x, k: x + (k == new).cast("int") - (k == old).cast("int")))
-        return F.struct(
-            counts.alias("n"), t.alias("t"), (i + 1).alias("i"),
-            F.when(high & (acc["first"] < 0), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"),
-            F.when(high, i + 1).otherwise(acc["last"]).alias("last"),
-        )
+        added = _bumped(acc["n"], new, 1)
+        counts = F.when(same, acc["n"]).when(old >= 0, _bumped(added, old, -1)).otherwise(added)
+        return F.struct(counts.alias("n"), t.alias("t"), (i + 1).alias("i"), *seen(acc))
 
     # the array of codes is bound once, for the steps look back into it
-    done = F.transform(F.array(codes), lambda cs: F.aggregate(cs, empty, lambda acc, new: step(cs, acc, new)))
-    found = F.element_at(done, 1)
-    return F.transform(F.array(found), lambda x: F.when(x["first"] >= 0, F.struct((start + x["first"]).alias("s"), (start + x["last"]).alias("e"))))[0]
+    done = F.transform(F.array(codes), lambda cs: F.aggregate(cs, empty, lambda acc, new: step(cs, acc, new), lambda acc: F.struct(*seen(acc))))
+    return F.transform(done, lambda x: F.when(x["first"] >= 0, F.struct((start + x["first"]).alias("s"), (start + x["last"]).alias("e"))))[0]
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
@@ -113,7 +118,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
 
     df = df.withColumn("__candidate", F.filter("__candidate", suspect))
     least = lambda m: F.when(m.rlike("^[0-9a-fA-F]+$"), LEAST_BITS["hex"]).otherwise(LEAST_BITS["mixed"])
-    df = df.withColumn("__entropy", F.filter(F.transform("__candidate", lambda x: _entropy_span(x["m"], x["s"], least(x["m"]))), lambda x: x.isNotNull()))
+    # the least entropy is found once for each candidate, not at each of its characters
+    df = df.withColumn("__candidate", F.transform("__candidate", lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), least(x["m"]).alias("least"))))
+    df = df.withColumn("__entropy", F.filter(F.transform("__candidate", lambda x: _entropy_span(x["m"], x["s"], x["least"])), lambda x: x.isNotNull()))
     kinds = ("assign", "access", "hex", "entropy")
 
     def ranked(rank: int):
