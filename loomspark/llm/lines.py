@@ -181,8 +181,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             index = pa.array(found.text[at])
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(found.number[at]), pa.array(h1[at]), pa.array(h2[at]), pa.array(texts, pa.binary())], names=[*PLACE, *LINE, "words"])
 
-    texts = source.select("__text", "__doc", *KEY).mapInArrow(candidates, f"{place_type}, h1 long, h2 long, words binary").join(shared, "h1", "left_semi")
-    texts = texts.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("p"), F.first("words").alias("words"))
+    # folded before the join, so that a frequent line brings one row from each task
+    texts = source.select("__text", "__doc", *KEY).mapInArrow(candidates, f"{place_type}, h1 long, h2 long, words binary")
+    texts = texts.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("p"), F.first("words").alias("words")).join(shared, "h1", "left_semi")
     # ranks follow the order of places: ranges of places, numbered, and rows numbered within them
     texts = written(texts.repartitionByRange(spread, "p").sortWithinPartitions("p").select(F.monotonically_increasing_id().alias("rank"), *LINE, "words"))
 
