@@ -110,7 +110,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 _BLOCK = 1 << 18
 _LONG_WORD = 512
-_UP, _DOWN = Powers(BASE), Powers(INVERSE)
+UP, DOWN = Powers(BASE), Powers(INVERSE)
 
 
 @dataclass(frozen=True)
@@ -144,9 +144,9 @@ def read_words(texts: list[bytes]) -> Words:
         end = int(ends[to - 1])
         sums = np.empty(end - base + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE[data[base:end]] * _UP.upto(end - base), out=sums[1:])
+        np.cumsum(_BYTE[data[base:end]] * UP.upto(end - base), out=sums[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
-        hashes[at:to] = mix((sums[e] - sums[s]) * _DOWN.upto(end - base)[s] + (e - s).astype(np.uint64))
+        hashes[at:to] = mix((sums[e] - sums[s]) * DOWN.upto(end - base)[s] + (e - s).astype(np.uint64))
         at = to
     for i in np.nonzero(ends - starts > _LONG_WORD)[0].tolist():
         hashes[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]])
@@ -156,7 +156,7 @@ def read_words(texts: list[bytes]) -> Words:
 
 def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Polynomial hashes of spans of words."""
-    up, down = (_UP, _DOWN) if base == BASE else _powers(base)
+    up, down = (UP, DOWN) if base == BASE else _powers(base)
     sums = np.empty(len(hashes) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(hashes * up.upto(len(hashes)), out=sums[1:])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import _DOWN, _UP, BASE, INVERSE, Words, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
+from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
 #: one edit in five words is a similarity of 0.8. Shorter lines count as duplicates only when equal.
@@ -111,10 +111,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = read_words(batch.column(batch.schema.get_field_index("words")).to_pylist())
         n = np.diff(words.bounds, prepend=0)
         first = words.bounds - n
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * _UP.upto(len(words.hashes)), dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * UP.upto(len(words.hashes)), dtype=np.uint64)])
         line = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(words.hashes))
-        down = _DOWN.upto(len(words.hashes) + 1)
+        down = DOWN.upto(len(words.hashes) + 1)
         last = words.bounds[line]
         without = ((sums[at] - sums[first[line]]) + (sums[last] - sums[at + 1]) * inverse) * down[first[line]]
         whole = (sums[words.bounds] - sums[first]) * down[first]
