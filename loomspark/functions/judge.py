@@ -17,7 +17,7 @@ RATE_LIMITED = "rate_limit_exceeded"
 def score_pair(c: Column) -> Column:
     """The first [a, b] of two whole numbers as array<int>, or null."""
     pattern = r"\[\s*(\d{1,9})\s*,\s*(\d{1,9})\s*\]"
-    return F.when(c.rlike(pattern), F.array(F.try_to_number(F.regexp_extract(c, pattern, 1), F.lit("999999999")).cast("int"), F.try_to_number(F.regexp_extract(c, pattern, 2), F.lit("999999999")).cast("int")))
+    return F.when(c.rlike(pattern), F.array(*[F.regexp_extract(c, pattern, i).try_cast("int") for i in (1, 2)]))
 
 
 def numbered_scores(c: Column) -> Column:
@@ -29,7 +29,7 @@ def line_scores(c: Column) -> Column:
     """Values of lines `<name with score>: value (remark)`; lines that don't split in two at ': ' don't count."""
     lines = F.transform(F.split(c, "\n"), lambda x: F.split(F.trim(x), ": "))
     kept = F.filter(lines, lambda x: (F.size(x) == 2) & F.contains(F.lower(F.get(x, 0)), F.lit("score")))
-    values = F.transform(kept, lambda x: F.expr("try_cast(null as double)") if x is None else F.split(F.get(x, 1), r" \(")[0].try_cast("double"))
+    values = F.transform(kept, lambda x: F.split(F.get(x, 1), r" \(")[0].try_cast("double"))
     return F.filter(values, lambda x: x.isNotNull())
 
 

@@ -55,13 +55,13 @@ def running_mean(value: str, n: str) -> Column:
 def running_ema(order: list[str], value: str, keep: float = 0.99) -> Column:
     """The last exponential average, seeded with the first value.
 
-    A fold over one group's values in order; groups should be series of moderate length (see `ema_by_blocks`).
+    A fold over one group's values in order; groups should be series of moderate length (see `ema_by_rank`).
     """
     seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))), lambda x: x["__v"])
     return F.aggregate(F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))), F.get(seq, F.lit(0)), lambda a, x: a * keep + x * (1 - keep))
 
 
-def ema_by_blocks(df: DataFrame, group: list[str], rank: str, value: str, keep: float = 0.99, block: int = 10_000) -> DataFrame:
+def ema_by_rank(df: DataFrame, group: list[str], rank: str, value: str, keep: float = 0.99) -> DataFrame:
     """The same average for series of any length: with r ranks after a value its weight is (1-keep)*keep**r, and keep**r for the first."""
     last = df.groupBy(*group).agg(F.max(rank).alias("__last"))
     weighed = df.join(last, group)

@@ -714,7 +714,7 @@ def ema(spark, d):
     """Exponential average in order of time."""
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("k", F.row_number().over(w))
-    return A.ema_by_blocks(e, ["event_type"], "k", "value").select("event_type", F.round("ema", 6).alias("ema"))
+    return A.ema_by_rank(e, ["event_type"], "k", "value").select("event_type", F.round("ema", 6).alias("ema"))
 
 
 @query("""SELECT n AS id, round(CASE WHEN i = 10 THEN 0 ELSE exp(mu) / (exp(mu) + (1 / (1 - i / 10.0) - 1)) END, 6) AS t, CAST(i AS INT) AS step FROM (

@@ -152,7 +152,7 @@ def test_average_precision(spark):
     rows = spark.createDataFrame([(0, 0.9, 1, 1), (0, 0.8, 0, 2), (0, 0.7, 1, 3), (0, 0.6, 1, 4)], "g int, s double, y int, k int")
     assert A.average_precision(rows, ["g"], "s", "y", "k").first().ap == pytest.approx(0.80555555287, abs=1e-9)
     e = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 3.0)], "g int, k int, v double")
-    assert A.ema_by_blocks(e, ["g"], "k", "v").first().ema == pytest.approx(1.0299)
+    assert A.ema_by_rank(e, ["g"], "k", "v").first().ema == pytest.approx(1.0299)
     assert e.groupBy("g").agg(A.running_ema(["k"], "v").alias("ema")).first().ema == pytest.approx(1.0299)
 
 
