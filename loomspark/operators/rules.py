@@ -73,8 +73,8 @@ def task_table(spark, overrides: dict[str, int] | None = None) -> DataFrame:
 
 
 def with_task_id(df: DataFrame, task: str, table: DataFrame) -> DataFrame:
-    """Left lookup by alias; unknown and null tasks get 0. The table is a few dozen rows by construction."""
-    joined = df.join(F.broadcast(table.select(F.col("alias").alias("__alias"), F.col("task_id").alias("__task_id"))), F.col(task) == F.col("__alias"), "left")
+    """Left lookup by alias; unknown and null tasks get 0. Spark broadcasts the table where its size is under the threshold."""
+    joined = df.join(table.select(F.col("alias").alias("__alias"), F.col("task_id").alias("__task_id")), F.col(task) == F.col("__alias"), "left")
     return joined.withColumn("task_id", F.coalesce("__task_id", F.lit(0))).drop("__alias", "__task_id")
 
 

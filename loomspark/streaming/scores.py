@@ -18,7 +18,7 @@ def resampled(spark: SparkSession, table: DataFrame, key: str, rows_per_second:
     n = numbered.count()
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     drawn = ticks.withColumn("__i", F.pmod(F.xxhash64(F.lit(seed), "value"), F.lit(max(n, 1))).cast("int"))
-    return drawn.join(F.broadcast(numbered), "__i").drop("__i")
+    return drawn.join(numbered, "__i").drop("__i")
 
 
 def resampled_batch(table: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
