@@ -16,7 +16,7 @@ WINDOW = 10
 #: Positions by which a term may stray in a proximity match, and the rarest terms of a window that must be met.
 SLOP = 2
 PROXIMITY_TERMS = 4
-#: Bytes of benchmark text that are broadcast at a time; a larger benchmark is taken in slices, one pass each.
+#: Bytes of benchmark text taken at a time, whose plan (about 65 bytes a word) is broadcast; a larger benchmark comes in slices.
 SLICE_BYTES = 4 << 20
 #: Candidate positions that are intersected at a time in a task.
 CANDIDATES = 1 << 18
@@ -70,10 +70,10 @@ class Plan:
                 order = np.concatenate([order, np.full(window - size, order[0])])  # a short item repeats its rarest term
                 item.append(number)
                 length.append(size)
-                at.append(order)
+                at.append(order.astype(np.int16))
                 term.append(part[order])
         shape = (len(item), window)
-        return cls(terms.vocabulary, names, np.array(item, dtype=np.int64), np.array(length, dtype=np.int64), np.array(at, dtype=np.int64).reshape(shape), np.array(term, dtype=np.int64).reshape(shape))
+        return cls(terms.vocabulary, names, np.array(item, dtype=np.int32), np.array(length, dtype=np.int16), np.array(at, dtype=np.int16).reshape(shape), np.array(term, dtype=np.int32).reshape(shape))
 
 
 class Shard:
@@ -194,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     consecutive item words (the whole item where it is shorter); those that are not exact are proximity
     matches. Null text has no words; an item without words has no windows; items of one id count as that id.
     Repeated rows are matched as often as they come. Empty tables give rows without matches, or no rows.
-    The benchmark is broadcast in slices of at most SLICE_BYTES, with one counting and one matching pass each;
+    The benchmark is broadcast in slices of about SLICE_BYTES, with one counting and one matching pass each;
     documents never move, so one that many passages or copies share costs no more than its own words.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text")).where("item IS NOT NULL")
