@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checkpoint, chunks
+from loomspark.llm.common import checkpoint, chunks, small_batches
 
 ROLES = ("system", "user", "assistant")
 #: Names that speakers go by in source columns and line markers.
@@ -161,7 +161,7 @@ def parse_transcripts(rows: DataFrame, id_col: str = "conv_id", turn_col: str =
     partition, which fixes the states at the borders; the ranges then resolve on their own.
     """
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
-    source = rows.select(F.col(id_col).alias("__id"), F.col(turn_col).alias("__turn"), role.alias("__role"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    source = small_batches(rows).select(F.col(id_col).alias("__id"), F.col(turn_col).alias("__turn"), role.alias("__role"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = f"`{id_col}` {kinds['__id']}, `{turn_col}` {kinds['__turn']}, part long, role string, continues boolean, text string, rendered string"
     names = [id_col, turn_col, "part", "role", "continues", "text", "rendered"]

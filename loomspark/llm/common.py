@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -47,6 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "loomspark-checkpoints"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lets Arrow batches hold 8 MB instead of the default 64, which is what a task's two sides hold of a wide table of long texts."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder, so the rows outlive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -54,7 +64,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices record batches so that `column` (binary) has about `limit` bytes in each; one longer value stands alone."""
+    """Slices record batches so that `column` (binary) has about `limit` bytes in each; one longer value stands alone.
+
+    At the end of a task what it has freed goes back to the system, for Python workers live on.
+    """
+    try:
+        yield from _sliced(batches, column, limit)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         if not batch.num_rows:
@@ -74,6 +100,7 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The key comes from what a row says, so every run of a task gives it again; identical rows share it.
     """
+    docs = small_batches(docs)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))
     return docs.select("*", text.alias("__text"), F.xxhash64(name, text).alias("__k1"), F.xxhash64(text, name, F.lit(1)).alias("__k2"))

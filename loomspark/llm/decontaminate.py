@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, pack_columns
+from loomspark.llm.common import chunks, pack_columns, small_batches
 
 WINDOW = 10
 #: Positions by which a term may stray in a proximity match, and the rarest terms of a window that must be met.
@@ -200,7 +200,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text")).where("item IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // SLICE_BYTES) or 1
-    docs, unpack = pack_columns(docs, text_col)
+    docs, unpack = pack_columns(small_batches(docs), text_col)
     names = docs.columns
     out = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.array().cast(MATCH).alias("__matches"))
     texts = out.select("__text")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, pack_columns
+from loomspark.llm.common import chunks, pack_columns, small_batches
 
 _RAW = "script|style|noscript|template|svg|iframe|canvas|object|textarea|select|title|math"
 _TOKEN = re.compile(
@@ -286,7 +286,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "main_tex
     string. Each row stands alone, so repeated rows give equal results; an empty table gives no rows.
     Other columns pass through.
     """
-    pages, unpack = pack_columns(pages, html_col)
+    pages, unpack = pack_columns(small_batches(pages), html_col)
     names = pages.columns
     source = pages.select("*", F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     schema = pages.select("*", F.lit("").alias("__main")).schema

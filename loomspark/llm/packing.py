@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import tokens
+from loomspark.llm.common import release_memory, small_batches
 
 LENGTH = 2048
 #: Cost of a piece of n tokens: LINEAR * n for the dense layers plus QUADRATIC * n * n for attention within the piece.
@@ -107,12 +108,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows. Sequence ids are unique and hold the task's number in their high bits.
     """
     path = tokenizer or tokens.default_path()
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    source = small_batches(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     id_type = source.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        encoder = tokens.Encoder(path)
+        encoder = tokens.encoder(path)
         first = TaskContext.get().partitionId() << 36
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         id_arrow = None
@@ -142,6 +143,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = []
         if rows:
             yield batch_of(rows)
+        release_memory()
 
     return source.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, pack_columns
+from loomspark.llm.common import chunks, pack_columns, small_batches
 
 #: Bound on the labelled rows that the model is fitted on and votes with (the rows of smallest id hash).
 MAX_LABELLED = 6144
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {0: MAX_LABELLED // 4, 1: MAX_LABELLED - MAX_LABELLED // 4}
     bad, good = (rows.where(F.col("__label") == value).orderBy(*order).limit(n) for value, n in share.items())
     chosen = bad.unionByName(good)
-    source = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    source = small_batches(docs).select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
     source = source.join(F.broadcast(chosen), "__id").select("__id", "__label", "__text")  # at most MAX_LABELLED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out:
     Only the text counts. Null or empty text is scored like any other, from its (empty) features; equal
     texts score alike; with no labelled rows every score is the prior. Other columns pass through.
     """
-    docs, unpack = pack_columns(docs, text_col)
+    docs, unpack = pack_columns(small_batches(docs), text_col)
     names = docs.columns
     source = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), F.lit(0.0).cast("double").alias("__score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checkpoint, chunks
+from loomspark.llm.common import checkpoint, chunks, small_batches
 from loomspark.llm.components import connected_components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprint(text: bytes) -> int:
 
 def add_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, fingerprint as signed long)."""
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    source = small_batches(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -26,11 +27,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast = path, None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -40,7 +37,21 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and "<|" not in text and not _OTHER.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each file and process."""
+    return Encoder(path)
