@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def small_batches(df: DataFrame) -> DataFrame:
     """Lets Arrow batches hold 8 MB instead of the default 64, which is what a task's two sides hold of a wide table of long texts."""
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return df
 
