@@ -1,6 +1,8 @@
 """The pipeline's stages and registered queries."""
 
 import importlib
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +42,33 @@ def test_run_and_queries(spark, sf, pipeline):
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_near_copies_reach_similarity(spark, sf, pipeline):
+    rng = random.Random(5)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        for edits in (0, 1, 2, 3, 5, 8):
+            own = list(base)
+            for i in rng.sample(range(len(own)), edits):
+                own[i] = "Changed"
+            texts.append(" ".join(own))
+    texts += [None, "", " ", "short text", "Short  text", "another short", texts[7]]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if words[i] == words[j] or jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()}
+    assert got == {i for i in range(len(texts)) if root(i) == i}
