@@ -101,16 +101,14 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most MAX_LABELLED labelled documents that are not held out; a quarter of them of label 0 where there are enough.
+    """Fits on at most MAX_LABELLED labelled documents that are not held out, whatever their labels, so that both keep their shares at any size.
 
     Ids with several rows take the first by label and text; rows with a null label or id are not used.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
     rows = rows.groupBy("__id").agg(F.max("__label").alias("__label"))
     order = [F.xxhash64(F.col("__id").cast("string")), F.col("__id")]
-    share = {0: MAX_LABELLED // 4, 1: MAX_LABELLED - MAX_LABELLED // 4}
-    bad, good = (rows.where(F.col("__label") == value).orderBy(*order).limit(n) for value, n in share.items())
-    chosen = bad.unionByName(good)
+    chosen = rows.orderBy(*order).limit(MAX_LABELLED)
     source = small_batches(docs).select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
     source = source.join(F.broadcast(chosen), "__id").select("__id", "__label", "__text")  # at most MAX_LABELLED rows
 

@@ -530,6 +530,14 @@ def test_quality(spark):
     assert got[900].quality_score == got[901].quality_score and all(0 <= r.quality_score <= 1 for r in got.values())
 
 
+def test_quality_voters_keep_the_labels_shares(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_LABELLED", 200)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1200)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1200)], "doc_id long, quality int")
+    voters = quality.fit(docs, labels).labels
+    assert len(voters) == 200 and 0.05 < 1 - voters.mean() < 0.16
+
+
 def test_quality_votes_match_a_direct_sum():
     rng = np.random.default_rng(0)
     width = quality.TRIGRAMS + quality.SHAPES + quality.SCALARS
