@@ -52,7 +52,7 @@ class Plan:
     """Windows with their terms from the rarest up: `at` holds positions in the window, `term` the term numbers there."""
 
     vocabulary: dict[bytes, int]
-    names: list[str]
+    names: list[str | None]
     item: np.ndarray
     length: np.ndarray
     at: np.ndarray
@@ -62,7 +62,7 @@ class Plan:
     def of(cls, terms: Terms, counts: np.ndarray, window: int) -> Plan:
         item, length, at, term, names = [], [], [], [], []
         for number, (name, ids) in enumerate(terms.items):
-            names.append(str(name))
+            names.append(None if name is None else str(name))
             size = min(window, len(ids))
             for start in range(len(ids) - size + 1):
                 part = ids[start : start + size]
@@ -192,12 +192,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     Start and end are word positions, ends exclusive. A match is an occurrence of a window of `window`
     consecutive item words (the whole item where it is shorter); those that are not exact are proximity
-    matches. Null text has no words; an item without words has no windows; items of one id count as that id.
+    matches. Null text has no words; an item without words has no windows; items of one id count as that id,
+    and items of null id match as one more, with a null in `item`.
     Repeated rows are matched as often as they come. Empty tables give rows without matches, or no rows.
     The benchmark is broadcast in slices of about SLICE_BYTES, with one counting and one matching pass each;
     documents never move, so one that many passages or copies share costs no more than its own words.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // SLICE_BYTES) or 1
     docs, unpack = pack_columns(small_batches(docs), text_col)
@@ -212,7 +213,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def with_digest(found: DataFrame) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256, contaminated, n_proximity to the result of find_contamination."""
+    """Adds n_hit, n_items, items_sha256, contaminated, n_proximity to the result of find_contamination.
+
+    Matches of items of null id count everywhere but in items_sha256, which lists ids.
+    """
     exact = F.array_sort(F.filter("matches", lambda m: m["exact"]))
     begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     hit = F.aggregate(

@@ -357,6 +357,14 @@ def test_decontamination_edges(spark):
     assert out.count() == 16 and dict(out.dtypes)["n_words"] == "bigint"
 
 
+def test_decontamination_by_items_without_id(spark):
+    rows = spark.createDataFrame([(1, "see one two three"), (2, "four five and one two three"), (3, "none")], DOCS)
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.with_digest(decontaminate.find_contamination(rows, items)).collect()}
+    assert [(found[i].n_hit, found[i].n_items, found[i].contaminated) for i in (1, 2, 3)] == [(3, 1, True), (5, 2, True), (0, 0, False)]
+    assert [found[i].items_sha256 for i in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
+
+
 # ------------------------------------------------------------------ 7 substrings
 
 
