@@ -101,8 +101,8 @@ class Shard:
 def match(shard: Shard, plan: Plan, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matches as (window, position where it starts, whether the phrase is exact).
 
-    Each window starts from the postings of its rarest term, shifted to the window's start, and intersects them
-    with the shifted lists of its next rarest ones; what no list lacks is the phrase. With `slop`, starts whose
+    Each window starts from the postings of its rarest term, shifted to the window's start; its other terms are
+    verified on the shard's token array, from the rarest on, not by their own postings. With `slop`, starts whose
     PROXIMITY_TERMS rarest terms each lie within that many positions of their place count as proximity matches.
     """
     low, high = shard.postings(plan.term[:, 0]) if len(plan.item) else (np.zeros(0, int), np.zeros(0, int))
