@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
-#: one edit in five words is a similarity of 0.8. Shorter lines count as duplicates only when equal.
+#: that is a similarity of 0.8 at MIN_WORDS words, and more in longer lines (0.96 at 25 words). Shorter lines count as duplicates only when equal.
 MIN_WORDS = 5
 #: Bytes of text that a task parses at a time, and the size of the filter that is broadcast (8 MB).
 PARSE_BYTES = 1 << 19
