@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
+from loomspark.llm.common import BASE, checkpoint, chunks, mix, pack_columns, read_words, release_memory, small_batches, spans, written
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -19,8 +20,10 @@ PARSE_BYTES = 1 << 19
 #: Rounds of pair naming after the round that names runs.
 ROUNDS = 5
 #: Occurrences of one anchor beyond which its windows are counted by Spark rather than within a task.
-HOT = 50_000
+HOT = 20_000
 KEY = ["__k1", "__k2"]
+#: Key of the text that a stretch is compared with.
+OTHER = ["__o1", "__o2"]
 
 
 @dataclass(frozen=True)
@@ -127,9 +130,23 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(found.position - begins[doc])], names=["key", *KEY, "position"])
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with equal keys that follow one another, the first: a text's copies are read once."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k1, k2 = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in KEY)
+        fresh = np.ones(len(k1), dtype=bool)
+        fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        fresh[0] = before != (k1[0], k2[0])
+        before = (k1[-1], k2[-1])
+        yield batch if fresh.all() else batch.filter(pa.array(fresh))
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For documents with the positions of their repeated anchors: the hashes of the windows these answer for."""
-    for batch in chunks(batches, "__text", PARSE_BYTES):
+    """For texts with the positions of their repeated anchors: the hashes of the windows these answer for."""
+    for batch in chunks(_firsts(batches), "__text", PARSE_BYTES):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         words = read_words(column["__text"].to_pylist())
         ends = words.bounds
@@ -168,54 +185,104 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From window rows sorted by key: stretches of window starts whose hash comes twice or more under its key."""
-    held: list[pa.RecordBatch] = []
+STRETCH = [*KEY, "start", "length", *OTHER, "other_start"]
 
-    def close(part: pa.RecordBatch) -> pa.RecordBatch:
-        listed, hashes = part.column(3), part.column(4)
-        flat, firsts = hashes.flatten().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
-        sizes, begin = np.diff(hashes.offsets.to_numpy()), listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py()
-        row = np.repeat(np.arange(part.num_rows), sizes)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        short = (np.diff(listed.offsets.to_numpy()) < sizes)[row]
-        start = firsts[begin[row] + np.where(short, 0, within)] + np.where(short, within, 0)
-        key = part.column(0).to_numpy()[row]
-        order = np.lexsort((flat, key))
-        k, h = key[order], flat[order]
-        same = (k[1:] == k[:-1]) & (h[1:] == h[:-1])
-        twice = np.zeros(len(order), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        found = np.sort(order[twice])  # by row, then by start
-        r, at = row[found], start[found]
-        opens = np.ones(len(found), dtype=bool)
-        opens[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.nonzero(opens)[0]
-        length = np.diff(np.append(first, len(found)))
-        index = pa.array(r[first])
-        return pa.RecordBatch.from_arrays([part.column(1).take(index), part.column(2).take(index), pa.array(at[first]), pa.array(length)], names=[*KEY, "start", "length"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on in the next batch
-        if cut:
-            yield close(_joined([*held, batch.slice(0, cut)]))
-            held = []
-        elif held and held[-1].column(0)[0].as_py() != keys[0]:
-            yield close(_joined(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield close(_joined(held))
+def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Stretches of window starts whose hash comes at two places or more under its key, each beside another such place.
+
+    That other place is the first of the equal windows by text key and start (the second for the first itself);
+    a stretch goes on as long as both sides do.
+    """
+    listed, hashes = part.column(3), part.column(4)
+    flat, firsts = hashes.flatten().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
+    sizes, begin = np.diff(hashes.offsets.to_numpy()), listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py()
+    row = np.repeat(np.arange(part.num_rows), sizes)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    short = (np.diff(listed.offsets.to_numpy()) < sizes)[row]
+    start = firsts[begin[row] + np.where(short, 0, within)] + np.where(short, within, 0)
+    k1, k2 = (part.column(i).to_numpy() for i in (1, 2))
+    by = np.lexsort((k2, k1))
+    text = np.empty(part.num_rows, dtype=np.int64)  # texts numbered in the order of their keys
+    text[by] = np.cumsum(np.concatenate([[0], (np.diff(k1[by]) != 0) | (np.diff(k2[by]) != 0)]))
+    key = part.column(0).to_numpy()[row]
+    order = np.lexsort((start, text[row], flat, key))
+    k, h, t, at, r = key[order], flat[order], text[row[order]], start[order], row[order]
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    fresh = opens.copy()
+    fresh[1:] |= (t[1:] != t[:-1]) | (at[1:] != at[:-1])
+    opens, t, at, r = opens[fresh], t[fresh], at[fresh], r[fresh]
+    first = np.nonzero(opens)[0]
+    size = np.diff(np.append(first, len(opens)))
+    other = np.repeat(first, size)
+    other[first] += size > 1
+    kept = np.nonzero(np.repeat(size, size) > 1)[0]
+    kept = kept[np.lexsort((at[kept], t[kept]))]
+    t, at, r, other_t, other_at, other_r = t[kept], at[kept], r[kept], t[other[kept]], at[other[kept]], r[other[kept]]
+    opens = np.ones(len(kept), dtype=bool)
+    opens[1:] = (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1) | (other_t[1:] != other_t[:-1]) | (other_at[1:] != other_at[:-1] + 1)
+    first = np.nonzero(opens)[0]
+    length = np.diff(np.append(first, len(kept)))
+    columns = [k1[r[first]], k2[r[first]], at[first], length, k1[other_r[first]], k2[other_r[first]], other_at[first]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=STRETCH)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches from window rows sorted by key."""
+    held: list[pa.RecordBatch] = []
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on in the next batch
+            if cut:
+                yield _stretches(_joined([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != keys[0]:
+                yield _stretches(_joined(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _stretches(_joined(held))
+    finally:
+        release_memory()
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+class _Text:
+    """A text's words and the bytes of any stretch of them."""
+
+    def __init__(self, text: bytes):
+        self.words = text.split()
+        self.line = b" ".join(self.words)
+        self.begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words)) + 1)])
+
+    def digests(self, starts: list[int], lengths: list[int]) -> list[bytes]:
+        """128-bit digests of the words in each stretch of windows."""
+        begin, line = self.begin, self.line
+        return [blake2b(line[begin[s] : begin[s + n - 1 + WINDOW] - 1], digest_size=16).digest() for s, n in zip(starts, lengths)]
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the stretches that others are to be compared with."""
+    for batch in chunks(_firsts(batches), "__text", PARSE_BYTES):
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        asked = column["__asked"]
+        starts, lengths = (asked.flatten().field(i) for i in ("start", "length"))
+        digests: list[bytes] = []
+        bounds = asked.offsets.to_numpy() - asked.offsets[0].as_py()
+        a, b = starts.to_pylist(), lengths.to_pylist()
+        for i, text in enumerate(column["__text"].to_pylist()):
+            digests += _Text(text).digests(a[bounds[i] : bounds[i + 1]], b[bounds[i] : bounds[i + 1]])
+        index = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+        yield pa.RecordBatch.from_arrays([*[column[k].take(index) for k in KEY], starts, lengths, pa.array(digests, pa.binary())], names=[*OTHER, "other_start", "length", "digest"])
+
+
 def _cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Words in any window of the stretches."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -224,60 +291,88 @@ def _cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds n_words, n_removed (long) and kept_text to every document.
+def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, n_removed (long) and kept_text to every row.
 
     Words stand between ASCII white space and are compared unchanged. Every word in a window of WINDOW
-    words whose words also start anywhere else, in this document or another, is removed; windows are judged on
-    the input. Null and shorter texts lose nothing. A repeated row is another place, so repeated rows lose
-    their long runs too. An empty table gives no rows; other columns pass through.
-
-    Anchors go through Spark first: only those that come twice can belong to a repeat. Windows under them are
-    then compared by their hashes, under equal anchors, in tasks that hold one anchor's rows at a time (at most
-    HOT); the windows of more frequent anchors are counted by a distributed aggregation instead. Texts move once.
+    words whose words also start anywhere else, in this text or another, is removed; windows are judged on
+    the input. Null and shorter texts lose nothing. A repeated row is another place, so a text of WINDOW words
+    or more that comes twice loses all its words. An empty table gives no rows; other columns pass through.
+
+    Texts are known by a 128-bit key, so that copies are read once and cost no more than their rows. Anchors go
+    through Spark first: only those that come twice can belong to a repeat. Windows under them are then compared
+    by their hashes, in tasks that hold one anchor's rows at a time (at most HOT); the windows of more frequent
+    anchors are folded by a distributed aggregation instead. In the end each repeated stretch is compared with
+    the other place it was found at, by a cryptographic digest of the words there; one that differs stays.
     """
-    docs, unpack = pack_columns(docs, id_col, text_col)
-    names = docs.columns
-    source = with_row_key(docs, id_col, text_col)
+    docs, unpack = pack_columns(docs, text_col)
+    rest = [c for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    source = small_batches(docs).select(*rest, F.col(f"`{text_col}`").isNull().alias("__null"), text.alias("__text"), F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2"))
     long_key = "__k1 long, __k2 long"
+
+    def of_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows beside what is known of their text. The lists are written, so both sides are dealt anew and Spark can split a frequent text."""
+        own = written(lists).withColumnsRenamed({"__k1": "__j1", "__k2": "__j2"})
+        return source.join(own, (source["__k1"] == own["__j1"]) & (source["__k2"] == own["__j2"]), how)
+
     found = written(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
     counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), (F.col("n") > HOT).alias("hot"))
     counted = checkpoint(counted)
     repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "hot", F.struct("position", "key").alias("a"))
 
     def windows(anchors_: DataFrame) -> DataFrame:
-        listed = anchors_.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one document, bounded by its words
-        listed = listed.select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__anchors")
-        on = (source["__k1"] == listed["__j1"]) & (source["__k2"] == listed["__j2"])
-        return source.join(listed, on).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
+        listed = anchors_.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one text, bounded by its words
+        return of_texts(listed).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
 
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long, length long")
+    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long, length long, __o1 long, __o2 long, other_start long")
     if not counted.where("hot").isEmpty():
         each = windows(repeated.where("hot")).select("key", *KEY, "starts", F.posexplode("hashes").alias("i", "hash"))
         start = F.coalesce(F.get("starts", "i"), F.get("starts", F.lit(0)) + F.col("i")).cast("long")
-        each = each.select("key", "hash", *KEY, start.alias("start"))
-        twice = each.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
-        places = places.unionByName(each.join(twice, (each["key"] == twice["__key"]) & (each["hash"] == twice["__hash"])).select(*KEY, "start", F.lit(1).cast("long").alias("length")))
-    starts = places.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("__starts")).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "__starts")
-    joined = source.join(starts, (source["__k1"] == starts["__j1"]) & (source["__k2"] == starts["__j2"]), "left")
-    out_schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
+        each = each.select("key", "hash", F.struct(*KEY, start.alias("start")).alias("place"))
+        folded = each.groupBy("key", "hash").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
+        folded = folded.select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "least", "most")
+        other = F.when(F.col("place") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+        hot = each.join(folded, (each["key"] == folded["__key"]) & (each["hash"] == folded["__hash"])).select("place", other.alias("other")).distinct()
+        hot = hot.select("place.*", F.lit(1).cast("long").alias("length"), *[F.col("other").getField(k).alias(o) for k, o in zip([*KEY, "start"], [*OTHER, "other_start"])])
+        places = places.unionByName(hot)
+    places = written(places)
+
+    asked = places.select(F.col("__o1").alias("__k1"), F.col("__o2").alias("__k2"), F.struct(F.col("other_start").alias("start"), "length").alias("a"))
+    asked = asked.groupBy(*KEY).agg(F.collect_set("a").alias("__asked"))
+    digests = of_texts(asked).select("__text", *KEY, "__asked").mapInArrow(_digest_rows, "__o1 long, __o2 long, other_start long, length long, digest binary")
+    # one row even where the copies of a text were read by several tasks
+    digests = written(digests.dropDuplicates([*OTHER, "other_start", "length"]))
+    checks = places.join(digests, [*OTHER, "other_start", "length"]).select(*KEY, F.struct("start", "length", "digest").alias("s"), F.lit(0).alias("copies"))
+    copies = source.groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1")
+    ruled = checks.unionByName(copies.select(*KEY, F.lit(None).cast(checks.schema["s"].dataType).alias("s"), F.lit(1).alias("copies")))
+    ruled = ruled.groupBy(*KEY).agg(F.collect_list("s").alias("__stretches"), (F.max("copies") > 0).alias("__copied"))
+    joined = of_texts(ruled, "left")
+    names = [*rest, "__null", "__text"]
+    out_schema = source.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", PARSE_BYTES):
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name.startswith("__")}
             rows = []
-            for text, at in zip(column["__text"].to_pylist(), column["__starts"]):
-                words = text.split()
-                if at.is_valid:
-                    gone = _cover(len(words), *(at.values.field(i).to_numpy() for i in range(2)))
-                    rows.append((len(words), int(gone.sum()), b" ".join(compress(words, (~gone).tolist())).decode()))
+            for value, listed, copied in zip(column["__text"].to_pylist(), column["__stretches"], column["__copied"].to_pylist()):
+                if copied and len(words := value.split()) >= WINDOW:
+                    rows.append((len(words), len(words), ""))
+                elif listed.is_valid and len(listed.values):
+                    held = _Text(value)
+                    starts, lengths = (listed.values.field(i).to_numpy() for i in range(2))
+                    same = [a == b for a, b in zip(held.digests(starts.tolist(), lengths.tolist()), listed.values.field(2).to_pylist())]
+                    gone = _cover(len(held.words), starts[same], lengths[same])
+                    rows.append((len(held.words), int(gone.sum()), b" ".join(compress(held.words, (~gone).tolist())).decode()))
                 else:
+                    words = value.split()
                     rows.append((len(words), 0, b" ".join(words).decode()))
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *made], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    return unpack(joined.mapInArrow(remove, out_schema))
+    out = joined.mapInArrow(remove, out_schema).withColumn(text_col, F.when(~F.col("__null"), F.col("__text").cast("string"))).drop("__null", "__text")
+    return unpack(out.select(*docs.columns, "n_words", "n_removed", "kept_text"))
 
 
 def op7_recompression(spark, sf_dir: str) -> DataFrame:

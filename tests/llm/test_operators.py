@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,6 +408,40 @@ def test_substring_anchors_depend_on_windows_alone():
     assert len(found.window) == len(words) - substrings.WINDOW + 1
 
 
+def test_substrings_many_copies(spark):
+    """Copies of one text cost their rows alone: lists of stretches are made once for each text."""
+    rng = random.Random(5)
+    text = " ".join(word(rng) for _ in range(400))
+    other = " ".join(word(rng) for _ in range(50))
+    rows = [(i, text) for i in range(3000)] + [(3000, other + " " + text[: len(text) // 2]), (3001, "only here " + other)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {r[0]: (r[1], r[2]) for r in brute_repeats([(0, text), (1, text), *rows[3000:]])}
+    assert all(got[i] == want[0] == (400, 400) for i in range(3000))
+    assert [got[3000], got[3001]] == [want[3000], want[3001]]
+
+
+def test_substrings_verify_words(spark, monkeypatch):
+    """Stretches whose hashes agree without their words doing so stay."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(word(rng) for _ in range(45))) for i in range(40)]
+    real = substrings._window_rows
+
+    def colliding(batches):
+        for batch in real(batches):
+            hashes = batch.column(4)
+            same = pa.ListArray.from_arrays(hashes.offsets, pa.array(np.zeros(len(hashes.values), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), *[batch.column(i) for i in range(1, 4)], same], names=batch.schema.names)
+
+    def listed(batches):  # every anchor counts as repeated
+        for batch in substrings_anchor_rows(batches):
+            yield from (batch, batch)
+
+    substrings_anchor_rows = substrings._anchor_rows
+    monkeypatch.setattr(substrings, "_window_rows", colliding)
+    monkeypatch.setattr(substrings, "_anchor_rows", listed)
+    assert all(r.n_removed == 0 and r.n_words == 45 for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+
+
 def test_substrings_edges(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     long = " ".join(f"w{i}" for i in range(40))
