@@ -63,6 +63,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_anew(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Renames keys (old name to new) behind an expression, so that a join shuffles rows that were aggregated by them once more.
+
+    With a shuffle of its own on both sides Spark can split a frequent key of the other side over tasks.
+    """
+    return df.select(*[F.col(k).bitwiseXOR(F.lit(1).cast("long")).bitwiseXOR(F.lit(1).cast("long")).alias(new) for k, new in keys.items()], *[c for c in df.columns if c not in keys])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices record batches so that `column` (binary) has about `limit` bytes in each; one longer value stands alone.
 

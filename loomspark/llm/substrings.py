@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, checkpoint, chunks, mix, pack_columns, read_words, release_memory, small_batches, spans, written
+from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, small_batches, spans, written
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -312,39 +312,39 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     long_key = "__k1 long, __k2 long"
 
     def of_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
-        """Rows beside what is known of their text. The lists are written, so both sides are dealt anew and Spark can split a frequent text."""
-        own = written(lists).withColumnsRenamed({"__k1": "__j1", "__k2": "__j2"})
+        """Rows beside what is known of their text; all columns, so that the texts are dealt out once for all uses."""
+        own = dealt_anew(lists, {"__k1": "__j1", "__k2": "__j2"})
         return source.join(own, (source["__k1"] == own["__j1"]) & (source["__k2"] == own["__j2"]), how)
 
     found = written(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
-    counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"), (F.col("n") > HOT).alias("hot"))
-    counted = checkpoint(counted)
-    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "hot", F.struct("position", "key").alias("a"))
+    counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = dealt_anew(counted, {"key": "__key"})
+    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "n", F.struct("position", "key").alias("a"))
 
     def windows(anchors_: DataFrame) -> DataFrame:
         listed = anchors_.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one text, bounded by its words
         return of_texts(listed).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
 
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = windows(repeated.where("NOT hot")).repartition(spread, "key").sortWithinPartitions("key").mapInArrow(_repeated, f"{long_key}, start long, length long, __o1 long, __o2 long, other_start long")
-    if not counted.where("hot").isEmpty():
-        each = windows(repeated.where("hot")).select("key", *KEY, "starts", F.posexplode("hashes").alias("i", "hash"))
-        start = F.coalesce(F.get("starts", "i"), F.get("starts", F.lit(0)) + F.col("i")).cast("long")
-        each = each.select("key", "hash", F.struct(*KEY, start.alias("start")).alias("place"))
-        folded = each.groupBy("key", "hash").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
-        folded = folded.select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "least", "most")
-        other = F.when(F.col("place") == F.col("least"), F.col("most")).otherwise(F.col("least"))
-        hot = each.join(folded, (each["key"] == folded["__key"]) & (each["hash"] == folded["__hash"])).select("place", other.alias("other")).distinct()
-        hot = hot.select("place.*", F.lit(1).cast("long").alias("length"), *[F.col("other").getField(k).alias(o) for k, o in zip([*KEY, "start"], [*OTHER, "other_start"])])
-        places = places.unionByName(hot)
-    places = written(places)
+    usual = windows(repeated.where(F.col("n") <= HOT)).repartition(spread, "key").sortWithinPartitions("key")
+    usual = usual.mapInArrow(_repeated, f"{long_key}, start long, length long, __o1 long, __o2 long, other_start long")
+    each = windows(repeated.where(F.col("n") > HOT)).select("key", *KEY, "starts", F.posexplode("hashes").alias("i", "hash"))
+    start = F.coalesce(F.get("starts", "i"), F.get("starts", F.lit(0)) + F.col("i")).cast("long")
+    each = each.select("key", "hash", F.struct(*KEY, start.alias("start")).alias("place"))
+    folded = each.groupBy("key", "hash").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
+    folded = dealt_anew(folded, {"key": "__key", "hash": "__hash"})
+    other = F.when(F.col("place") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    frequent = each.join(folded, (each["key"] == folded["__key"]) & (each["hash"] == folded["__hash"])).select("place", other.alias("other"))
+    frequent = frequent.select("place.*", F.lit(1).cast("long").alias("length"), *[F.col("other").getField(k).alias(o) for k, o in zip([*KEY, "start"], [*OTHER, "other_start"])])
+    places = usual.unionByName(frequent)
 
     asked = places.select(F.col("__o1").alias("__k1"), F.col("__o2").alias("__k2"), F.struct(F.col("other_start").alias("start"), "length").alias("a"))
     asked = asked.groupBy(*KEY).agg(F.collect_set("a").alias("__asked"))
-    digests = of_texts(asked).select("__text", *KEY, "__asked").mapInArrow(_digest_rows, "__o1 long, __o2 long, other_start long, length long, digest binary")
+    digests = of_texts(asked).mapInArrow(_digest_rows, "__o1 long, __o2 long, other_start long, length long, digest binary")
     # one row even where the copies of a text were read by several tasks
-    digests = written(digests.dropDuplicates([*OTHER, "other_start", "length"]))
-    checks = places.join(digests, [*OTHER, "other_start", "length"]).select(*KEY, F.struct("start", "length", "digest").alias("s"), F.lit(0).alias("copies"))
+    span = [*OTHER, "other_start", "length"]
+    digests = dealt_anew(digests.dropDuplicates(span), {c: f"{c}_" for c in span})
+    checks = places.join(digests, [places[c] == digests[f"{c}_"] for c in span]).select(*KEY, F.struct("start", "length", "digest").alias("s"), F.lit(0).alias("copies"))
     copies = source.groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1")
     ruled = checks.unionByName(copies.select(*KEY, F.lit(None).cast(checks.schema["s"].dataType).alias("s"), F.lit(1).alias("copies")))
     ruled = ruled.groupBy(*KEY).agg(F.collect_list("s").alias("__stretches"), (F.max("copies") > 0).alias("__copied"))
