@@ -25,9 +25,15 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Opening one of these ends an open element of the set beside it.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: Groups of elements that end one another: opening one of `by` ends the nearest open one of `ends`, unless one of `scope` was opened in between.
+ENDS = (
+    ("by block tags", {"p"}, {"td", "th", "button"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu", "dir"}),
+    ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    ({"tr"}, {"tr"}, {"table"}),
+    ({"td", "th"}, {"td", "th"}, {"table", "tr"}),
+    ({"option"}, {"option"}, set()),
+)
 BOILER_TAGS = frozenset("nav aside footer form menu dialog button search".split())
 BOILER_WORDS = frozenset(
     "nav navbar navigation menu menubar topbar sidebar sidebars side rail aside footer ad ads adslot adsbygoogle advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter"
@@ -39,10 +45,17 @@ CONTENT_WORDS = frozenset("article post entry story content main body text".spli
 #: Names of containers that hold the main text where a page has no article element.
 MAIN_WORDS = frozenset("article content entry main post story".split())
 
-#: Evidence, in the units of the capacities, for and against a block being content.
-IN_ARTICLE, BESIDE_ARTICLE, HINTED = 8.0, -8.0, -20.0
-#: Smoothness between neighbours in page order (less by each step apart in the tree) and between blocks of one parent.
-ADJACENT, SIBLING = 1.6, 0.8
+#: The block classifier: log-odds of being content, as weights of a block's features.
+BIAS = 0.5
+LENGTH, SHORT, LONG = 0.9, -2.0, 2.5  # times ln(characters / 40), held between SHORT and LONG
+LINKS, LINKS_INSIDE = -4.0, -1.0  # times the share of characters in links; articles have links, too
+SENTENCE, PARAGRAPH, HEADING = 0.6, 0.6, 1.0  # ends as a sentence does; kind of its element
+OUTSIDE = -3.5  # beside the page's article or main container, where it has one
+BOILERPLATE = -5.0  # under an element whose kind, role or name says so
+#: Log-odds beyond this are no surer: a terminal stays weaker than the edges of a block amid others.
+SUREST = 3.0
+#: Smoothness between neighbours in page order (less by each step apart in the tree), across the border of an article or of boilerplate, and between blocks of one parent.
+ADJACENT, BORDER, SIBLING = 2.6, 0.05, 0.8
 
 
 @dataclass(slots=True)
@@ -59,12 +72,17 @@ class Block:
 
 @dataclass(slots=True)
 class _Open:
+    """An open element, with what it takes over from those around it, so that nothing is searched for in the stack."""
+
     tag: str
     number: int
     article: bool
     main: bool
     hinted: bool
     link: bool
+    holder: str  # tag of the nearest block-level element, itself included
+    parent: int  # number of the element around that one
+    ends: tuple[int, ...]  # stack index of the element that each group of ENDS would end, or 0
 
 
 def _holds_main(tag: str, attrs: str) -> bool:
@@ -92,9 +110,9 @@ def _hinted(tag: str, attrs: str, within_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text between block-level tags, in page order, character references decoded and white space folded."""
-    root = _Open("", 0, False, False, False, False)
-    stack, opened = [root], Counter()
+    """Text between block-level tags, in page order, character references decoded and white space folded; in linear time."""
+    none = (0,) * len(ENDS)
+    stack, opened = [_Open("", 0, False, False, False, False, "", 0, none)], Counter()
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     number = at = 0
@@ -105,9 +123,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html_refs.unescape("".join(t for t, _ in parts)).split())
             if text:
                 links = sum(len(t.strip()) for t, link in parts if link)
-                holder = next((x for x in reversed(stack) if x.tag in BLOCK_TAGS), root)
                 top = stack[-1]
-                out.append(Block(text, min(links, len(text)), holder.tag, stack[stack.index(holder) - 1].number if holder is not root else 0, len(stack), top.article, top.main, top.hinted))
+                out.append(Block(text, min(links, len(text)), top.holder, top.parent, len(stack), top.article, top.main, top.hinted))
             parts = []
 
     def close_to(index: int) -> None:
@@ -115,14 +132,6 @@ def blocks(page: str) -> list[Block]:
             opened[x.tag] -= 1
         del stack[index:]
 
-    def close_open(tags: set[str], scope: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return close_to(i)
-            if stack[i].tag in scope:
-                return None
-        return None
-
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             parts.append((page[at : m.start()], stack[-1].link))
@@ -136,26 +145,31 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append((" ", False))
             continue
-        if tag in BLOCK_TAGS:
+        is_block = tag in BLOCK_TAGS
+        if is_block:
             flush()
         if m["end"]:
             if opened[tag]:
                 i = len(stack) - 1
-                while stack[i].tag != tag:
+                while stack[i].tag != tag:  # what is passed is closed
                     i -= 1
                 close_to(i)
             continue
-        if tag in BLOCK_TAGS and opened["p"]:
-            close_open({"p"}, {"td", "th", "button"})
-        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
-            close_open(CLOSES[tag], SCOPES.get(tag, set()))
+        for group, (by, _, _) in enumerate(ENDS):
+            if (is_block if group == 0 else tag in by) and stack[-1].ends[group]:
+                close_to(stack[-1].ends[group])
         if tag in VOID_TAGS:
             continue
         up = stack[-1]
         number += 1
         article = up.article or tag == "article"
         hinted = up.hinted or _hinted(tag, m["attrs"], up.article)
-        stack.append(_Open(tag, number, article, up.main or not hinted and _holds_main(tag, m["attrs"]), hinted, up.link or tag == "a"))
+        main = up.main or not hinted and _holds_main(tag, m["attrs"])
+        ends = up.ends
+        if any(tag in ended or tag in scope for _, ended, scope in ENDS):
+            ends = tuple(len(stack) if tag in ended else 0 if tag in scope else old for old, (_, ended, scope) in zip(ends, ENDS))
+        holder, parent = (tag, up.number) if is_block else (up.holder, up.parent)
+        stack.append(_Open(tag, number, article, main, hinted, up.link or tag == "a", holder, parent, ends))
         opened[tag] += 1
     if at < len(page):
         parts.append((page[at:], stack[-1].link))
@@ -164,15 +178,15 @@ def blocks(page: str) -> list[Block]:
 
 
 def evidence(block: Block, has_article: bool, has_main: bool) -> float:
-    """Positive for content, negative for boilerplate; the classifier behind the terminal capacities."""
-    n = len(block.text)
-    score = max(0.0, min(4.0, 1.2 * math.log(n / 40))) - 5.0 * block.link_chars / n
-    score += 1.0 * (block.tag in ("p", "pre", "blockquote")) + 0.7 * (block.text[-1] in ".!?…。\"”") + 0.8 * (block.tag in ("h1", "h2", "h3"))
-    if has_article:
-        score = IN_ARTICLE if block.article else BESIDE_ARTICLE
-    elif has_main:
-        score = IN_ARTICLE if block.main else BESIDE_ARTICLE
-    return score + HINTED * block.hinted
+    """The classifier behind the terminal capacities: positive for content, negative for boilerplate, SUREST at most either way."""
+    n, marked = len(block.text), has_article or has_main
+    inside = block.article if has_article else block.main
+    score = BIAS + LENGTH * min(max(math.log(n / 40), SHORT), LONG) + (LINKS_INSIDE if marked and inside else LINKS) * block.link_chars / n
+    score += SENTENCE * (block.text[-1] in ".!?…。\"”")
+    score += PARAGRAPH if block.tag in ("p", "pre", "blockquote", "li") else HEADING if block.tag in ("h1", "h2", "h3") else 0.0
+    score += OUTSIDE * (marked and not inside)
+    score += BOILERPLATE * block.hinted
+    return min(max(score, -SUREST), SUREST)
 
 
 def min_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -257,11 +271,8 @@ def min_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> list[
     return label
 
 
-def extract(page: str | None) -> str:
-    """The page's main text, one line a block."""
-    found = blocks(page or "")
-    if not found:
-        return ""
+def graph(found: list[Block]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Terminal capacities of the blocks and the edges between them."""
     has_article = any(b.article and not b.hinted for b in found)
     has_main = any(b.main and not b.hinted for b in found)
     edges: dict[tuple[int, int], float] = {}
@@ -269,14 +280,19 @@ def extract(page: str | None) -> str:
     for i, b in enumerate(found):
         if i:
             before = found[i - 1]
-            apart = abs(b.depth - before.depth) + (b.parent != before.parent) + 3 * (b.hinted != before.hinted)
-            edges[i - 1, i] = ADJACENT / (1 + apart)
-        if b.parent in last:
+            apart = abs(b.depth - before.depth) + (b.parent != before.parent)
+            edges[i - 1, i] = BORDER if b.hinted != before.hinted or b.article != before.article else ADJACENT / (1 + apart / 4)
+        if b.parent in last and b.hinted == found[last[b.parent]].hinted:
             pair = (last[b.parent], i)
             edges[pair] = edges.get(pair, 0.0) + SIBLING
         last[b.parent] = i
-    labels = min_cut([evidence(b, has_article, has_main) for b in found], edges)
-    return "\n".join(b.text for b, content in zip(found, labels) if content)
+    return [evidence(b, has_article, has_main) for b in found], edges
+
+
+def extract(page: str | None) -> str:
+    """The page's main text, one line a block."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, content in zip(found, min_cut(*graph(found))) if content)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:

@@ -6,11 +6,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -551,6 +554,89 @@ def test_html_edges(spark):
     assert html_extract.extract_pages(rows.limit(0)).count() == 0
 
 
+def sf_pages(sf):
+    return pq.read_table(f"{sf}/pages.parquet").to_pylist()
+
+
+class Article(HTMLParser):
+    """The driver's pages by the standard parser: text of the blocks inside the article element."""
+
+    def __init__(self):
+        super().__init__()
+        self.deep, self.blocks, self.parts = 0, [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK_TAGS:
+            self.cut()
+        elif tag == "br":
+            self.parts.append(" ")
+        self.deep += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK_TAGS:
+            self.cut()
+        self.deep -= tag == "article"
+
+    def handle_data(self, data):
+        if self.deep:
+            self.parts.append(data)
+
+
+def test_html_query_against_the_marked_article(spark, sf):
+    """op4 on the driver's pages, whose article element holds the whole main text and nothing else."""
+    want = {}
+    for page in sf_pages(sf):
+        reader = Article()
+        reader.feed(page["html"])
+        reader.cut()
+        want[page["page_id"]] = "\n".join(reader.blocks)
+    got = {r.page_id: r for r in html_extract.op4_min_cut_extraction(spark, sf).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_html_cut_decides(sf):
+    """The flow overrules the classifier on some blocks, and finds the text of pages that don't mark it as an article."""
+    flips = blocks = wrong = 0
+    for page in sf_pages("/root/testdata/sf0.01"):
+        found = html_extract.blocks(page["html"])
+        terminal, edges = html_extract.graph(found)
+        labels = html_extract.min_cut(terminal, edges)
+        flips += sum((t > 0) != x for t, x in zip(terminal, labels))
+        bare = html_extract.blocks(page["html"].replace("<article", "<div").replace("</article", "</div"))
+        assert len(bare) == len(found)
+        wrong += sum(x != y for x, y in zip(html_extract.min_cut(*html_extract.graph(bare)), labels))
+        blocks += len(found)
+    assert 0 < flips < 0.05 * blocks
+    assert wrong < 0.05 * blocks
+
+
+def test_html_flow_joins_weak_blocks_to_their_neighbours():
+    """Short lines between paragraphs are content, the same lines between links aren't."""
+    long = "A sentence that goes on for a while, so that nobody takes it for a menu, and then a bit more."
+    page = f"<div><p>{long}</p><p>Oh.</p><p>{long}</p></div><ul><li><a href=x>Home page of all</a></li><li>Ok</li><li><a href=y>Contact us now</a></li></ul>"
+    found = html_extract.blocks(page)
+    terminal, _ = html_extract.graph(found)
+    assert terminal[1] < 0
+    assert html_extract.extract(page) == f"{long}\nOh.\n{long}"
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<p><td><div>x ", "<li><b>y ", "<p>x</b> ", "<dl><dt>z "])
+def test_html_time_is_linear_in_nesting(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.extract(piece * n)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert min(seconds(12_000) for _ in range(3)) < 5 * min(seconds(4_000) for _ in range(3)) + 0.05
+
+
 # ------------------------------------------------------------------ 5 quality
 
 
