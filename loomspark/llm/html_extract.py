@@ -212,9 +212,22 @@ def min_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> list[
                     weight[j] -= w
                     del near[j][i]
                     queue.append(j)
-    rest = [i for i in range(n) if label[i] is None]
-    if not rest:
-        return label
+    seen = [x is not None for x in label]
+    for i in range(n):  # what the settled nodes have parted is cut on its own
+        if not seen[i]:
+            seen[i], part = True, [i]
+            for j in part:
+                for k in near[j]:
+                    if not seen[k]:
+                        seen[k] = True
+                        part.append(k)
+            for j, content in zip(part, _source_side(part, force, near)):
+                label[j] = content
+    return label
+
+
+def _source_side(rest: list[int], force: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Of nodes connected by edges: whether the source still reaches each after a maximum flow (Dinic's)."""
     number = {i: k for k, i in enumerate(rest)}
     source, sink = len(rest), len(rest) + 1
     room: list[dict[int, float]] = [{} for _ in range(len(rest) + 2)]
@@ -256,8 +269,6 @@ def min_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> list[
             else:
                 path.pop()
                 level[u] = -1
-    for i in rest:
-        label[i] = level.get(number[i], -1) >= 0
     # the search above marks dead ends with -1; what the source still reaches is found anew
     reached, wave = {source}, deque([source])
     while wave:
@@ -266,9 +277,7 @@ def min_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> list[
             if c > 1e-9 and v not in reached:
                 reached.add(v)
                 wave.append(v)
-    for i in rest:
-        label[i] = number[i] in reached
-    return label
+    return [number[i] in reached for i in rest]
 
 
 def graph(found: list[Block]) -> tuple[list[float], dict[tuple[int, int], float]]:
