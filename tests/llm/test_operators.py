@@ -714,7 +714,7 @@ def test_viterbi_is_optimal():
         rows = [(0, t, *chat.message(rng.choice(["User: hi?", "Assistant: ok\nplain", "plain", "why?\nok"]), rng.choice([None, "user", "gpt"]))) for t in range(4)]
         scores = [s for r in rows for s in r[2]]
         starts = [s for r in rows for s in r[3]]
-        value = lambda p: chat.FIRST[p[0]] + scores[0][p[0]] + sum((chat.NEXT if starts[i] else chat.STAY)[p[i - 1]][p[i]] + scores[i][p[i]] for i in range(1, len(p)))  # noqa: B023, E731
+        value = lambda p: chat.UNTRAINED.first[p[0]] + scores[0][p[0]] + sum((chat.UNTRAINED.next if starts[i] else chat.STAY)[p[i - 1]][p[i]] + scores[i][p[i]] for i in range(1, len(p)))  # noqa: B023, E731
         got = [chat.ROLES.index(s[3]) for s in chat.segments(rows) for _ in range(s[5].count("\n") + 1)]
         assert value(got) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(scores)))))
 
@@ -722,8 +722,42 @@ def test_viterbi_is_optimal():
 def test_chat_large_conversations_agree(spark, monkeypatch):
     rows = spark.createDataFrame(transcripts(), CHAT)
     small = sorted(map(tuple, chat.parse_transcripts(rows, role_col="role").collect()))
+    model = chat.fit(rows)
     monkeypatch.setattr(chat, "LARGE", 10)
     assert sorted(map(tuple, chat.parse_transcripts(rows, role_col="role").collect())) == small
+    assert chat.fit(rows) == model
+    monkeypatch.setattr(chat, "LARGE", 50_000)
+    monkeypatch.setattr(chat, "LARGE_BYTES", 200)  # few, but long messages
+    assert sorted(map(tuple, chat.parse_transcripts(rows, role_col="role").collect())) == small
+    assert chat.fit(rows) == model
+
+
+def test_chat_counts(spark):
+    """First roles and next roles as counted by hand; messages of unknown role part what they stand between."""
+    rows = spark.createDataFrame(transcripts(turns=9), CHAT)
+    first, following = np.zeros(3), np.zeros((3, 3))
+    for _, turns in itertools.groupby(transcripts(turns=9), key=lambda r: r[0]):
+        known = [chat.ALIASES.get(r[2] or "", -1) for r in turns]
+        if known[0] >= 0:
+            first[known[0]] += 1
+        for a, b in itertools.pairwise(known):
+            if a >= 0 and b >= 0:
+                following[a, b] += 1
+    want = chat.Model.of(first, following, [np.zeros((n, 3)) for n in chat.VALUES])
+    got = chat.fit(rows)
+    assert got.first == pytest.approx(want.first) and np.allclose(got.next, want.next)
+
+
+def test_chat_recovers_hidden_roles(spark):
+    """op6 on the driver's conversations, whose roles it doesn't see: per role on the held-out ones, and no message lost."""
+    table = "/root/testdata/sf0.1"
+    got = chat.op6_transcript_roles(spark, table).where(chat.held_out("conv_id")).select("conv_id", "turn", "role", "text")
+    truth = spark.read.parquet(f"{table}/conversations.parquet").where(chat.held_out("conv_id"))
+    both = truth.withColumnsRenamed({"role": "want", "text": "own"}).join(got, ["conv_id", "turn"]).collect()
+    assert len(both) == truth.count() > 1000 and all(r.text == r.own.strip("\n") for r in both)
+    for role in chat.ROLES:
+        hits = [r.role == role for r in both if r.want == role]
+        assert np.mean(hits) > 0.93, (role, np.mean(hits), len(hits))
 
 
 def test_chat_rendering(spark):
