@@ -369,6 +369,57 @@ def test_decontamination_by_items_without_id(spark):
     assert [found[i].items_sha256 for i in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
 
 
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(0, 1 << b, 200) for b in range(1, 35)] + [[0, 127, 128, (1 << 35) - 1]])
+    data, n = decontaminate.packed(values)
+    assert np.array_equal(decontaminate.unpacked(data), values) and n.sum() == len(data)
+    assert len(decontaminate.unpacked(np.zeros(0, np.uint8))) == 0
+
+
+def test_index_holds_every_token(spark, docs):
+    """The stored index gives back each text's words in their places."""
+    source = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("__text"), F.col("doc_id").alias("__k1"), F.lit(1).cast("long").alias("__k2"))
+    back = {}
+    for row in decontaminate.build_index(source).collect():
+        base = np.cumsum(row["lengths"]) - row["lengths"] + np.arange(len(row["lengths"])) * decontaminate.GAP
+        place = {}
+        sizes = decontaminate.unpacked(np.frombuffer(row["sizes"], np.uint8))
+        for term, n, a, b in zip(row["vocabulary"].split(), decontaminate.unpacked(np.frombuffer(row["counts"], np.uint8)), np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+            list_ = np.cumsum(decontaminate.unpacked(np.frombuffer(row["postings"][a:b], np.uint8)))
+            assert len(list_) == n
+            place.update(dict.fromkeys(list_.tolist(), term))
+        for doc, begin, n in zip(row["k1"], base, row["lengths"]):
+            back[doc] = [place.pop(begin + i) for i in range(n)]
+        assert not place
+    assert back == {i: (t or "").encode().translate(decontaminate._TABLE).split() for i, t in corpus()}
+
+
+def test_decontamination_of_frequent_windows(spark):
+    """Many equal items and a text that repeats one window: no list grows with their product."""
+    phrase = "the cat sat on the mat and ate the rat today"
+    items = spark.createDataFrame([(i, phrase) for i in range(2000)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, " ".join([phrase] * 2000)), (2, phrase + " it ran"), (3, "the the")], DOCS)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in decontaminate.with_digest(decontaminate.find_contamination(rows, items)).collect()}
+    assert time.perf_counter() - began < 30
+    assert [(got[i].n_words, got[i].n_hit, got[i].n_items) for i in (1, 2, 3)] == [(22_000, 22_000, 2000), (13, 11, 2000), (2, 0, 0)]
+    assert len(got[1].matches) == 1 and got[1].items_sha256 == hashlib.sha256(",".join(sorted(map(str, range(2000)))).encode()).hexdigest()
+
+
+def test_decontamination_slices_agree(spark, docs, monkeypatch):
+    texts = [t for _, t in corpus() if t]
+    items = spark.createDataFrame([(i, t[:120]) for i, t in enumerate(texts)] + [(None, texts[4])], "item_id long, text string")
+    def result():
+        found = decontaminate.find_contamination(docs, items)
+        return sorted((r.doc_id, r.n_words, str(r.matches), str(sorted(map(str, r["items"]))), str(r.near), r.n_near) for r in found.collect())
+    whole = result()
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 700)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 50)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
+    assert [r[:4] for r in result()] == [r[:4] for r in whole]
+
+
 # ------------------------------------------------------------------ 7 substrings
 
 
