@@ -64,13 +64,13 @@ def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the index, one for each range of documents: its documents' keys and lengths, and the posting list of every term.
 
     Terms stand in the order of their hashes, as words; lists are differences of positions. `counts` has the
     entries and `sizes` the bytes of each list.
     """
-    for batch in chunks(batches, "__text", SHARD_BYTES):
+    for batch in chunks(batches, "__text", limit):
         words = read_words([t.translate(_TABLE) for t in batch.column(0).to_pylist()])
         lengths = np.diff(words.bounds, prepend=0)
         position = np.arange(len(words.hashes)) + np.repeat(np.arange(len(lengths)) * GAP, lengths)
@@ -96,7 +96,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     It is written to the shared folder as Parquet; terms and counts are read without the postings.
     """
-    return written(docs.select("__text", *KEY).mapInArrow(_index_rows, INDEX))
+    limit = SHARD_BYTES
+    return written(docs.select("__text", *KEY).mapInArrow(lambda batches: _index_rows(batches, limit), INDEX))
 
 
 @dataclass(frozen=True)
@@ -202,7 +203,7 @@ class Lists:
         return np.where(exact, 0, np.where(within, 1, 2))
 
 
-def match(lists: Lists, plan: Plan, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def match(lists: Lists, plan: Plan, slop: int, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Matches as (window, position of its rarest term, position where it starts, whether the phrase is exact), some at a time.
 
     Each window starts from the list of its rarest term; the lists of its other terms, from the rarest on, are
@@ -214,8 +215,8 @@ def match(lists: Lists, plan: Plan, slop: int) -> Iterator[tuple[np.ndarray, np.
     low, high = lists.of(plan.term[:, 0])
     reach = np.concatenate([[0], np.cumsum(high - low)])
     total = int(reach[-1])
-    for begin in range(0, total, CANDIDATES):
-        number = np.arange(begin, min(begin + CANDIDATES, total))
+    for begin in range(0, total, at_once):
+        number = np.arange(begin, min(begin + at_once, total))
         w = np.searchsorted(reach, number, "right") - 1
         anchor = lists.keys[low[w] + number - reach[w]] & ((1 << PLACE_BITS) - 1)
         start = anchor - plan.at[w, 0]
@@ -248,7 +249,7 @@ def _span_lists(doc: np.ndarray, start: np.ndarray, end: np.ndarray, docs: int)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"]))
 
 
-def _found_in_block(plan: Plan, slop: int, k1: pa.Array, k2: pa.Array, lengths: np.ndarray, blobs: list[bytes], every: bool) -> pa.RecordBatch:
+def _found_in_block(plan: Plan, slop: int, at_once: int, k1: pa.Array, k2: pa.Array, lengths: np.ndarray, blobs: list[bytes], every: bool) -> pa.RecordBatch:
     """For the documents of one block, all or those with matches: length, exact and near spans, and items; folded as they come."""
     lists, docs = Lists(plan.terms, *blobs), len(lengths)
     base = np.cumsum(lengths) - lengths + np.arange(docs) * GAP  # where each document begins
@@ -256,7 +257,7 @@ def _found_in_block(plan: Plan, slop: int, k1: pa.Array, k2: pa.Array, lengths:
     covers = np.zeros((2, size + 1), dtype=np.int64)
     n_near = np.zeros(docs, dtype=np.int64)
     pairs = np.zeros(0, dtype=np.int64)
-    for w, anchor, start, exact in match(lists, plan, slop):
+    for w, anchor, start, exact in match(lists, plan, slop, at_once):
         doc = np.searchsorted(base, anchor, "right") - 1
         begin, end = np.maximum(start, base[doc]), np.minimum(start + plan.length[w], base[doc] + lengths[doc])
         for cover, some in zip(covers, (exact, ~exact)):
@@ -312,7 +313,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // SLICE_BYTES) or 1
-    found = None
+    found, at_once = None, CANDIDATES
     for number in range(slices):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number) if slices > 1 else items
         terms = Terms.of([(i, bytes(t)) for i, t in own.collect()])  # bounded by the slice
@@ -322,7 +323,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             for batch in batches:
                 for i in range(batch.num_rows):
                     k1, k2, lengths = (batch.column(c)[i].values for c in range(3))
-                    yield _found_in_block(shared.value, slop, k1, k2, lengths.to_numpy().astype(np.int64), [batch.column(c)[i].as_py() for c in range(3, 7)], every)
+                    yield _found_in_block(shared.value, slop, at_once, k1, k2, lengths.to_numpy().astype(np.int64), [batch.column(c)[i].as_py() for c in range(3, 7)], every)
             release_memory()
 
         # copies of a text have equal rows

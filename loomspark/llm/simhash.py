@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import checkpoint, chunks, small_batches
+from loomspark.llm.common import checkpoint, chunks, mix, small_batches
 from loomspark.llm.components import connected_components
 
 BITS = 64
@@ -23,8 +23,12 @@ WIDTHS = (10, 9, 9, 9, 9, 9, 9)
 AGREE = len(WIDTHS) - MAX_DISTANCE
 #: Pivots spread at random, whose distances discard pairs before the exact check.
 FILTER_PIVOTS = 16
-#: Fingerprints that one cell may hold in a task's memory; fuller cells are linked through shared midpoints instead.
-CELL_MAX = 200_000
+#: Half blocks of the four blocks that a cell leaves open, and how many of those agree at least.
+OPEN, OPEN_AGREE = 8, 4
+#: Fingerprints that are searched one by one; fuller cells are split by the coordinates of half blocks first.
+SEARCHED = 512
+#: Fingerprints that one cell may hold in a task's memory; the parts of a fuller one are dealt out to tasks of their own.
+CELL_MAX = 1 << 17
 
 
 def _pivots() -> tuple[np.uint64, list[list[np.uint64]], np.ndarray]:
@@ -80,27 +84,50 @@ def distance_table(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int16)
 
 
+def coordinates(prints: np.ndarray) -> list[np.ndarray]:
+    """Block coordinates: along the pivots of a block the distance rises or falls by one a step, and the steps are the coordinate."""
+    out = []
+    for flips in BLOCK_PIVOTS:
+        table = distance_table(prints, np.array([BASE, *flips], dtype=np.uint64))
+        rises = (np.diff(table, axis=1) > 0).astype(np.int64)
+        out.append(rises @ (1 << np.arange(rises.shape[1], dtype=np.int64)))
+    return out
+
+
+CHOICES = list(combinations(range(len(WIDTHS)), AGREE))
+OPEN_CHOICES = list(combinations(range(OPEN), OPEN_AGREE))
+
+
 def cells(prints: np.ndarray) -> np.ndarray:
     """Cell numbers of each fingerprint, one for each choice of AGREE blocks.
 
-    Along the pivots of a block the distance rises or falls by one a step, and the steps are a block
-    coordinate. Fingerprints within MAX_DISTANCE agree in all coordinates of AGREE blocks at least, and so
-    share a cell.
+    Fingerprints within MAX_DISTANCE agree in all coordinates of AGREE blocks at least, and so share a cell.
     """
-    coordinates = []
-    for flips in BLOCK_PIVOTS:
-        table = distance_table(prints, np.array([BASE, *flips], dtype=np.uint64))
-        rises = (np.diff(table, axis=1) > 0).astype(np.int64)
-        coordinates.append(rises @ (1 << np.arange(rises.shape[1], dtype=np.int64)))
-    out = np.empty((len(prints), 0), dtype=np.int64)
-    for number, chosen in enumerate(combinations(range(len(WIDTHS)), AGREE)):
+    block = coordinates(prints)
+    out = np.empty((len(prints), len(CHOICES)), dtype=np.int64)
+    for number, chosen in enumerate(CHOICES):
         cell = np.full(len(prints), number, dtype=np.int64)
         for b in chosen:
-            cell = (cell << 10) | coordinates[b]
-        out = np.column_stack([out, cell])
+            cell = (cell << 10) | block[b]
+        out[:, number] = cell
     return out
 
 
+def parts(prints: np.ndarray, cell: int) -> Iterator[np.ndarray]:
+    """Numbers of the parts of a cell that each fingerprint belongs to, for one choice of OPEN_AGREE half blocks after the other.
+
+    A cell fixes AGREE blocks. The four others make eight halves, of which at most MAX_DISTANCE differ in what is
+    linked, so that two linked fingerprints share a part. A part fixes 46 of the 64 bits: it has 2**18 at most.
+    """
+    block = coordinates(prints)
+    halves = [h for b in range(len(WIDTHS)) if b not in CHOICES[cell >> 10 * AGREE] for h in (block[b] & 31, block[b] >> 5)]
+    for chosen in OPEN_CHOICES:
+        key = np.zeros(len(prints), dtype=np.int64)
+        for h in chosen:
+            key = (key << 5) | halves[h]
+        yield key
+
+
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each pair whether it lies within MAX_DISTANCE: first by the largest coordinate difference, then exactly."""
     difference = np.abs(distance_table(a, SPREAD) - distance_table(b, SPREAD)).max(axis=1)
@@ -109,12 +136,11 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return kept
 
 
-def link_cell(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is connected within one cell: a search over the members not reached so far.
+def search(prints: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what is connected among some fingerprints: a search over those not reached so far.
 
-    The members' distances to the spread pivots are computed once; the search discards by the largest
-    coordinate difference and verifies the survivors. A dense cell is reached from its first members, so the
-    work stays near linear there, and no pairs are kept.
+    Their distances to the spread pivots are computed once; the search discards by the largest coordinate
+    difference and verifies the survivors. What is dense is reached from its first members; no pairs are kept.
     """
     table = distance_table(prints, SPREAD)
     rest = np.arange(len(prints))
@@ -133,8 +159,64 @@ def link_cell(prints: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (cell, fp, rep) sorted by cell: rows (a, b, fp, heavy) of links, or of the members of an overfull cell."""
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if np.array_equal(up, parent):
+            return parent
+        parent = up
+
+
+def link_cell(prints: np.ndarray, cell: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected within one cell.
+
+    More than SEARCHED fingerprints are searched part by part. A part of up to eight is compared at once with all
+    others of its kind, a larger one by `search`, and one whose members are connected already not at all; so the
+    work grows with the members, whether they are linked or not.
+    """
+    if len(prints) <= SEARCHED:
+        return search(prints)
+    parent = np.arange(len(prints))
+    found: list[tuple[int, int]] = []
+    for key in parts(prints, cell):
+        order = np.argsort(key, kind="stable")
+        first = np.nonzero(np.diff(key[order], prepend=-1))[0]
+        size = np.diff(np.append(first, len(order)))
+        own = parent[order]
+        open_ = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+        left = np.where(open_ & (size <= 8), size, 0)
+        links = []
+        for shift in range(1, 8):
+            a = _stretches(first, np.maximum(left - shift, 0))
+            if not len(a):
+                break
+            x, y = order[a], order[a + shift]
+            good = (parent[x] != parent[y]) & near(prints[x], prints[y])
+            links += zip(x[good].tolist(), y[good].tolist())
+        for k in np.nonzero(open_ & (size > 8))[0].tolist():
+            members = order[first[k] : first[k] + size[k]]
+            links += [(int(members[a]), int(members[b])) for a, b in search(prints[members])]
+        joined = parent.tolist() if links else []
+        for a, b in links:
+            while joined[a] != a:
+                joined[a] = a = joined[joined[a]]
+            while joined[b] != b:
+                joined[b] = b = joined[joined[b]]
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                found.append((a, b))
+        if links:
+            parent = _roots(np.array(joined))
+    return found
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of stretches, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _linked(batches: Iterator[pa.RecordBatch], most: int | None, link: Callable[[np.ndarray, int], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """From rows (cell, fp, rep) sorted by cell: rows (a, b, fp, heavy) of links, or of the members (b: the cell) of a cell of over `most`."""
     cell, held, size, heavy = None, [], 0, False
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -147,7 +229,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, size, heavy
         if size > 1 and not heavy:
             prints, reps = (np.concatenate(x) for x in zip(*held))
-            if links := link_cell(prints.view(np.uint64)):
+            if links := link(prints.view(np.uint64), int(cell)):
                 a, b = np.array(links).T
                 pairs.append((reps[a], reps[b]))
         held, size, heavy = [], 0, False
@@ -173,10 +255,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cell = c[a]
             held.append((f[a:b], r[a:b]))
             size += int(b - a)
-            if size > CELL_MAX or heavy:
+            if heavy or most is not None and size > most:
                 heavy = True
                 for prints, reps in held:
-                    yield out(reps, reps, prints, True)
+                    yield out(reps, np.full(len(reps), cell), prints, True)
                 held = []
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs))
@@ -187,13 +269,16 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(a, b, np.zeros(len(a), dtype=np.int64), False)
 
 
-def _midpoint_links(members: DataFrame) -> DataFrame:
-    """Links among the members of overfull cells: two within 4 bits share a fingerprint within 2 of both, and a star over each joins them."""
-    masks = [0] + [1 << i for i in range(BITS)] + [1 << i | 1 << j for i, j in combinations(range(BITS), 2)]
-    signed = np.array(masks, dtype=np.uint64).view(np.int64).tolist()
-    balls = members.select("a", F.explode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
-    stars = balls.groupBy("mid").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return balls.join(stars, "mid").where("a <> b").select("a", "b").distinct()
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (cell, fp, rep) of overfull cells: a row (part, fp, rep) for each part that a member belongs to."""
+    for batch in batches:
+        cell, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for c in np.unique(cell).tolist():
+            own = np.nonzero(cell == c)[0]
+            for number, key in enumerate(parts(fp[own].view(np.uint64), c)):
+                # parts of different cells that get one number are verified like any others
+                part = mix(mix(np.full(len(own), c * len(OPEN_CHOICES) + number).view(np.uint64)) + key.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(fp[own]), pa.array(rep[own])], names=["cell", "fp", "rep"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,11 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = prints.where("rep IS NOT NULL").select("fp", "rep").mapInArrow(to_cells, "cell long, fp long, rep long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = checkpoint(keyed.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_link, "a long, b long, fp long, heavy boolean"))
+    most, schema = CELL_MAX, "a long, b long, fp long, heavy boolean"
+    linked = checkpoint(keyed.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _linked(batches, most, link_cell), schema))
     links = linked.where("NOT heavy").select("a", "b").distinct()
-    members = linked.where("heavy").select("a", "fp").distinct()
+    members = linked.where("heavy").select(F.col("b").alias("cell"), "fp", F.col("a").alias("rep"))
     if not members.isEmpty():
-        links = links.unionByName(_midpoint_links(members)).distinct()
+        split = members.mapInArrow(_part_rows, "cell long, fp long, rep long").repartition(n, "cell").sortWithinPartitions("cell")
+        split = split.mapInArrow(lambda batches: _linked(batches, None, lambda prints, _: search(prints)), schema)  # 2**18 members at most
+        links = links.unionByName(split.select("a", "b")).distinct()
     components = connected_components(links)
     named = prints.join(components, prints["rep"] == components["node"], "left").where("n > 1 OR component IS NOT NULL")
     named = named.select("fp", F.coalesce("component", "rep").alias("component_id"))

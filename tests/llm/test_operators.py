@@ -279,6 +279,50 @@ def test_dense_clusters_link_fully(spark, monkeypatch, cell_max):
     assert got == brute_components(prints)
 
 
+def pairwise_components(prints):
+    return brute_components(dict(enumerate(prints.tolist())))
+
+
+@pytest.mark.parametrize("spread", [40, 0])
+def test_crowded_cells_split(monkeypatch, spread):
+    """One cell of many fingerprints, searched by parts, links what a comparison of all pairs links."""
+    rng = np.random.default_rng(spread)
+    cell_bits = sum(simhash.WIDTHS[: simhash.AGREE])
+    prints = rng.integers(0, 2**64, 1200, dtype=np.uint64) >> np.uint64(cell_bits) << np.uint64(cell_bits)
+    for i in range(0, 1200 if spread else 600):  # close to one of a few, or to another one
+        prints[i] = prints[rng.integers(600, 600 + (spread or 600))]
+        for b in rng.integers(cell_bits, 64, rng.integers(0, 6)).tolist():
+            prints[i] ^= np.uint64(1 << b)
+    prints = np.unique(prints)
+    cell = int(simhash.cells(prints)[0, 0])
+    assert len(prints) > simhash.SEARCHED and (simhash.cells(prints)[:, 0] == cell).all()
+    parent = dict(enumerate(range(len(prints))))
+    for a, b in simhash.link_cell(prints, cell):
+        x, y = a, b
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        parent[max(x, y)] = min(x, y)
+    roots = {}
+    for i in parent:
+        x = i
+        while parent[x] != x:
+            x = parent[x]
+        roots[i] = x
+    assert roots == pairwise_components(prints)
+
+
+def test_unlinked_crowd_takes_no_quadratic_time():
+    """200,000 fingerprints of one cell that are no near copies of each other; all pairs would take minutes."""
+    rng = np.random.default_rng(3)
+    cell_bits = sum(simhash.WIDTHS[: simhash.AGREE])
+    prints = np.unique(rng.integers(0, 2**64, 200_000, dtype=np.uint64) >> np.uint64(cell_bits) << np.uint64(cell_bits))
+    began = time.perf_counter()
+    simhash.link_cell(prints, int(simhash.cells(prints[:1])[0, 0]))
+    assert time.perf_counter() - began < 90
+
+
 def test_cells_never_miss():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 500, dtype=np.uint64)
