@@ -103,15 +103,25 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         yield batch.slice(start)
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds __text (binary, null as empty) and the 128-bit row key (__k1, __k2) of id and text.
+def with_row_key(rows: DataFrame, id_col: str) -> DataFrame:
+    """Adds the 128-bit row key (__k1, __k2) of id and __text.
 
     The key comes from what a row says, so every run of a task gives it again; identical rows share it.
     """
-    docs = small_batches(docs)
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))
-    return docs.select("*", text.alias("__text"), F.xxhash64(name, text).alias("__k1"), F.xxhash64(text, name, F.lit(1)).alias("__k2"))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\u0000null"))
+    return rows.select("*", F.xxhash64(name, "__text").alias("__k1"), F.xxhash64("__text", name, F.lit(1)).alias("__k2"))
+
+
+def text_as_bytes(docs: DataFrame, text_col: str) -> DataFrame:
+    """Puts __text (binary, null as empty) and __null in place of the text, so that a shuffle carries it once."""
+    text = F.col(f"`{text_col}`")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return small_batches(docs).select(*rest, text.isNull().alias("__null"), F.coalesce(text, F.lit("")).cast("binary").alias("__text"))
+
+
+def text_back(rows: DataFrame, text_col: str, *columns: str) -> DataFrame:
+    """Undoes text_as_bytes and selects columns."""
+    return rows.withColumn(text_col, F.when(~F.col("__null"), F.col("__text").cast("string"))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, mix, pack_columns, read_words, spans, with_row_key, written
+from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, dealt_anew, mix, pack_columns, read_words, spans, text_as_bytes, text_back, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
 #: that is a similarity of 0.8 at MIN_WORDS words, and more in longer lines (0.96 at 25 words). Shorter lines count as duplicates only when equal.
@@ -70,25 +70,6 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(i).take(index) for i in (1, 2, 3)], pa.array(lines.number), *map(pa.array, lines.keys()), *lines.halves()], names=[*PLACE, *LINE, *HALVES])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (half, h1) of distinct lines, sorted by half: h1 of the lines whose half some other line has."""
-    before: tuple | None = None  # the last half and its row, None once that row has gone out
-    for batch in batches:
-        half = batch.column(0).to_numpy()
-        if not len(half):
-            continue
-        same = half[1:] == half[:-1]
-        out = np.zeros(len(half), dtype=bool)
-        out[1:] |= same
-        out[:-1] |= same
-        if before is not None and before[0] == half[0]:
-            out[0] = True
-            if before[1] is not None:
-                yield before[1].select(LINE[:1])
-        yield batch.filter(pa.array(out)).select(LINE[:1])
-        before = (half[-1], None if out[-1] else batch.slice(len(half) - 1))
-
-
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """A fixed FILTER_BITS bits, one set for each key. Past its size it lets more through, never less."""
     at = F.col("h1").bitwiseAND(FILTER_BITS - 1)
@@ -157,17 +138,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only its earliest, and no pairs within groups are made. The texts of candidate pairs are compared in the end.
     """
     docs, unpack = pack_columns(docs, id_col, text_col)
-    names = docs.columns
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = with_row_key(docs, id_col, text_col).withColumn("__doc", F.col(id_col))
+    source = text_as_bytes(docs, text_col)
+    names = source.columns
+    source = with_row_key(source, id_col).withColumn("__doc", F.col(f"`{id_col}`"))
     doc_type = source.schema["__doc"].dataType.simpleString()
     place_type = f"doc {doc_type}, __k1 long, __k2 long, line long"
 
     lines = written(source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, " + ", ".join(f"{c} long" for c in LINE + HALVES)))
     distinct = lines.groupBy(*LINE).agg(*[F.min(c).alias(c) for c in HALVES])
     halves = distinct.select(F.explode(F.array_compact(F.array(*HALVES))).alias("half"), "h1")
-    shared = checkpoint(halves.repartition(spread, "half").sortWithinPartitions("half").mapInArrow(_shared, "h1 long").distinct())
+    common = dealt_anew(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), {"half": "__half"})
+    shared = checkpoint(halves.join(common, halves["half"] == common["__half"]).select("h1").distinct())
     bits = spark.sparkContext.broadcast(_filter_of(shared))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +172,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     variants = texts.select("rank", "words").mapInArrow(_variants, "variant long, position long, rank long")
     deleted, whole = variants.where("position >= 0"), variants.where("position < 0").select(F.col("variant").alias("v"), F.col("rank").alias("other"))
-    earliest = deleted.groupBy("variant", "position").agg(F.min("rank").alias("other"), F.count("*").alias("n")).where("n > 1").select(F.col("variant").alias("v"), F.col("position").alias("at"), "other")
+    earliest = deleted.groupBy("variant", "position").agg(F.min("rank").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earliest = dealt_anew(earliest, {"variant": "v", "position": "at"})
     substituted = deleted.join(earliest, (F.col("variant") == F.col("v")) & (F.col("position") == F.col("at"))).select("rank", "other")
     inserted = deleted.join(whole, F.col("variant") == F.col("v")).select(F.greatest("rank", "other").alias("rank"), F.least("rank", "other").alias("other"))
     pairs = substituted.unionByName(inserted).where("rank > other").distinct()
@@ -204,7 +188,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = lines.join(ruled, LINE).where(F.col("near") | (F.struct(*PLACE) > F.col("first"))).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "line")
     gone = gone.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))  # of one document
     joined = source.join(gone, (source["__k1"] == gone["__j1"]) & (source["__k2"] == gone["__j2"]), "left")
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(out)).schema
+    schema = source.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(out)).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text"):
@@ -217,7 +201,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *made], names=[*names, "n_lines", "n_removed", out])
 
-    return unpack(joined.mapInArrow(remove, schema))
+    return unpack(text_back(joined.mapInArrow(remove, schema), text_col, *docs.columns, "n_lines", "n_removed", out))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

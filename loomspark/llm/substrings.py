@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, small_batches, spans, written
+from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, spans, text_as_bytes, text_back, written
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -306,9 +306,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the other place it was found at, by a cryptographic digest of the words there; one that differs stays.
     """
     docs, unpack = pack_columns(docs, text_col)
-    rest = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    source = small_batches(docs).select(*rest, F.col(f"`{text_col}`").isNull().alias("__null"), text.alias("__text"), F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2"))
+    source = text_as_bytes(docs, text_col)
+    names = source.columns
+    source = source.select("*", F.xxhash64("__text").alias("__k1"), F.xxhash64("__text", F.lit(1)).alias("__k2"))
     long_key = "__k1 long, __k2 long"
 
     def of_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
@@ -349,7 +349,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ruled = checks.unionByName(copies.select(*KEY, F.lit(None).cast(checks.schema["s"].dataType).alias("s"), F.lit(1).alias("copies")))
     ruled = ruled.groupBy(*KEY).agg(F.collect_list("s").alias("__stretches"), (F.max("copies") > 0).alias("__copied"))
     joined = of_texts(ruled, "left")
-    names = [*rest, "__null", "__text"]
     out_schema = source.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +370,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *made], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    out = joined.mapInArrow(remove, out_schema).withColumn(text_col, F.when(~F.col("__null"), F.col("__text").cast("string"))).drop("__null", "__text")
-    return unpack(out.select(*docs.columns, "n_words", "n_removed", "kept_text"))
+    return unpack(text_back(joined.mapInArrow(remove, out_schema), text_col, *docs.columns, "n_words", "n_removed", "kept_text"))
 
 
 def op7_recompression(spark, sf_dir: str) -> DataFrame:
