@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,6 +214,15 @@ def _powers(base: int) -> tuple[Powers, Powers]:
     return Powers(base), Powers(pow(base, -1, 1 << 64))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keeps rows that come from one pass over the input on the executors' disks: computed once, whatever uses them.
+
+    What is lost with an executor is computed again from the input, which is why rows must not depend on the run.
+    The session's clearCache() frees the disks. No file is made, so nothing stays in the shared folder.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes rows as Parquet to the shared folder and reads them again: computed once, whatever uses them."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, dealt_anew, mix, pack_columns, read_words, spans, text_as_bytes, text_back, with_row_key, written
+from loomspark.llm.common import DOWN, UP, BASE, INVERSE, Words, checkpoint, chunks, dealt_anew, kept, mix, pack_columns, read_words, spans, text_as_bytes, text_back, with_row_key, written
 
 #: A line within one word edit (insert, delete or substitute) of an earlier one is a duplicate, from MIN_WORDS words on;
 #: that is a similarity of 0.8 at MIN_WORDS words, and more in longer lines (0.96 at 25 words). Shorter lines count as duplicates only when equal.
@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_type = source.schema["__doc"].dataType.simpleString()
     place_type = f"doc {doc_type}, __k1 long, __k2 long, line long"
 
-    lines = written(source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, " + ", ".join(f"{c} long" for c in LINE + HALVES)))
+    lines = kept(source.select("__text", "__doc", *KEY).mapInArrow(_line_rows, f"{place_type}, " + ", ".join(f"{c} long" for c in LINE + HALVES)))
     distinct = lines.groupBy(*LINE).agg(*[F.min(c).alias(c) for c in HALVES])
     halves = distinct.select(F.explode(F.array_compact(F.array(*HALVES))).alias("half"), "h1")
     common = dealt_anew(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), {"half": "__half"})
@@ -183,9 +183,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = near.mapInArrow(_verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
 
     first = lines.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    # cut here, so that the join below shuffles both sides anew and a frequent line can be split over tasks
-    ruled = checkpoint(first.join(near, LINE, "left").where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = lines.join(ruled, LINE).where(F.col("near") | (F.struct(*PLACE) > F.col("first"))).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "line")
+    ruled = first.join(near, LINE, "left").where("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    ruled = dealt_anew(ruled, {"h1": "g1", "h2": "g2"})
+    gone = lines.join(ruled, (lines["h1"] == ruled["g1"]) & (lines["h2"] == ruled["g2"])).where(F.col("near") | (F.struct(*PLACE) > F.col("first"))).select(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2"), "line")
     gone = gone.groupBy("__j1", "__j2").agg(F.collect_set("line").alias("__lines"))  # of one document
     joined = source.join(gone, (source["__k1"] == gone["__j1"]) & (source["__k2"] == gone["__j2"]), "left")
     schema = source.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(out)).schema

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, spans, text_as_bytes, text_back, written
+from loomspark.llm.common import BASE, chunks, dealt_anew, kept, mix, pack_columns, read_words, release_memory, spans, text_as_bytes, text_back
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         own = dealt_anew(lists, {"__k1": "__j1", "__k2": "__j2"})
         return source.join(own, (source["__k1"] == own["__j1"]) & (source["__k2"] == own["__j2"]), how)
 
-    found = written(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
+    found = kept(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
     counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     counted = dealt_anew(counted, {"key": "__key"})
     repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "n", F.struct("position", "key").alias("a"))
