@@ -15,14 +15,14 @@ RATE_LIMITED = "rate_limit_exceeded"
 
 
 def score_pair(c: Column) -> Column:
-    """The first [a, b] of two whole numbers as array<int>, or null."""
-    pattern = r"\[\s*(\d{1,9})\s*,\s*(\d{1,9})\s*\]"
-    return F.when(c.rlike(pattern), F.array(*[F.regexp_extract(c, pattern, i).try_cast("int") for i in (1, 2)]))
+    """The first [a, b] of two whole numbers as array<bigint>, or null; a number beyond that type is null."""
+    pattern = r"\[\s*(\d+)\s*,\s*(\d+)\s*\]"
+    return F.when(c.rlike(pattern), F.array(*[F.regexp_extract(c, pattern, i).try_cast("long") for i in (1, 2)]))
 
 
 def numbered_scores(c: Column) -> Column:
-    """All values of `Score N: v` with a one-digit N."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"Score \d: (\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
+    """All values of `Score N: v` with a one-digit N, as array<bigint>; a number beyond that type is null."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"Score \d: (\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
 
 
 def line_scores(c: Column) -> Column:

@@ -136,7 +136,7 @@ def split_prompt(texts: pd.Series) -> pd.Series:
 
 
 def data_url(payload: Column, kind: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(payload))
+    return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(payload), F.lit("\r\n"), F.lit("")))  # Spark breaks long lines
 
 
 def style_name(stem: Column) -> Column:

@@ -38,6 +38,11 @@ def unit(v: Column) -> Column:
     return F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(0.0))
 
 
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two channels."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)))
 

@@ -62,41 +62,40 @@ def running_ema(order: list[str], value: str, keep: float = 0.99) -> Column:
 
 
 def ema_by_rank(df: DataFrame, group: list[str], rank: str, value: str, keep: float = 0.99) -> DataFrame:
-    """The same average for series of any length: with r ranks after a value its weight is (1-keep)*keep**r, and keep**r for the first."""
-    last = df.groupBy(*group).agg(F.max(rank).alias("__last"))
-    weighed = df.join(last, group)
-    weight = F.when(F.col(rank) == 1, 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), F.col("__last") - F.col(rank))
+    """The same average for series of any length: with r ranks after a value its weight is (1-keep)*keep**r, and keep**r for the first.
+
+    Ranks must follow one another within a group but may begin anywhere, as those of all rows sorted by group first do.
+    """
+    ends = df.groupBy(*group).agg(F.min(rank).alias("__first"), F.max(rank).alias("__last"))
+    weighed = df.join(ends, group)
+    weight = F.when(F.col(rank) == F.col("__first"), 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), F.col("__last") - F.col(rank))
     return weighed.groupBy(*group).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
-def dispersive_loss(df: DataFrame, vector: str, task: str, key: str, temperature: float = 0.5, eps: float = 1e-8, block: int = 512) -> DataFrame:
-    """Mean over rows of -ln(sum of same-task kernels / sum of kernels), kernels exp(-d^2 / temperature) of unit vectors; self counts below only.
+def dispersive_loss(df: DataFrame, vector: str, task: str, key: str, batch: str, temperature: float = 0.5, eps: float = 1e-8, most: int = 8192) -> DataFrame:
+    """For each training batch: mean over rows of -ln(sum of same-task kernels / sum of kernels), kernels exp(-d^2 / temperature) of unit vectors; self counts below only.
 
-    All pairs are what the loss is defined on. Rows are dealt to blocks; each pair of blocks is one task's matrix
-    product, so no pair becomes a row. Meant for one training batch at a time.
+    Rows (batch, loss, n). All pairs of a batch are what the loss is defined on: one matrix product in one task, in
+    blocks of rows. A batch of over `most` rows is an error, for such a table isn't made of training batches.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(task).cast("long").alias("t"), F.col(vector).cast("array<double>").alias("v"))
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "t", "v", F.col("mine").alias("b"), F.col("b").alias("other"))
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"k": [], "same": [], "total": []})
-        x, y = (np.stack(f["v"].to_numpy()) for f in (a, b))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-        e = np.exp(-np.maximum(2 - 2 * x @ y.T, 0) / temperature)
-        self_pair = a["k"].to_numpy()[:, None] == b["k"].to_numpy()[None, :]
-        e[self_pair] = 1.0
-        same = (a["t"].to_numpy()[:, None] == b["t"].to_numpy()[None, :]) & ~self_pair
-        return pd.DataFrame({"k": a["k"], "same": (e * same).sum(axis=1), "total": e.sum(axis=1)})
-
-    key_type = dict(rows.dtypes)["k"]
-    parts = left.groupBy("b", "other").cogroup(right.groupBy("b", "other")).applyInPandas(kernel, f"k {key_type}, same double, total double")
-    sums = parts.groupBy("k").agg(F.sum("same").alias("same"), F.sum("total").alias("total"))
-    return sums.agg(F.avg(-F.log((F.col("same") + eps) / (F.col("total") + eps))).alias("loss"), F.count("*").alias("n"))
+    rows = df.select(F.col(batch).cast("long").alias("b"), F.col(key).alias("k"), F.col(task).cast("long").alias("t"), F.col(vector).cast("array<double>").alias("v"))
+
+    def loss(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > most:
+            raise ValueError(f"batch {frame['b'].iloc[0]} has {len(frame)} rows, over {most}")
+        x, t = np.stack(frame["v"].to_numpy()), frame["t"].to_numpy()
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        total = 0.0
+        for at in range(0, len(x), 512):
+            e = np.exp(-np.maximum(2 - 2 * x[at : at + 512] @ x.T, 0) / temperature)
+            own = np.arange(len(e))
+            e[own, own + at] = 1.0
+            same = t[at : at + 512, None] == t[None, :]
+            same[own, own + at] = False
+            total += float(-np.log(((e * same).sum(axis=1) + eps) / (e.sum(axis=1) + eps)).sum())
+        return pd.DataFrame({"batch": [frame["b"].iloc[0]], "loss": [total / len(x)], "n": [len(x)]})
+
+    return rows.groupBy("b").applyInPandas(loss, "batch long, loss double, n long")
 
 
 def expert_load(df: DataFrame, expert: str, prob: str) -> DataFrame:

@@ -32,6 +32,13 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_wins(df, keys, [F.col(c).desc() for c in order])
 
 
+def first_passing(df: DataFrame, group: list[str], order: str, passes: Column) -> DataFrame:
+    """The first row of each group, in order, that passes; groups without any go."""
+    rest = [c for c in df.columns if c not in group]
+    best = df.where(passes).groupBy(*group).agg(F.min_by(F.struct(*rest), order).alias("__best"))
+    return best.select(*group, "__best.*")
+
+
 def paired_by_stem(files: DataFrame, name: str, left: str = "_in", right: str = "_out") -> DataFrame:
     """Pairs of files whose stems differ in the suffix alone: (stem, left_name, right_name)."""
     bare = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
@@ -45,12 +52,16 @@ def zip_shortest(a: Column, b: Column) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
-def membership(df: DataFrame, names: str, splits: DataFrame) -> DataFrame:
-    """Flags whether any of the row's names is in each split (name, split); the split table is a class list and small by nature."""
-    table = splits.groupBy("split").agg(F.collect_set("name").alias("names")).collect()  # one row a split
-    for row in table:
-        df = df.withColumn(f"in_{row['split']}", F.arrays_overlap(F.col(names), F.array(*map(F.lit, sorted(row["names"])))))
-    return df
+def membership(df: DataFrame, key: str, names: str, splits: DataFrame) -> DataFrame:
+    """Flags in_<split> whether any of the row's names is in each split (name, split), by a join; `key` tells rows apart.
+
+    Only the names of the splits themselves reach the driver.
+    """
+    known = [r.split for r in splits.select("split").distinct().orderBy("split").collect()]  # one row a split
+    each = df.select(F.col(key).alias("__key"), F.explode(names).alias("name")).distinct().join(splits.distinct(), "name")
+    flags = each.groupBy("__key").agg(*[F.max(F.col("split") == s).alias(f"__in_{i}") for i, s in enumerate(known)])
+    out = df.join(flags, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return out.withColumns({f"in_{s}": F.coalesce(f"__in_{i}", F.lit(False)) for i, s in enumerate(known)}).drop("__key", *[f"__in_{i}" for i in range(len(known))])
 
 
 def nearest(df: DataFrame, value: Column, targets: dict[int, float], out: str = "nearest") -> DataFrame:

@@ -29,7 +29,7 @@ def batches(df: DataFrame, bucket: str, size: int, seed: str, key: str, keep_tai
         raise ValueError("size must be positive")
     shards = 64
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    dealt = df.withColumn("__order", order).withColumn("__shard", F.pmod(F.xxhash64("__order"), F.lit(shards)).cast("int"))
+    dealt = df.withColumn("__order", order).withColumn("__shard", F.pmod(F.conv(F.substring("__order", 25, 8), 16, 10).cast("long"), F.lit(shards)).cast("int"))
     number = F.row_number().over(Window.partitionBy(bucket, "__shard").orderBy("__order", key)) - 1
     count = F.count("*").over(Window.partitionBy(bucket, "__shard"))
     dealt = dealt.withColumns({"__n": number, "__count": count}).withColumn("__full", F.col("__n") < F.floor(F.col("__count") / size) * size)
@@ -56,6 +56,17 @@ def multiplexed(batched: DataFrame, bucket: str, weights: dict, seed: str) -> Da
     return batched.join(heads, [bucket, "batch"])
 
 
+def collated(batched: DataFrame, bucket: str, columns: list[str]) -> DataFrame:
+    """One row a batch: its rows' columns as arrays in order of their slots."""
+    rows = F.array_sort(F.collect_list(F.struct("slot", *columns)))  # as many as a batch has
+    return batched.groupBy(bucket, "batch").agg(rows.alias("__rows")).select(bucket, "batch", *[F.col("__rows").getField(c).alias(c) for c in columns])
+
+
+def dealt_twice(rank: Column, nodes: int, workers: int) -> Column:
+    """struct(node, worker): rows go to nodes in turn, and those of a node to its workers in turn; ranks from 1."""
+    return F.struct(F.pmod(rank - 1, F.lit(nodes)).cast("int").alias("node"), F.pmod(F.floor((rank - 1) / nodes), F.lit(workers)).cast("int").alias("worker"))
+
+
 def round_robin(rank: Column, n: int) -> Column:
     """0, 1, ..., n-1, 0, ... for ranks from 1."""
     return F.pmod(rank - 1, F.lit(n)).cast("int")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows from which the borders of ranges are taken.
+SAMPLE = 2048
+
+
 def draw(seed: str, key: Column, salt: str = "") -> Column:
     """A uniform double strictly between 0 and 1."""
     digest = F.md5(F.concat(F.lit(f"{seed}{salt}"), key.cast("string")))
@@ -87,25 +91,26 @@ def contiguous_split(df: DataFrame, n: int, order: list[str], out: str = "part")
 
 
 def with_rank(df: DataFrame, order: list[str], out: str, ranges: int = 64) -> DataFrame:
-    """A global row number (long, from 1) in the given order, without putting all rows in one task.
+    """A global row number (long, from 1) in the given order (nulls first), without putting all rows in one task.
 
-    Rows are dealt to ranges by quantile borders of the first order column; ranges are counted, and rows are
-    numbered within theirs. That column should be numeric (put a hash prefix first if it isn't): any other is
-    numbered by one window.
+    Rows are dealt to ranges of the order columns, whatever their types; ranges are counted (one row each), and rows
+    are numbered within theirs. The borders are quantiles of SAMPLE rows, those of least hash: they decide how even
+    the ranges are, not the numbers. Rows that agree in all order columns share a range.
     """
-    first = order[0]
-    if dict(df.dtypes)[first] in ("bigint", "int", "double", "float", "smallint"):
-        borders = sorted(set(df.approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.005)))
-        # range 0 holds nulls and values up to the first border
-        number = F.lit(0)
-        for b in borders:
-            number = number + F.coalesce((F.col(first) > b).cast("int"), F.lit(0))
-        dealt = df.withColumn("__range", number)
-        counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-        before = counts.alias("a").join(counts.alias("b"), F.col("b.__range") < F.col("a.__range"), "left").groupBy(F.col("a.__range").alias("__r")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))  # at most `ranges` rows
-        local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-        return dealt.withColumn("__local", local).join(F.broadcast(before), F.col("__range") == F.col("__r")).withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__range", "__local", "__r", "__before")
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    drawn = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).orderBy(*order).collect()  # at most SAMPLE rows
+    at = sorted({len(drawn) * i // ranges for i in range(1, ranges)} & set(range(len(drawn)))) if len(drawn) > ranges else []
+    fixed = [[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, drawn[i])] for i in at]
+    number = F.lit(0)
+    for border in fixed:
+        over = F.col(order[0]) > border[0] if len(order) == 1 else F.struct(*order) > F.struct(*border)
+        number = number + F.coalesce(over, F.lit(False)).cast("int")
+    dealt = df.withColumn("__range", number)
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `ranges` rows
+    counts = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    joined = dealt.withColumn("__local", local).join(F.broadcast(counts), F.col("__range") == F.col("__r"))
+    return joined.withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__range", "__local", "__r", "__before")
 
 
 def sequence_keys(df: DataFrame, order: list[str], out: str = "key", width: int = 9) -> DataFrame:

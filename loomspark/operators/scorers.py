@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,8 +24,34 @@ class Scorer:
     setup: Callable[[], object] = lambda: None
 
 
-def apply_scorer(df: DataFrame, scorer: Scorer, tries: int = 3, pause: float = 0.0) -> DataFrame:
-    """Adds the scorer's columns and <name>_error. A batch that fails `tries` times is scored row by row; a row that fails gets nulls and its error."""
+def within(seconds: float | None, call: Callable[[], pd.DataFrame]) -> pd.DataFrame:
+    """The call's result, or TimeoutError after so many seconds; what hangs is left behind in a daemon thread."""
+    if seconds is None:
+        return call()
+    done: list[tuple[bool, object]] = []
+
+    def run() -> None:
+        try:
+            done.append((True, call()))
+        except BaseException as problem:  # noqa: BLE001  raised again below
+            done.append((False, problem))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise TimeoutError(f"no answer within {seconds:g} s")
+    good, value = done[0]
+    if not good:
+        raise value
+    return value
+
+
+def apply_scorer(df: DataFrame, scorer: Scorer, tries: int = 3, pause: float = 0.0, limit: float | None = None) -> DataFrame:
+    """Adds the scorer's columns and <name>_error. A batch that fails `tries` times is scored row by row; a row that fails gets nulls and its error.
+
+    `limit` is the seconds that one call may take, a longer one counts as failed.
+    """
     added = T.StructType.fromDDL(scorer.output)
     schema = T.StructType([*df.schema.fields, *added.fields, T.StructField(f"{scorer.name}_error", T.StringType())])
     names = [f.name for f in added.fields]
@@ -35,7 +62,7 @@ def apply_scorer(df: DataFrame, scorer: Scorer, tries: int = 3, pause: float = 0
             inputs = frame[list(scorer.inputs)]
             for attempt in range(tries):
                 try:
-                    made, errors = scorer.batch(model, inputs)[names].reset_index(drop=True), [None] * len(frame)
+                    made, errors = within(limit, lambda: scorer.batch(model, inputs)[names]).reset_index(drop=True), [None] * len(frame)  # noqa: B023
                     break
                 except Exception:  # noqa: BLE001  any failure of a model is data here
                     if pause and attempt + 1 < tries:
@@ -44,7 +71,7 @@ def apply_scorer(df: DataFrame, scorer: Scorer, tries: int = 3, pause: float = 0
                 rows, errors = [], []
                 for i in range(len(inputs)):
                     try:
-                        rows.append(scorer.batch(model, inputs.iloc[i : i + 1])[names].iloc[0].to_dict())
+                        rows.append(within(limit, lambda: scorer.batch(model, inputs.iloc[i : i + 1])[names]).iloc[0].to_dict())  # noqa: B023
                         errors.append(None)
                     except Exception as problem:  # noqa: BLE001
                         rows.append(dict.fromkeys(names))

@@ -60,12 +60,12 @@ def score_report_by_lang(spark, d):
     return A.score_means(first, "lang").select("lang", "pos", F.col("mean").alias("mean_score"), "n")
 
 
-@query("""SELECT source, round(avg(quality), 6) AS mean_quality, round(avg(toxic), 6) AS mean_toxic, round(avg(quality) + avg(toxic), 3) AS total
-FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+@query("""WITH long AS (SELECT source, 0 AS pos, quality AS v FROM documents JOIN labels USING (doc_id) UNION ALL SELECT source, 1, toxic FROM documents JOIN labels USING (doc_id))
+SELECT coalesce(source, 'total') AS source, CAST(pos AS INT) AS pos, round(avg(v), 6) AS mean, count(*) AS n FROM long GROUP BY GROUPING SETS ((source, pos), (pos))""")
 def score_mean_by_source(spark, d):
-    """Per-task means and their rounded sum (A3, A4)."""
-    q, t = F.avg(F.col("score")[0]), F.avg(F.col("score")[1])
-    return _scored(spark, d).groupBy("source").agg(F.round(q, 6).alias("mean_quality"), F.round(t, 6).alias("mean_toxic"), F.round(q + t, 3).alias("total"))
+    """Means of each task and over all, not rounded to three digits (A3, A4)."""
+    means = A.score_means(_scored(spark, d).select("source", "score"), "source", digits=None)
+    return means.select("source", "pos", F.round("mean", 6).alias("mean"), "n")
 
 
 @query("""SELECT doc_id, round(sqrt(least(quality, toxic + 1)::DOUBLE * least(quality + 3, toxic + 2)::DOUBLE), 6) AS overall FROM labels""")
@@ -192,11 +192,11 @@ def style_gate(spark, d):
     return r.where(R.style_band(F.col("l_quantity") / 50, 1 - F.col("l_discount"), F.col("l_tax") * 4)).select(*_KEY.split(", "))
 
 
-@query("SELECT p_partkey, p_size * p_retailprice >= 30000 AS area_ok, p_size >= 20 AND p_retailprice >= 1000 AS side_ok FROM part")
+@query("SELECT p_partkey, p_size * p_retailprice >= 30000 AS area_ok, p_size >= 20 AND p_retailprice / 50 >= 20 AS side_ok FROM part")
 def min_side_area(spark, d):
     """Smallest side and area."""
     p = table(spark, d, "part")
-    return p.select("p_partkey", R.area_gate(F.col("p_size"), F.col("p_retailprice"), 30000).alias("area_ok"), ((F.col("p_size") >= 20) & (F.col("p_retailprice") >= 1000)).alias("side_ok"))
+    return p.select("p_partkey", R.area_gate(F.col("p_size"), F.col("p_retailprice"), 30000).alias("area_ok"), R.side_gate(F.col("p_size"), F.col("p_retailprice") / 50, 20).alias("side_ok"))
 
 
 @query("SELECT doc_id FROM labels WHERE quality + toxic >= 2")
@@ -211,18 +211,32 @@ def aspect_limit(spark, d):
     return table(spark, d, "part").where(R.aspect_ok(F.col("p_size").cast("double"), F.lit(20.0), 1.3)).select("p_partkey")
 
 
-@query("SELECT o_orderkey, o_totalprice < 100000 OR o_orderpriority IS NULL AS source_ok, CASE WHEN o_totalprice / 500000 BETWEEN 0.02 AND 0.35 THEN 1 ELSE 0 END AS mask_ok FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 5 = 0 OR o_totalprice >= 100000 AS source_ok, CASE WHEN o_totalprice / 500000 BETWEEN 0.02 AND 0.35 THEN 1 ELSE 0 END AS mask_ok FROM orders")
 def mask_and_source_gates(spark, d):
-    """Area ratio between bounds; a missing score passes."""
+    """Area ratio between bounds; a missing score passes (F2, F16)."""
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", ((F.col("o_totalprice") < 100000) | F.col("o_orderpriority").isNull()).alias("source_ok"), R.mask_gate(F.col("o_totalprice") / 500000).cast("int").alias("mask_ok"))
+    score = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    return o.select("o_orderkey", R.source_gate(score, 100000).alias("source_ok"), R.mask_gate(F.col("o_totalprice") / 500000).cast("int").alias("mask_ok"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * l_quantity / l_quantity >= 0.05 AS overlap_ok, l_quantity / 1000 >= 0.01 AS region_ok FROM lineitem WHERE l_quantity >= 1")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_sum(bits)::BIGINT AS area, round(list_sum(bits) / len(bits), 6) AS ratio, list_sum(list_transform(range(1, 11), lambda i: bits[i] * other[i]))::BIGINT AS overlap
+FROM (SELECT *, list_transform(range(10), lambda i: CASE WHEN l_quantity::INT % (i + 2) = 0 THEN 1 ELSE 0 END) AS bits, list_transform(range(10), lambda i: CASE WHEN l_partkey % (i + 2) = 0 THEN 1 ELSE 0 END) AS other FROM lineitem) t""")
+def mask_statistics(spark, d):
+    """Area, ratio and overlap of masks."""
+    r = table(spark, d, "lineitem")
+    bits = lambda c: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col(c).cast("int") % (i + 2) == 0).cast("int"))
+    m = A.mask_stats(bits("l_quantity"), bits("l_partkey"))
+    return r.select(*_KEY.split(", "), m["area"].alias("area"), F.round(m["ratio"], 6).alias("ratio"), m["overlap"].alias("overlap"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - l_linenumber) / l_quantity >= 0.8 AS overlap_ok, l_quantity / 1000 >= 0.01 AS region_ok,
+CAST(len(list_filter([l_quantity, l_quantity + 20, l_quantity * 2], lambda x: x >= 50)) AS INT) AS large FROM lineitem""")
 def overlap_region_gates(spark, d):
-    """Overlap share and region share."""
-    r = table(spark, d, "lineitem").where("l_quantity >= 1")
-    return r.select(*_KEY.split(", "), (F.try_divide(F.col("l_discount") * F.col("l_quantity"), F.col("l_quantity")) >= 0.05).alias("overlap_ok"), R.region_gate(F.col("l_quantity"), F.lit(1000)).alias("region_ok"))
+    """Overlap share, region share and least contour."""
+    r = table(spark, d, "lineitem")
+    n = F.col("l_quantity")
+    regions = F.transform(F.array(n, n + 20, n * 2), lambda x: F.struct(x.alias("area")))
+    return r.select(*_KEY.split(", "), R.overlap_gate(n - F.col("l_linenumber"), n).alias("overlap_ok"), R.region_gate(n, F.lit(1000)).alias("region_ok"), F.size(R.contours(regions)).alias("large"))
 
 
 @query("SELECT p_partkey, len(string_split(p_name, ' ')) <= 2 AS tags_ok, abs(length(p_name) - length(p_type)) <= 3 AS length_ok FROM part")
@@ -278,14 +292,40 @@ def bucket_batches(spark, d):
     return per.groupBy("bucket_id").agg(F.count("*").alias("batches"), F.sum("n").alias("rows_kept"))
 
 
-@query()
+_SHARDED = """WITH o AS (SELECT doc_id, lang, md5('7' || CAST(doc_id AS VARCHAR)) AS o FROM documents),
+s AS (SELECT *, ('0x' || substr(o, 25, 8))::BIGINT % 64 AS shard FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY o, doc_id) - 1 AS n, count(*) OVER (PARTITION BY lang, shard) AS c FROM s),
+full_ AS (SELECT doc_id, lang, lpad(CAST(shard AS VARCHAR), 3, '0') || '-' || lpad(CAST(n // 4 AS VARCHAR), 12, '0') AS batch, CAST(n % 4 AS INT) AS slot FROM n WHERE n < c // 4 * 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY o, doc_id) - 1 AS m, count(*) OVER (PARTITION BY lang) AS k FROM n WHERE n >= c // 4 * 4),
+b AS (SELECT * FROM full_ UNION ALL SELECT doc_id, lang, 'rest-' || lpad(CAST(m // 4 AS VARCHAR), 12, '0'), CAST(m % 4 AS INT) FROM r WHERE m < k // 4 * 4)"""
+
+
+@query(f"""{_SHARDED}, h AS (SELECT DISTINCT lang, batch FROM b),
+w AS (SELECT *, -ln({_u('7', "(lang || '/' || batch)")}) / CASE lang WHEN 'en' THEN 0.6 WHEN 'fr' THEN 0.2 ELSE 0.1 END AS wait FROM h),
+p AS (SELECT lang, batch, sum(wait) OVER (PARTITION BY lang ORDER BY batch ROWS UNBOUNDED PRECEDING) AS position FROM w)
+SELECT doc_id, lang, batch, slot, round(position, 6) AS position FROM b JOIN p USING (lang, batch)""")
 def weighted_mix(spark, d):
-    """Batches of languages in an order drawn by weights (M3, T12); checked by property tests."""
+    """Batches of languages in an order drawn by weights."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     mixed = M.multiplexed(M.batches(docs, "lang", 4, "7", "doc_id"), "lang", {"en": 0.6, "fr": 0.2, "de": 0.1, "es": 0.1}, "7")
     return mixed.select("doc_id", "lang", "batch", "slot", F.round("position", 6).alias("position"))
 
 
+@query(f"{_SHARDED} SELECT lang, batch, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY slot) AS ids FROM b GROUP BY lang, batch")
+def collated_batches(spark, d):
+    """Rows of a batch as columns of arrays."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    rows = M.collated(M.batches(docs, "lang", 4, "7", "doc_id"), "lang", ["doc_id"])
+    return rows.select("lang", "batch", F.array_join(F.transform("doc_id", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 3 AS INT) AS node, CAST(o_orderkey // 3 % 4 AS INT) AS worker FROM orders")
+def node_worker_shards(spark, d):
+    """Rows dealt to nodes, then to the workers of a node (M7, M8)."""
+    o = table(spark, d, "orders").select("o_orderkey", M.dealt_twice(F.col("o_orderkey") + 1, 3, 4).alias("x"))
+    return o.select("o_orderkey", "x.node", "x.worker")
+
+
 @query("SELECT o_orderkey, CAST((o_orderkey - 1) % 7 AS INT) AS worker FROM orders WHERE (o_orderkey - 1) % 7 = 3")
 def strided_shard(spark, d):
     """Every n-th row for one worker (M7)."""
@@ -345,10 +385,10 @@ def hash_split(spark, d):
 
 
 @query(f"""SELECT doc_id, CAST(len(list_distinct([w[{_i('d0', 'doc_id', 'len(w)')} + 1], w[{_i('d1', 'doc_id', 'len(w)')} + 1], w[{_i('d2', 'doc_id', 'len(w)')} + 1]])) AS INT) AS kept
-FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents) t""")
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t""")
 def k_draws_dedup(spark, d):
-    """Three draws with replacement, repeats dropped."""
-    docs = table(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("w"))
+    """Three draws with replacement from a text's words, repeats dropped."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
     return docs.select("doc_id", F.size(S.draws_with_replacement("d", F.col("doc_id"), F.col("w"), 3)).alias("kept"))
 
 
@@ -398,10 +438,11 @@ def newest_n_retention(spark, d):
     return L.newest(o.withColumn("step", L.step_number(F.col("name"))), ["o_custkey"], "step", 2).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, arg_min({'n': l_linenumber, 'q': l_quantity}, l_linenumber * 1000000 + l_partkey).n AS l_linenumber, arg_min(l_quantity, l_linenumber * 1000000 + l_partkey) AS l_quantity FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
 def first_passing_candidate(spark, d):
     """The first candidate that passes."""
-    return table(spark, d, "lineitem").where("l_discount > 0.05 AND l_tax < 0.06").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("o"))
+    return L.first_passing(r, ["l_orderkey"], "o", (F.col("l_discount") > 0.05) & (F.col("l_tax") < 0.06)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("SELECT l_orderkey, max(l_quantity) AS area, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
@@ -498,13 +539,13 @@ def relaxed_json(spark, d):
     return rows.select("id", J.repair_json("a").alias("fixed"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'Add a hat', 'en', '5.0,4.0'), (2, '改成蓝色', 'ch', '3.0,3.0'), (3, 'X改', 'en', '2.0,4.0')) t(line_no, instruction, lang, score)")
 def score_log_lines(spark, d):
-    """Valid lines of a score log."""
+    """Valid lines of a score log, the first of equal instructions (S17, F28); see score_log_files for whole files."""
     lines = ["Add a hat\t[5, 4]", "Add a hat\t[1, 1]", "改成蓝色\t[3, 3]", "X改\t[2, 4]", "final score: [3.0, 3.0, 6.0]", "broken line"]
     rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
     parsed = L.first_wins(FS.parse_score_lines(rows), ["file", "instruction"], ["line_no"])
-    return parsed.select("line_no", "instruction", X.script_language(F.col("instruction")).alias("lang"), F.array_join(F.transform("score", lambda x: x.cast("string")), ",").alias("score"))
+    return parsed.select(F.col("line_no").cast("int").alias("line_no"), "instruction", X.script_language(F.col("instruction")).alias("lang"), F.array_join(F.transform("score", lambda x: x.cast("string")), ",").alias("score"))
 
 
 # ---------------------------------------------------------------- text
@@ -513,8 +554,8 @@ def score_log_lines(spark, d):
 lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) <> lower(regexp_replace(lang, '[^a-zA-Z0-9]', '', 'g')) AS differs FROM documents""")
 def text_normalise(spark, d):
     """Letters and digits only; fences and line ends removed; inequality."""
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(X.normalised(t)).alias("plain"), F.md5(X.unfenced(t)).alias("unfenced"), (X.normalised(t) != X.normalised(F.col("lang"))).alias("differs"))
+    rows = table(spark, d, "documents").select("doc_id", X.normalised(F.col("text")).alias("own"), X.normalised(F.col("lang")).alias("other"), X.unfenced(F.col("text")).alias("unfenced"))
+    return rows.select("doc_id", F.md5("own").alias("plain"), F.md5("unfenced").alias("unfenced"), (F.col("own") != F.col("other")).alias("differs"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '[a-zA-Z]') AS latin, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS han, regexp_matches(text, '[\x{4e00}-\x{9fa5}]') AS han_narrow, CASE WHEN length(text) = 0 THEN NULL ELSE 'en' END AS lang_class FROM documents")
@@ -530,10 +571,11 @@ def quoted_substring(spark, d):
     return table(spark, d, "pages").select("page_id", X.quoted(F.col("html")).alias("last"), X.quoted(F.col("html"), 2).alias("second_last"))
 
 
-@query()
+@query(r"""SELECT doc_id, CAST(len(s) AS INT) AS n, regexp_replace(s[1], '\.\s$', '') AS first FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][A-Z\-0-9]*[^\n]*?(?:\.\s|$)') AS s FROM documents) t""")
 def sentences(spark, d):
-    """Stretches from a capital to a full stop (X13); look-ahead is beyond DuckDB's expressions."""
-    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"), F.try_element_at(X.sentences(F.col("text")), F.lit(1)).alias("first"))
+    """Stretches from a capital to a full stop."""
+    rows = table(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n"), F.try_element_at("s", F.lit(1)).alias("first"))
 
 
 @query("SELECT p_partkey, contains(p_name, string_split(p_name, ' ')[1]) AS found, replace('Change <color> of <thing>', '<color>', p_type) AS half, replace(replace('Change <color> of <thing>', '<color>', p_type), '<thing>', p_name) AS prompt FROM part")
@@ -565,10 +607,10 @@ def instruction_builders(spark, d):
     return c.select("c_custkey", F.concat(F.lit("Delete "), "c_mktsegment", F.lit(" in the picture")).alias("removal"), F.concat(F.lit("Convert the image to a "), X.style_name(F.col("c_name")), F.lit(" style")).alias("style"), F.element_at(F.split("c_name", "#"), -1).alias("tail"))
 
 
-@query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(substr(text, 1, 30))) AS url FROM documents")
+@query("SELECT doc_id, md5('data:image/png;base64,' || base64(encode(text))) AS url FROM documents")
 def data_url(spark, d):
-    """Base64 data URLs."""
-    return table(spark, d, "documents").select("doc_id", X.data_url(F.substring("text", 1, 30).cast("binary")).alias("url"))
+    """Base64 data URLs of whole payloads, as digests."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.data_url(F.col("text").cast("binary"))).alias("url"))
 
 
 @query("SELECT page_id, string_split(string_split(html, '</title>')[1], '<title>')[2] AS title, array_to_string(list_transform(string_split(url, '/'), lambda x: trim(x)), '|') AS parts FROM pages")
@@ -577,7 +619,7 @@ def between_markers(spark, d):
     return table(spark, d, "pages").select("page_id", X.between(F.col("html"), "<title>", "</title>").alias("title"), F.array_join(X.parts(F.col("url"), "/"), "|").alias("parts"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, repeat('x', 156) || '"|“a”|“b”|" end'), (1, 'a "b" c'), (2, '')) t(id, pieces)""")
 def prompt_pieces(spark, d):
     """Quote-aware prompt split."""
     rows = spark.createDataFrame([(0, "x" * 156 + '"ab" end'), (1, 'a "b" c'), (2, "")], "id int, p string")
@@ -643,24 +685,24 @@ def cosine_pairs(spark, d):
     return j.select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(V.cosine_share(F.col("embedding"), F.col("other")), 6).alias("share"))
 
 
-@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) t WHERE vec_id < 400),
-p AS (SELECT a.vec_id, sum(CASE WHEN a.label = b.label AND a.vec_id <> b.vec_id THEN e ELSE 0 END) AS same, sum(e) AS total FROM (
-  SELECT a, b, exp(-greatest(0, 2 - 2 * list_dot_product(a.v, b.v)) / 0.5) AS e FROM u a, u b) t GROUP BY a.vec_id)
-SELECT round(avg(-ln((same + 1e-8) / (total + 1e-8))), 5) AS loss, count(*) AS n FROM p""")
+@query("""WITH u AS (SELECT vec_id, vec_id // 400 AS batch, label, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) t),
+p AS (SELECT a.batch, a.vec_id, sum(CASE WHEN a.label = b.label AND a.vec_id <> b.vec_id THEN e ELSE 0 END) AS same, sum(e) AS total FROM (
+  SELECT a, b, exp(-greatest(0, 2 - 2 * list_dot_product(a.v, b.v)) / 0.5) AS e FROM u a JOIN u b ON a.batch = b.batch) t GROUP BY a.batch, a.vec_id)
+SELECT CAST(batch AS BIGINT) AS batch, round(avg(-ln((same + 1e-8) / (total + 1e-8))), 5) AS loss, count(*) AS n FROM p GROUP BY batch""")
 def dispersive_loss(spark, d):
-    """Dispersive loss of one batch of four hundred vectors, block by block."""
-    batch = table(spark, d, "embeddings").where("vec_id < 400")
-    return A.dispersive_loss(batch, "embedding", "label", "vec_id").select(F.round("loss", 5).alias("loss"), "n")
+    """Dispersive loss of each training batch of four hundred vectors."""
+    e = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 400))
+    return A.dispersive_loss(e, "embedding", "label", "vec_id", "batch").select("batch", F.round("loss", 5).alias("loss"), "n")
 
 
-@query("""SELECT vec_id, round(exp(embedding[1]) / list_sum(list_transform(embedding[1:4], lambda x: exp(x::DOUBLE))), 6) AS p0, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS s0,
-round(0.7 * embedding[1]::DOUBLE + 0.3 * embedding[2]::DOUBLE, 6) AS mix, round(list_sum(list_transform(range(1, 5), lambda i: (embedding[i]::DOUBLE - embedding[i + 4]::DOUBLE) ** 2)), 6) AS d2 FROM embeddings""")
+@query("""SELECT vec_id, round(list_max(list_transform(embedding, lambda x: exp(x::DOUBLE))) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))), 6) AS p, round(list_sum(list_transform(embedding, lambda x: 1 / (1 + exp(-x::DOUBLE)))), 5) AS s,
+round(list_sum(list_transform(range(1, 33), lambda i: 0.7 * embedding[i]::DOUBLE + 0.3 * embedding[i + 32]::DOUBLE)), 5) + 0.0 AS mix, round(list_sum(list_transform(range(1, 33), lambda i: (embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE) ** 2)), 5) AS d2 FROM embeddings""")
 def vector_maths(spark, d):
-    """Softmax, sigmoid, interpolation, squared distance."""
-    e = F.col("embedding")
-    head = F.slice(e, 1, 4)
-    rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", F.round(V.softmax(head)[0], 6).alias("p0"), F.round(V.sigmoid(e[0].cast("double")), 6).alias("s0"), F.round(V.interpolated(head, F.slice(e, 2, 4), F.lit(0.3))[0], 6).alias("mix"), F.round(V.squared_distance(head, F.slice(e, 5, 4)), 6).alias("d2"))
+    """Softmax, sigmoid, interpolation, squared distance over whole vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("e"))
+    low, high = F.slice("e", 1, 32), F.slice("e", 33, 32)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    return rows.select("vec_id", F.round(F.array_max(V.softmax(F.col("e"))), 6).alias("p"), F.round(total(F.transform("e", V.sigmoid)), 5).alias("s"), (F.round(total(V.interpolated(low, high, F.lit(0.3))), 5) + 0.0).alias("mix"), F.round(V.squared_distance(low, high), 5).alias("d2"))
 
 
 @query("SELECT CAST(l_linenumber AS INT) AS expert, count(*) AS tokens, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS load, round(avg(l_discount), 6) AS mean_prob, CAST(sum(count(*)) OVER (ORDER BY l_linenumber) - count(*) AS BIGINT) AS offset FROM lineitem GROUP BY l_linenumber")
@@ -671,11 +713,10 @@ def expert_load(spark, d):
 
 
 @query("""SELECT vec_id, CAST(s[1].i AS INT) AS first, round(-s[1].p, 6) AS p1, CAST(s[2].i AS INT) AS second, round(-s[1].p * 2 - s[2].p * 3, 6) AS mixed FROM (
-SELECT vec_id, list_sort(list_transform(range(1, 9), lambda k: {'p': -(embedding[k]::DOUBLE), 'i': k - 1})) AS s FROM embeddings) t""")
+SELECT vec_id, list_sort(list_transform(range(1, len(embedding) + 1), lambda k: {'p': -(embedding[k]::DOUBLE), 'i': k - 1})) AS s FROM embeddings) t""")
 def top_experts(spark, d):
-    """Top-two gates and their weighted sum."""
-    t = A.top_experts(V.as_double(F.slice("embedding", 1, 8)), 2)
-    rows = table(spark, d, "embeddings").select("vec_id", t.alias("t"))
+    """Top-two gates of all and their weighted sum."""
+    rows = table(spark, d, "embeddings").select("vec_id", A.top_experts(V.as_double(F.col("embedding")), 2).alias("t"))
     return rows.select("vec_id", F.col("t")[0]["expert"].alias("first"), F.round(F.col("t")[0]["prob"], 6).alias("p1"), F.col("t")[1]["expert"].alias("second"), F.round(F.col("t")[0]["prob"] * 2 + F.col("t")[1]["prob"] * 3, 6).alias("mixed"))
 
 
@@ -711,9 +752,8 @@ def running_mean(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(sum(CASE WHEN k = 1 THEN 1.0 ELSE 0.01 END * pow(0.99, n - k) * value), 6) AS ema FROM r GROUP BY event_type""")
 def ema(spark, d):
-    """Exponential average in order of time."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("k", F.row_number().over(w))
+    """Exponential average in order of time; ranks are those of all events sorted by kind."""
+    e = S.with_rank(table(spark, d, "events").select("event_type", "ts", "event_id", "value"), ["event_type", "ts", "event_id"], "k")
     return A.ema_by_rank(e, ["event_type"], "k", "value").select("event_type", F.round("ema", 6).alias("ema"))
 
 
@@ -732,20 +772,28 @@ def sincos_embedding(spark, d):
     return rows.select("pos", F.posexplode(V.sin_cos(F.col("pos"), 8)).alias("i", "v")).select("pos", "i", F.round("v", 6).alias("v"))
 
 
-@query("""SELECT vec_id, round(-(CASE WHEN label = 1 THEN ln(greatest(p, 1e-8)) ELSE ln(greatest(q, 1e-8)) END) * pow(1 - CASE WHEN label = 1 THEN p ELSE q END, CASE WHEN label = 1 THEN 1.0 ELSE 4.0 END), 6) + 0.0 AS loss
-FROM (SELECT vec_id, label, p, least(1 - p + 0.05, 1.0) AS q FROM (SELECT vec_id, label, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS p FROM embeddings) a) b""")
+@query("""SELECT vec_id, round(list_sum(list_transform(range(0, len(embedding)), lambda i: -(CASE WHEN i = label THEN ln(greatest(1 / (1 + exp(-embedding[i + 1]::DOUBLE)), 1e-8)) ELSE ln(greatest(least(1 - 1 / (1 + exp(-embedding[i + 1]::DOUBLE)) + 0.05, 1.0), 1e-8)) END)
+ * pow(1 - CASE WHEN i = label THEN 1 / (1 + exp(-embedding[i + 1]::DOUBLE)) ELSE least(1 - 1 / (1 + exp(-embedding[i + 1]::DOUBLE)) + 0.05, 1.0) END, CASE WHEN i = label THEN 1.0 ELSE 4.0 END))), 5) + 0.0 AS loss FROM embeddings""")
 def asymmetric_loss(spark, d):
-    """Asymmetric multi-label loss, one class."""
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", (F.round(V.asymmetric_loss(F.col("embedding")[0].cast("double"), (F.col("label") == 1).cast("int")), 6) + 0.0).alias("loss"))
+    """Asymmetric multi-label loss over all classes of a vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", V.as_double(F.col("embedding")).alias("e"))
+    each = F.transform("e", lambda x, i: V.asymmetric_loss(x, (i == F.col("label")).cast("int")))
+    return rows.select("vec_id", (F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("loss"))
 
 
-@query("SELECT label, round(avg(embedding[1]::DOUBLE), 5) AS m1, round(avg(embedding[64]::DOUBLE), 5) AS m64 FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(i - 1 AS INT) AS i, round(avg(embedding[i]::DOUBLE), 5) + 0.0 AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i")
 def mean_pool(spark, d):
-    """Element-wise means."""
+    """Element-wise means of whole vectors."""
     e = table(spark, d, "embeddings").select("label", V.as_double(F.col("embedding")).alias("embedding"))
-    m = A.mean_pool(e, ["label"], "embedding")
-    return m.select("label", F.round(F.col("embedding")[0], 5).alias("m1"), F.round(F.col("embedding")[63], 5).alias("m64"))
+    return A.mean_pool(e, ["label"], "embedding").select("label", F.posexplode("embedding").alias("i", "m")).select("label", "i", (F.round("m", 5) + 0.0).alias("m"))
+
+
+@query("SELECT a.vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 5) AS diff FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def channel_difference(spark, d):
+    """Mean absolute difference of two channels."""
+    e = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("e"))
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("other")), "vec_id")
+    return j.select("vec_id", F.round(V.mean_difference(F.col("e"), F.col("other")), 5).alias("diff"))
 
 
 # ---------------------------------------------------------------- labels
@@ -768,11 +816,10 @@ def multihot(spark, d):
     return p.select("p_partkey", F.concat(F.lit("["), F.array_join(hot, ", "), F.lit("]")).alias("hot"), V.pick(F.array("p_size", F.col("p_size") + 1), F.array((F.col("p_partkey") % 2).cast("int")))[0].alias("picked"))
 
 
-@query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x LIKE 'a%')) > 0 AS relevant FROM part")
+@query("SELECT p_partkey, p_type IN ('PROMO', 'SMALL') OR p_brand IN ('PROMO', 'SMALL') AS relevant FROM part")
 def relevant_labels(spark, d):
     """Any label of a class list."""
-    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
-    return p.select("p_partkey", F.exists("w", lambda x: x.startswith("a")).alias("relevant"))
+    return table(spark, d, "part").select("p_partkey", A.relevant(F.array("p_type", "p_brand"), ["PROMO", "SMALL"]).alias("relevant"))
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '[0, 0]' ELSE '[' || (1 - l.quality) || ', ' || l.quality || ']' END AS labels FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -788,7 +835,7 @@ def class_split_membership(spark, d):
     """Rows whose class is in a split."""
     splits = spark.createDataFrame([("PROMO", "test"), ("SMALL", "test"), ("ECONOMY", "train"), ("LARGE", "train"), ("MEDIUM", "train")], "name string, split string")
     p = table(spark, d, "part").select("p_partkey", F.array("p_type").alias("names"))
-    return L.membership(p, "names", splits).select("p_partkey", "in_test", "in_train")
+    return L.membership(p, "p_partkey", "names", splits).select("p_partkey", "in_test", "in_train")
 
 
 @query("SELECT * FROM (VALUES (0, 'cat|dog'), (1, 'sun'), (2, '')) t(id, labels)")
@@ -819,23 +866,23 @@ def masked_positions(spark, d):
 
 
 def _items(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.when(F.col("role") == "user", "text").otherwise("image").alias("kind"), F.substring("text", 1, 8).alias("value")).alias("x"))
+    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.when(F.col("role") == "user", "text").otherwise("image").alias("kind"), F.col("text").alias("value")).alias("x"))
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("items"))
 
 
-@query("""SELECT conv_id, arg_max(CASE WHEN role <> 'user' THEN substr(text, 1, 8) END, turn) FILTER (role <> 'user') AS image, arg_max(substr(text, 1, 8), turn) FILTER (role = 'user') AS text FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, md5(arg_max(text, turn) FILTER (role <> 'user')) AS image, md5(arg_max(text, turn) FILTER (role = 'user')) AS text FROM conversations GROUP BY conv_id""")
 def last_per_type(spark, d):
-    """The last output of each type."""
+    """The last output of each type, as digests."""
     last = A.last_of_kind(F.col("items"))
-    return _items(spark, d).select("conv_id", last["image"].alias("image"), last["text"].alias("text"))
+    return _items(spark, d).select("conv_id", F.md5(last["image"]).alias("image"), F.md5(last["text"]).alias("text"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '[t:' ELSE '[i:' END || substr(text, 1, 8) || ']' AS mark, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS lt FROM conversations)
-SELECT conv_id, string_agg(mark, '' ORDER BY turn) AS context, coalesce(string_agg(mark, '' ORDER BY turn) FILTER (turn < lt), '') AS before_text FROM m GROUP BY conv_id""")
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '[t:' ELSE '[i:' END || text || ']' AS mark, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS lt FROM conversations)
+SELECT conv_id, md5(string_agg(mark, '' ORDER BY turn)) AS context, md5(coalesce(string_agg(mark, '' ORDER BY turn) FILTER (turn < lt), '')) AS before_text FROM m GROUP BY conv_id""")
 def fold_conversation(spark, d):
-    """A left fold of mixed items, forked at the last text."""
-    fold = A.folded_context(F.col("items"))
-    return _items(spark, d).select("conv_id", fold["context"].alias("context"), fold["before_text"].alias("before_text"))
+    """A left fold of mixed items, forked at the last text, as digests."""
+    fold = _items(spark, d).select("conv_id", A.folded_context(F.col("items")).alias("f"))
+    return fold.select("conv_id", F.md5("f.context").alias("context"), F.md5("f.before_text").alias("before_text"))
 
 
 @query("""SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS INT) AS users, CAST(least(count(*) FILTER (role = 'user'), count(*) FILTER (role <> 'user')) AS INT) AS pairs FROM conversations GROUP BY conv_id""")
@@ -855,18 +902,39 @@ def upsert(spark, d):
 
 @query("SELECT regexp_extract(name, '^(.*)_in$', 1) AS stem, count(*) AS n FROM (SELECT p_type || '_' || p_size || '_in' AS name FROM part) t GROUP BY 1")
 def in_out_pairs(spark, d):
-    """Files paired by suffix swap."""
+    """Names paired by suffix swap (J7); see file_pairs for files."""
     p = table(spark, d, "part").select(F.concat_ws("_", "p_type", F.col("p_size").cast("string")).alias("s"))
     names = p.select(F.concat("s", F.lit("_in")).alias("name")).unionByName(p.select(F.concat("s", F.lit("_out")).alias("name")).distinct())
     return L.paired_by_stem(names, "name").groupBy("stem").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(CASE WHEN s BETWEEN 1 AND 10 THEN 1 ELSE 0 END) AS BIGINT) AS in_range FROM (SELECT doc_id, 5 AS s FROM documents) t")
+def _unit_sql(name: str, column: str, low: float, high: float) -> str:
+    """DuckDB form of scorers.stand_in."""
+    return f"({low} + ({high} - {low}) * (('0x' || substr(md5('{name}' || {column}), 1, 8))::BIGINT / 4294967296.0))"
+
+
+@query(f"SELECT doc_id, round({_unit_sql('aesthetic', 'text', 1.0, 10.0)}, 6) AS aesthetic, doc_id % 97 = 0 AS failed FROM documents WHERE doc_id % 97 <> 0 UNION ALL SELECT doc_id, NULL, true FROM documents WHERE doc_id % 97 = 0")
 def scorer_stand_in(spark, d):
-    """A scorer over all rows behind the interface."""
+    """A scorer over all rows behind the interface; rows that fail get nulls and their error."""
+    base = C.STAND_INS["aesthetic"]
+
+    def batch(model, frame):
+        if (frame["doc_id"] % 97 == 0).any():
+            raise ValueError("unreadable")
+        return base.batch(model, frame)
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("payload"))
+    scored = C.apply_scorer(docs, C.Scorer("aesthetic", ("doc_id", "payload"), "aesthetic double", batch), tries=1, limit=60)
+    return scored.select("doc_id", F.round("aesthetic", 6).alias("aesthetic"), F.col("aesthetic_error").isNotNull().alias("failed"))
+
+
+@query(f"""SELECT doc_id, round({_unit_sql('aesthetic', 'text', 1.0, 10.0)}, 6) AS aesthetic, round({_unit_sql('liqe', 'text', 1.0, 5.0)}, 6) AS liqe, round({_unit_sql('clip_iqa', 'text', 0.0, 1.0)}, 6) AS clip_iqa FROM documents
+WHERE {_unit_sql('aesthetic', 'text', 1.0, 10.0)} >= 4 AND {_unit_sql('liqe', 'text', 1.0, 5.0)} >= 3 AND {_unit_sql('clip_iqa', 'text', 0.0, 1.0)} >= 0.5""")
+def scorer_chain(spark, d):
+    """Three scorers, each behind the gate of the one before."""
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("payload"))
-    scored = C.apply_scorer(docs, C.STAND_INS["aesthetic"])
-    return scored.agg(F.count("*").alias("n"), F.sum(F.col("aesthetic").between(1, 10).cast("long")).alias("in_range"))
+    stages = [(C.STAND_INS["aesthetic"], "aesthetic >= 4"), (C.STAND_INS["liqe"], "liqe >= 3"), (C.STAND_INS["clip_iqa"], "clip_iqa >= 0.5")]
+    return C.chained(docs, stages).select("doc_id", *[F.round(c, 6).alias(c) for c in ("aesthetic", "liqe", "clip_iqa")])
 
 
 @query("SELECT doc_id, lang || chr(10) || source || chr(10) || '1, 2' AS audit FROM documents")

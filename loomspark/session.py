@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +32,26 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers tables as temporary views under their own names."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under the shared folder that spark.checkpoint.dir names.
+
+    Only a local session may go without that setting; it gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "loomspark-scratch")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file through the file system that Spark uses for the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

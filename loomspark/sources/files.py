@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,42 @@ def image_size(payloads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_size(p) or (None, None) for p in payloads], columns=["w", "h"]).astype("Int32")
 
 
+@F.pandas_udf(T.BooleanType())
+def image_whole(payloads: pd.Series) -> pd.Series:
+    """Whether a PNG, GIF, BMP, WebP or JPEG is there from its header to its end; PNG data is decompressed and its checksums are verified."""
+    return payloads.map(_whole).astype(bool)
+
+
+def _whole(data: bytes | None) -> bool:
+    size = _size(data)
+    if size is None:
+        return False
+    data = bytes(data)
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at, pixels = 8, zlib.decompressobj()
+        while at + 12 <= len(data):
+            n = int.from_bytes(data[at : at + 4], "big")
+            body = data[at + 4 : at + 8 + n]
+            if data[at + 8 + n : at + 12 + n] != zlib.crc32(body).to_bytes(4, "big"):
+                return False
+            if body[:4] == b"IDAT":
+                try:
+                    pixels.decompress(body[4:])
+                except zlib.error:
+                    return False
+            if body[:4] == b"IEND":
+                return pixels.eof
+            at += 12 + n
+        return False
+    if data[:3] == b"GIF":
+        return data.rstrip(b"\0")[-1:] == b";"
+    if data[:2] == b"BM":
+        return len(data) >= int.from_bytes(data[2:6], "little")
+    if data[:4] == b"RIFF":
+        return len(data) >= 8 + int.from_bytes(data[4:8], "little")
+    return data.rstrip(b"\0")[-2:] == b"\xff\xd9"
+
+
 def _size(data: bytes | None) -> tuple[int, int] | None:
     if not data:
         return None

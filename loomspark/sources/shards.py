@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
-import os
-import re
 import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+#: Bytes of members that go out together.
+BATCH_BYTES = 4 << 20
 MEMBERS = "shard string, key string, ext string, payload binary, error string"
 
 
@@ -26,6 +28,19 @@ def split_name(name: str) -> tuple[str, str]:
     return (f"{folder}/{stem}" if folder else stem), ext
 
 
+def file_system(url: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a URL (local folders, s3, gs, hdfs, abfs), and the path in it."""
+    if url.startswith("file:"):
+        url = "/" + url.removeprefix("file:").lstrip("/")
+    return (pafs.LocalFileSystem(), url) if "://" not in url else pafs.FileSystem.from_uri(url)
+
+
+def opened(url: str):
+    """A shard as a stream that is read once from its beginning, so its size doesn't matter."""
+    fs, path = file_system(url)
+    return fs.open_input_stream(path, compression=None)
+
+
 @dataclass
 class _Shard(InputPartition):
     path: str
@@ -53,7 +68,7 @@ class _Reader(DataSourceReader):
         if not path:
             return
         try:
-            with tarfile.open(re.sub("^file:(//)?", "", path)) as tar:
+            with opened(path) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
                 for member in tar:
                     if member.isfile():
                         key, ext = split_name(member.name)
@@ -77,31 +92,38 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part, files, tar, count, size, last = context.partitionId(), [], None, 0, 0, None
-        folder = os.path.join(self.root, "_parts", self.token, f"{part:05d}-{context.attemptNumber()}")
-        os.makedirs(folder, exist_ok=True)
+        fs, root = file_system(self.root)
+        folder = f"{root}/_parts/{self.token}/{context.partitionId():05d}-{context.attemptNumber()}"
+        fs.create_dir(folder, recursive=True)
+        files, tar, stream, count, size, last = [], None, None, 0, 0, None
+
+        def close() -> None:
+            if tar:
+                tar.close()
+                stream.close()
+
         for row in rows:
             new = row["key"] != last
             if tar is None or new and (count >= self.maxcount or size >= self.maxsize):
-                if tar:
-                    tar.close()
-                files.append(os.path.join(folder, f"{len(files):05d}.tar"))
-                tar, count, size = tarfile.open(files[-1], "w"), 0, 0
+                close()
+                files.append(f"{folder}/{len(files):05d}.tar")
+                stream = fs.open_output_stream(files[-1], compression=None)
+                tar, count, size = tarfile.open(fileobj=stream, mode="w|"), 0, 0
             count += new
             last = row["key"]
             info = tarfile.TarInfo(f"{row['key']}.{row['ext']}")
             info.size = len(row["payload"])
             size += info.size
             tar.addfile(info, io.BytesIO(bytes(row["payload"])))
-        if tar:
-            tar.close()
+        close()
         return _Committed(files)
 
     def commit(self, messages):
+        fs, root = file_system(self.root)
         number = 0
         for message in messages:
             for path in message.files if message else []:
-                os.replace(path, os.path.join(self.root, f"{number:05d}.tar"))
+                fs.move(path, f"{root}/{number:05d}.tar")
                 number += 1
         self._clean()
 
@@ -109,13 +131,20 @@ class _Writer(DataSourceWriter):
         self._clean()
 
     def _clean(self):
-        import shutil
-
-        shutil.rmtree(os.path.join(self.root, "_parts", self.token), ignore_errors=True)
+        fs, root = file_system(self.root)
+        with contextlib.suppress(OSError):  # nothing was written
+            fs.delete_dir(f"{root}/_parts/{self.token}")
+        with contextlib.suppress(OSError):
+            if not fs.get_file_info(pafs.FileSelector(f"{root}/_parts")):
+                fs.delete_dir(f"{root}/_parts")
 
 
 class ShardSource(DataSource):
-    """Format `shards`. Option paths: a JSON list (see paths.listed). For writing: path, maxcount, maxsize; the folder must be shared."""
+    """Format `shards`. Option paths: a JSON list (see paths.listed). For writing: path, maxcount, maxsize.
+
+    Shards are streamed from and to any store that Arrow's file systems reach, whatever their size; a local path
+    must be a folder that all executors share.
+    """
 
     @classmethod
     def name(cls):
@@ -139,26 +168,33 @@ def read_members(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_remote_members(spark: SparkSession, patterns: list[str] | str) -> DataFrame:
-    """The same rows for shards in any store that Spark reads, of up to 2 GB each: files come as binary rows and are unpacked in tasks."""
+    """The same rows for shards in a store that Spark alone reads (see read_members for the others): files come as binary rows, so each has 2 GB at most."""
     listed = spark.read.format("binaryFile").load(patterns).select("path", "content")
 
     def unpack(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held, size = [], 0
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content.as_buffer())) as tar:
+                    with tarfile.open(fileobj=pa.BufferReader(content.as_buffer()), mode="r|") as tar:
                         for member in tar:
                             if member.isfile():
-                                yield _member(path, *split_name(member.name), tar.extractfile(member).read(), None)
+                                held.append((path, *split_name(member.name), tar.extractfile(member).read(), None))
+                                size += member.size
+                                if size >= BATCH_BYTES:
+                                    yield _members(held)
+                                    held, size = [], 0
                 except (tarfile.TarError, OSError, EOFError) as problem:
-                    yield _member(path, None, None, None, f"{type(problem).__name__}: {problem}")
+                    held.append((path, None, None, None, f"{type(problem).__name__}: {problem}"))
+                if held:
+                    yield _members(held)
 
     return listed.mapInArrow(unpack, MEMBERS)
 
 
-def _member(*values) -> pa.RecordBatch:
+def _members(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "key", "ext", "payload", "error"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "key", "ext", "payload", "error"])
 
 
 def samples(members: DataFrame, extensions: list[str]) -> DataFrame:
@@ -185,5 +221,6 @@ def write_shards(members: DataFrame, path: str, maxcount: int = 5000, maxsize: f
     spark = members.sparkSession
     spark.dataSource.register(ShardSource)
     rows = members.select(F.lit(None).cast("string").alias("shard"), "key", "ext", "payload", F.lit(None).cast("string").alias("error"))
-    os.makedirs(path, exist_ok=True)
+    fs, root = file_system(path)
+    fs.create_dir(root, recursive=True)
     rows.repartition("key").sortWithinPartitions("key", "ext").write.format("shards").mode("append").option("maxcount", str(maxcount)).option("maxsize", str(maxsize)).save(path)
