@@ -29,6 +29,6 @@ def query(oracle: str | None = None, name: str | None = None):
 
 def load() -> dict[str, Query]:
     """The catalogue with every query module imported."""
-    from loomspark.plans import reference_queries  # noqa: F401
+    from loomspark.plans import reference_queries, source_queries  # noqa: F401
 
     return CATALOG
