@@ -438,10 +438,10 @@ def newest_n_retention(spark, d):
     return L.newest(o.withColumn("step", L.step_number(F.col("name"))), ["o_custkey"], "step", 2).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT l_orderkey, arg_min({'n': l_linenumber, 'q': l_quantity}, l_linenumber * 1000000 + l_partkey).n AS l_linenumber, arg_min(l_quantity, l_linenumber * 1000000 + l_partkey) AS l_quantity FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS l_quantity FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
 def first_passing_candidate(spark, d):
     """The first candidate that passes."""
-    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("o"))
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("o"))
     return L.first_passing(r, ["l_orderkey"], "o", (F.col("l_discount") > 0.05) & (F.col("l_tax") < 0.06)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 

@@ -299,3 +299,18 @@ def image_checks(spark, d):
     cut = F.when(F.col("p_partkey") % 3 == 0, F.expr("substring(payload, 1, length(payload) - 14)")).otherwise(F.col("payload"))
     found = p.select(FS.image_size(cut).alias("s"), FS.image_whole(cut).alias("whole"))
     return found.agg(F.count("*").alias("n"), F.sum(F.col("whole").cast("long")).alias("whole"), F.sum(F.col("s.w").cast("long")).alias("w"))
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query()
+def token_counts(spark, d):
+    """Token ids of whole messages by byte-pair encoding (X39); checked against a public tokenizer library."""
+    import public_tokenizers
+
+    from loomspark.functions.bpe import token_ids
+
+    ids = token_ids(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
+    return rows.select("conv_id", "turn", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))

@@ -1,5 +1,8 @@
 """Literal fixtures for expressions, with values at every boundary."""
 
+import random
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +156,19 @@ def test_draws(ev):
     assert sorted(ev(S.draws_without_replacement("s", lit(1), F.array(lit("a"), lit("b")), 5))) == ["a", "b"]
     with pytest.raises(ValueError):
         S.split_by_hash("s", lit(1), {"a": 0.5, "b": 0.6})
+
+
+def test_byte_pair_encoding_as_the_public_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomspark.functions import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, other = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    alphabet = ["the", "ing", " ", "  ", "\n", "\t", "é", "中文", "🙂", "'s", "1", "234", "x" * 40, "_", "A", " ", "...", "don't", "\r\n", "é"]
+    texts = ["", " ", "a", "Hello, world!  \n\n it's 2024."] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    texts += [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()[:60]]
+    for text in texts:
+        assert own.encode(text) == other.encode(text, add_special_tokens=False).ids, repr(text[:80])
