@@ -43,10 +43,12 @@ def pack_columns(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFr
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a folder only where that is unset, as in tests."""
+    """Uses the session's spark.checkpoint.dir; a local session without one, as in tests, gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "loomspark-checkpoints"))
 
 
@@ -223,10 +225,23 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Tables that `written` has left in the shared folder since `clean` last ran.
+WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that `written` has left in the shared folder; for when the results that read them are saved."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while WRITTEN:
+        path = hadoop.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes rows as Parquet to the shared folder and reads them again: computed once, whatever uses them."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

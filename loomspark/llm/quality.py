@@ -76,10 +76,17 @@ class Model:
         return cls(mean, axes, _unit(centred @ axes), labels.astype(np.float32))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Weighted votes of the nearest labelled vectors by exact cosine, block by block."""
-        out = np.empty(len(rows))
+        """Weighted votes of the nearest labelled vectors by exact cosine, block by block.
+
+        Every block has the same shape, the last one with empty rows, so that a row's products don't depend on what
+        stands beside it and equal rows score alike. Of vectors equally near at the last place, those count that
+        the partition of the row's cosines puts first, which are the same ones for equal rows.
+        """
+        out = np.empty(-(-len(rows) // BLOCK) * BLOCK)
         for at in range(0, len(rows), BLOCK):
-            own = _unit((rows[at : at + BLOCK] - self.mean) @ self.axes)
+            block = np.zeros((BLOCK, rows.shape[1]), dtype=np.float32)
+            block[: len(rows) - at] = rows[at : at + BLOCK]
+            own = _unit((block - self.mean) @ self.axes)
             cosines = own @ self.vectors.T
             k = min(NEIGHBOURS, cosines.shape[1])
             if k:
@@ -88,7 +95,7 @@ class Model:
                 out[at : at + BLOCK] = ((weight * self.labels[top]).sum(axis=1) + PRIOR * PRIOR_SCORE) / (weight.sum(axis=1) + PRIOR)
             else:
                 out[at : at + BLOCK] = PRIOR_SCORE
-        return out
+        return out[: len(rows)]
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -762,6 +763,27 @@ def test_quality_voters_keep_the_labels_shares(spark, monkeypatch):
     assert len(voters) == 200 and 0.05 < 1 - voters.mean() < 0.16
 
 
+def test_equal_texts_score_alike_in_any_block():
+    rng = np.random.default_rng(2)
+    width = quality.TRIGRAMS + quality.SHAPES + quality.SCALARS
+    model = quality.Model.fit(rng.random((300, width)).astype(np.float32), rng.integers(0, 2, 300))
+    probe = rng.random((quality.BLOCK + 9, width)).astype(np.float32)
+    whole = model.score(probe)
+    assert all(model.score(probe[i : i + n])[0] == whole[i] for i, n in ((0, 1), (7, 3), (quality.BLOCK - 1, 10), (quality.BLOCK + 4, 1)))
+    assert model.score(probe[::-1])[::-1].tolist() == whole.tolist()
+
+
+def test_quality_query_on_held_out_labels(spark):
+    """op5 on the driver's documents: accuracy and order on the labels that it hasn't seen."""
+    table = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.op5_neighbour_quality(spark, table).collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in pq.read_table(f"{table}/labels.parquet").to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert all(got[i].held_out for i, _ in labels) and len(labels) > 60
+    assert np.mean([got[i].predicted == y for i, y in labels]) > 0.95
+    good, bad = ([got[i].score for i, y in labels if y == want] for want in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.97
+
+
 def test_quality_votes_match_a_direct_sum():
     rng = np.random.default_rng(0)
     width = quality.TRIGRAMS + quality.SHAPES + quality.SCALARS
@@ -803,6 +825,17 @@ def transcripts(seed=5, convs=4, turns=40):
 CHAT = "conv_id long, turn long, role string, text string"
 
 
+def test_written_tables_can_be_cleaned(spark):
+    from loomspark.llm import common
+
+    common.clean(spark)
+    rows = common.written(spark.range(3))
+    path = common.WRITTEN[-1].removeprefix("file:")
+    assert rows.count() == 3 and os.path.isdir(path)
+    common.clean(spark)
+    assert not common.WRITTEN and not os.path.exists(path)
+
+
 def test_viterbi_is_optimal():
     rng = random.Random(7)
     for _ in range(30):

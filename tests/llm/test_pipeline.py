@@ -72,3 +72,83 @@ def test_near_copies_reach_similarity(spark, sf, pipeline):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()}
     assert got == {i for i in range(len(texts)) if root(i) == i}
+
+
+def test_stages_keep_what_brute_force_keeps(spark, sf, pipeline):
+    """The rows of each stage but the fitted first one, on the driver's smallest documents, by plain Python."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    from loomspark.llm import quality
+    from loomspark.llm.lines import MIN_WORDS
+
+    docs = sorted(pq.read_table(f"{sf}/documents.parquet").to_pylist(), key=lambda r: r["doc_id"])
+    stages = dict(pipeline.STAGES)
+    rows = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs], "doc_id long, text string, lang string, source string, n_chars long")
+
+    scored = quality.classify(rows, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    kept = {r.doc_id for r in scored if r.quality_score >= quality.THRESHOLD}
+    got = stages["quality"](spark, rows, sf)
+    assert {r.doc_id for r in got.collect()} == kept and 0 < len(kept) < len(docs)
+    docs = [r for r in docs if r["doc_id"] in kept]
+
+    seen, shapes, texts = set(), {}, {}
+    for r in docs:  # lines equal to an earlier one, or one word away from it
+        out = []
+        for line in (r["text"] or "").split("\n"):
+            words = tuple(line.encode().split())
+            if not words:
+                out.append(line)
+                continue
+            near = False
+            if len(words) >= MIN_WORDS - 1:
+                around = {(words[:i] + words[i + 1 :], i) for i in range(len(words))}
+                substituted = len(words) >= MIN_WORDS and any(("s", *x) in shapes for x in around)
+                shorter = len(words) >= MIN_WORDS and any(x in seen for x, _ in around)
+                longer = len(words) + 1 >= MIN_WORDS and ("d", words) in shapes
+                near = substituted or shorter or longer
+            if words not in seen and not near:
+                out.append(line)
+            seen.add(words)
+            for i in range(len(words)):
+                less = words[:i] + words[i + 1 :]
+                shapes[("s", less, i)] = shapes[("d", less)] = True
+        texts[r["doc_id"]] = "\n".join(out)
+    got = stages["line_dedup"](spark, got, sf)
+    assert {r.doc_id: r.text or "" for r in got.collect()} == texts
+
+    words = {i: t.lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(texts), 2):
+        both = len(sets[i] & sets[j])
+        if words[i] == words[j] or both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    kept = {i for i in texts if root(i) == i}
+    got = stages["near_duplicates"](spark, got, sf)
+    assert {r.doc_id for r in got.collect()} == kept and len(kept) < len(texts)
+
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist():
+        own = split(r["text"])
+        windows |= {tuple(own[k : k + min(10, len(own))]) for k in range(len(own) - min(10, len(own)) + 1)} - {()}
+    sizes = {len(w) for w in windows}
+    hit = {i for i in kept if any(tuple(own[k : k + n]) in windows for own in [split(texts[i])] for n in sizes for k in range(len(own) - n + 1))}
+    got = stages["decontamination"](spark, got, sf)
+    assert {r.doc_id for r in got.collect()} == kept - hit and hit
+
+    pieces = sorted((r.doc_id, r.start, r.length) for r in stages["packing"](spark, got, sf).collect())
+    at = {}
+    for i, start, length in pieces:
+        assert start == at.get(i, 0)
+        at[i] = start + length
+    assert set(at) == kept - hit
