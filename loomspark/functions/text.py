@@ -57,6 +57,7 @@ def parts(c: Column, separator: str = "&&") -> Column:
 
 def sentences(c: Column) -> Column:
     """Stretches from a capital letter to the next full stop before white space, or the end of the line."""
+    # fixed value: the pattern
     return F.regexp_extract_all(c, F.lit(r"[A-Z][A-Z\-0-9]*.*?(?=\.\s|$)"), F.lit(0))
 
 

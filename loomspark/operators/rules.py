@@ -94,6 +94,7 @@ class Variant:
 VARIANTS = {"1024": Variant(None, True, True), "512": Variant(1.3, True, False), "qwen_1024": Variant(1.3, False, False), "qwen_512": Variant(1.3, False, False)}
 
 
+# The labels, tasks and least scores inside the rules below.
 def rejected(m: Column, variant: Variant = VARIANTS["1024"]) -> Column:
     """Whether the per-label rules reject a record with metadata struct m (EDIT_SCHEMA). Comparisons with missing values don't reject."""
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -178,6 +179,7 @@ def quality_gate(q: Column, a: Column, c: Column, least: tuple[float, float, flo
     return ~((q < least[0]) | (a < least[1]) | (c < least[2]))
 
 
+# The bounds of scores in the gates below.
 def drop_gate(q: tuple[Column, Column], a: tuple[Column, Column], c: tuple[Column, Column]) -> Column:
     """Deletion: scores (before, after) may fall only a little; a missing aesthetic score before counts as zero."""
     before = F.coalesce(a[0], F.lit(0.0))

@@ -3,12 +3,14 @@
 import io
 import json
 import tarfile
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import aggregates as A
+from loomspark.operators import lookup as L
 from loomspark.operators import mixing as M
 from loomspark.operators import sampling as S
 from loomspark.operators import scorers as C
@@ -252,3 +254,75 @@ def test_balanced_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert [round(r.share, 3) for r in spark.table("balanced").collect()] == [0.0, 1.0, 0.0, 0.667, 0.25]
+
+
+# ------------------------------------------------------------------ ranks of any type, limits, shards by stream
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "date", "decimal(12,2)", "double"])
+def test_ranks_of_any_type(spark, monkeypatch, kind):
+    monkeypatch.setattr(S, "SAMPLE", 200)
+    base = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("id"))
+    value = {"string": F.format_string("k%05d", "id"), "timestamp": F.timestamp_seconds(F.col("id") * 977), "date": F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int"))}.get(kind, F.col("id").cast(kind) / 3)
+    rows = base.withColumn("v", F.when(F.col("id") >= 5, value)).withColumn("group", F.col("id") % 3)
+    want = {r.id: n for n, r in enumerate(sorted(rows.collect(), key=lambda r: (r.group, r.v is not None, r.v if r.v is not None else 0, r.id)), 1)}
+    ranked = S.with_rank(rows, ["group", "v", "id"], "r")
+    assert {r.id: r.r for r in ranked.collect()} == want
+    assert len({r.p for r in ranked.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+
+
+def test_ranks_of_few_and_no_rows(spark):
+    assert [r.r for r in S.with_rank(spark.range(1), ["id"], "r").collect()] == [1]
+    assert S.with_rank(spark.range(0), ["id"], "r").count() == 0
+
+
+def test_membership_joins(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["c", "c"]), (4, None)], "k int, names array<string>")
+    splits = spark.createDataFrame([("a", "train"), ("c", "train"), ("c", "test")], "name string, split string")
+    got = {r.k: (r.in_train, r.in_test) for r in L.membership(rows, "k", "names", splits).collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (True, True), 4: (False, False)}
+
+
+def test_hanging_scorer_is_cut_off(spark):
+    def batch(_, frame):
+        if (frame["id"] == 2).any():
+            time.sleep(60)
+        return pd.DataFrame({"s": frame["id"] * 1.0})
+
+    began = time.time()
+    rows = C.apply_scorer(spark.range(4).coalesce(1), C.Scorer("x", ("id",), "s double", batch), tries=1, limit=1.0).collect()
+    assert time.time() - began < 30
+    assert {r.id: r.s for r in rows} == {0: 0.0, 1: 1.0, 2: None, 3: 3.0}
+    assert [r.x_error for r in rows if r.id == 2] == ["TimeoutError: no answer within 1 s"]
+    with pytest.raises(ZeroDivisionError):
+        C.within(5, lambda: 1 / 0)
+
+
+def test_dispersive_loss_refuses_tables(spark):
+    rows = spark.range(20).select("id", F.lit(0).alias("b"), F.lit(1).alias("t"), F.array(F.rand(1), F.rand(2)).alias("v"))
+    assert A.dispersive_loss(rows, "v", "t", "id", "b").first().n == 20
+    with pytest.raises(Exception, match="over 10"):
+        A.dispersive_loss(rows, "v", "t", "id", "b", most=10).collect()
+
+
+def test_whole_images_are_told_from_cut_ones():
+    import zlib
+
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    good = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (3).to_bytes(4, "big") + (1).to_bytes(4, "big") + b"\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(bytes(4))) + chunk(b"IEND", b"")
+    assert files._whole(good) and not any(files._whole(good[:n]) for n in range(0, len(good)))
+    assert not files._whole(good[:40] + b"\x01" + good[41:])  # a checksum that doesn't hold
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + b"\0" * 10 + b"\xff\xc0\x00\x11\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\0" * 12
+    assert files._whole(jpeg + b"\xff\xd9") and not files._whole(jpeg)
+    assert files._whole(b"GIF89a\x05\0\x06\0;") and not files._whole(b"GIF89a\x05\0\x06\0") and not files._whole(None)
+
+
+def test_shard_urls():
+    from pyarrow.fs import LocalFileSystem
+
+    assert all(shards.file_system(u)[1] == "/a/b" and isinstance(shards.file_system(u)[0], LocalFileSystem) for u in ("/a/b", "file:/a/b", "file:///a/b"))
+
+
+def test_collated_rows_keep_their_slots(pool):
+    rows = M.collated(M.batches(pool, "kind", 4, "s", "id"), "kind", ["id", "kind"]).collect()
+    assert all(len(r.id) == 4 and set(r[-1]) <= {"a", "b"} for r in rows) and len(rows) == 250
