@@ -63,8 +63,10 @@ class Model:
 
     @classmethod
     def fit(cls, rows: np.ndarray, labels: np.ndarray) -> Model:
+        """Fits on float32 rows, which are centred in place."""
         mean = rows.mean(axis=0) if len(rows) else np.zeros(TRIGRAMS + SHAPES + SCALARS, dtype=np.float32)
-        centred = rows - mean
+        centred = rows
+        centred -= mean
         # a randomised range finder: a few power steps on a narrow block, so the fit stays small in memory
         block = np.random.default_rng(0).standard_normal((centred.shape[1], DIMENSIONS + 16)).astype(np.float32)
         for _ in range(4):
@@ -127,10 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = source.mapInArrow(run, f"__id {source.schema[0].dataType.simpleString()}, __label int, __vector binary")
     # repeated ids keep one row, so at most MAX_LABELLED rows come
     made = made.groupBy("__id").agg(F.max(F.struct("__label", "__vector")).alias("v")).select("__id", "v.*")
-    found = sorted(((key, (label, bytes(vector))) for key, label, vector in made.collect()), key=lambda x: repr(x[0]))
-    width = TRIGRAMS + SHAPES + SCALARS
-    matrix = np.frombuffer(b"".join(v for _, (_, v) in found), dtype=np.float16).reshape(-1, width).astype(np.float32)
-    return Model.fit(matrix, np.array([label for _, (label, _) in found]))
+    found = made.collect()
+    found.sort(key=lambda r: repr(r[0]))
+    labels_, matrix = np.array([r[1] for r in found]), np.empty((len(found), TRIGRAMS + SHAPES + SCALARS), dtype=np.float32)
+    for i, (_, _, vector) in enumerate(found):
+        matrix[i] = np.frombuffer(vector, dtype=np.float16)
+    del found
+    return Model.fit(matrix, labels_)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -13,6 +13,11 @@ import numpy as np
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]")
 
 
+#: Characters that are encoded at a time, and places where a text can be cut: in front of a space between two letters a new piece begins.
+PART = 1 << 20
+_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -46,6 +51,15 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text; a very long one is encoded in parts, which gives the same ids."""
+        parts, at = [], 0
+        while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+            parts.append(self._ids(text[at : cut.end()]))
+            at = cut.end()
+        parts.append(self._ids(text[at:] if at else text))
+        return np.concatenate(parts) if at else parts[0]
+
+    def _ids(self, text: str) -> np.ndarray:
         if self.fast is not None and "<|" not in text and not _OTHER.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")

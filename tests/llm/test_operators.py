@@ -763,6 +763,16 @@ def test_quality_voters_keep_the_labels_shares(spark, monkeypatch):
     assert len(voters) == 200 and 0.05 < 1 - voters.mean() < 0.16
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    rng = random.Random(9)
+    bits = ["the", "cat's", " ", "  ", "\n", "é", "中文", "<|endoftext|>", "12 34", "x" * 30, "...", "A b c", "don't go", "\t"]
+    encoder = tokens.encoder(tokens.default_path())
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    whole = [encoder.ids(t).tolist() for t in texts]
+    monkeypatch.setattr(tokens, "PART", 50)
+    assert [encoder.ids(t).tolist() for t in texts] == whole
+
+
 def test_equal_texts_score_alike_in_any_block():
     rng = np.random.default_rng(2)
     width = quality.TRIGRAMS + quality.SHAPES + quality.SCALARS
