@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 
 import pandas as pd
@@ -136,6 +137,20 @@ def split_prompt(texts: pd.Series) -> pd.Series:
     return texts.map(pieces)
 
 
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Lower-case hex of the keyed hash (RFC 2104) of a text, by built-in functions."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytearray(b ^ pad for b in key) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def signed_request(key: bytes, params: Column) -> Column:
+    """struct(query, signature) of a map of parameters: `name=value` joined by & in the order of names, and their keyed hash."""
+    pairs = F.transform(F.array_sort(F.map_entries(params)), lambda x: F.concat(x["key"], F.lit("="), F.url_encode(x["value"])))
+    query = F.array_join(pairs, "&")
+    return F.struct(query.alias("query"), hmac_sha256(key, query).alias("signature"))
+
+
 def data_url(payload: Column, kind: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(payload), F.lit("\r\n"), F.lit("")))  # Spark breaks long lines
 

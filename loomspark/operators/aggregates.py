@@ -98,6 +98,12 @@ def dispersive_loss(df: DataFrame, vector: str, task: str, key: str, batch: str,
     return rows.groupBy("b").applyInPandas(loss, "batch long, loss double, n long")
 
 
+def accumulated_loss(losses: DataFrame, step: str, process: str, loss: str, accumulate: int) -> DataFrame:
+    """(update, loss): the mean over processes at each step (from 0), then the mean over the steps of one update."""
+    means = losses.groupBy(step).agg(F.avg(loss).alias("__mean"))
+    return means.groupBy(F.floor(F.col(step) / accumulate).alias("update")).agg((F.sum("__mean") / accumulate).alias("loss"))
+
+
 def expert_load(df: DataFrame, expert: str, prob: str) -> DataFrame:
     """Share of tokens and mean gate probability of each expert, with the offset of its tokens in expert order."""
     counts = df.groupBy(expert).agg(F.count("*").alias("tokens"), F.avg(prob).alias("mean_prob"))

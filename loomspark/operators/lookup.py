@@ -46,6 +46,19 @@ def paired_by_stem(files: DataFrame, name: str, left: str = "_in", right: str =
     return side(left, "left_name").join(side(right, "right_name"), "stem")
 
 
+def next_in_ring(keys: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, next): each key's successor in order, the first after the last; for lists of key files."""
+    w = Window.partitionBy(F.lit(0)).orderBy(order)  # a short list
+    return keys.select(key, F.coalesce(F.lead(key).over(w), F.first(key).over(w)).alias("next"))
+
+
+def layer_matches(names: DataFrame, name: str, layers: DataFrame, layer: str) -> DataFrame:
+    """Parameters joined with the wanted layers by the first number between dots in their names."""
+    number = F.regexp_extract(F.col(name), r"\.(\d+)\.", 1).try_cast("int")
+    wanted = layers.select(F.col(layer).alias("__layer")).distinct()
+    return names.join(wanted, number == F.col("__layer")).withColumnRenamed("__layer", "layer")
+
+
 def zip_shortest(a: Column, b: Column) -> Column:
     """Positional pairs, as many as the shorter array has."""
     n = F.least(F.size(a), F.size(b))

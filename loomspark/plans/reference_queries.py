@@ -963,3 +963,44 @@ def session_events(spark, d):
     from loomspark.streaming.scores import sessions
 
     return sessions(table(spark, d, "events")).select("user_id", "start", "n")
+
+
+# ---------------------------------------------------------------- requests, keys, losses
+
+_KEY_BYTES = b"not a secret"
+_PAD = lambda pad: "".join(f"\\x{b ^ pad:02X}" for b in _KEY_BYTES.ljust(64, b"\0"))
+
+
+@query(f"""SELECT p_partkey, q AS query, sha256('{_PAD(0x5C)}'::BLOB || unhex(sha256('{_PAD(0x36)}'::BLOB || encode(q)))) AS signature
+FROM (SELECT p_partkey, 'brand=' || replace(p_brand, '#', '%23') || '&size=' || p_size || '&type=' || p_type AS q FROM part) t""")
+def signed_requests(spark, d):
+    """Parameters in order of their names with a keyed hash."""
+    params = F.create_map(F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), "p_brand")
+    return table(spark, d, "part").select("p_partkey", X.signed_request(_KEY_BYTES, params).alias("x")).select("p_partkey", "x.query", "x.signature")
+
+
+@query("SELECT n_name, coalesce(lead(n_name) OVER (ORDER BY n_nationkey), (SELECT n_name FROM nation WHERE n_nationkey = 0)) AS next FROM nation")
+def key_ring(spark, d):
+    """The next key in the ring."""
+    return L.next_in_ring(table(spark, d, "nation"), "n_name", "n_nationkey")
+
+
+@query("SELECT p_partkey, CAST(p_size AS INT) AS layer FROM part WHERE p_size IN (3, 7, 19)")
+def layer_parameters(spark, d):
+    """Parameter names matched with the layers that are trained."""
+    names = table(spark, d, "part").select("p_partkey", F.concat(F.lit("blocks."), F.col("p_size").cast("string"), F.lit(".attn.w"), F.col("p_partkey").cast("string")).alias("name"))
+    layers = spark.createDataFrame([(3,), (7,), (19,)], "layer int")
+    return L.layer_matches(names, "name", layers, "layer").select("p_partkey", "layer")
+
+
+@query("""SELECT CAST(step // 4 AS BIGINT) AS update, round(sum(m) / 4, 6) AS loss FROM (SELECT o_orderkey // 8 AS step, avg(ln(o_totalprice)) AS m FROM orders GROUP BY 1) t GROUP BY 1""")
+def accumulated_loss(spark, d):
+    """Mean loss over processes and accumulated steps."""
+    o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("step"), (F.col("o_orderkey") % 8).alias("process"), F.log("o_totalprice").alias("loss"))
+    return A.accumulated_loss(o, "step", "process", "loss", 4).select("update", F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT lang, count(*) AS picked FROM documents WHERE n_chars > 500 GROUP BY lang")
+def selected_counts(spark, d):
+    """How many rows a selection keeps."""
+    return table(spark, d, "documents").where("n_chars > 500").groupBy("lang").agg(F.count("*").alias("picked"))
