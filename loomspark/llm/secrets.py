@@ -15,8 +15,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # maximal runs, so the bound equals dropping the
 HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGNED = 6
 
-#: Candidate strings for the entropy windows, the window's length, and least bits per character of each class.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidate strings for the entropy windows (a name before = is none of them), the window's length, and least bits per character of each class.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "mixed": 3.9}
 #: Candidates that are known to be no secrets: placeholders, alphabets, identifiers with dashes, one repeated unit, lower-case paths.

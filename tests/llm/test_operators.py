@@ -763,6 +763,13 @@ def test_quality_voters_keep_the_labels_shares(spark, monkeypatch):
     assert len(voters) == 200 and 0.05 < 1 - voters.mean() < 0.16
 
 
+def test_names_before_a_value_do_not_excuse_it(spark):
+    value = "q7Rz0Xk2Lw9Vb4Tn8Yd1Hs6"
+    rows = spark.createDataFrame([(1, f"your-api-key={value} ok"), (2, f"{value}=="), (3, "example-" + value)], DOCS)
+    got = {r.doc_id: [(x.s, x.e) for x in r.secret_spans if x.kind == "entropy"] for r in secrets.find_secrets(rows).collect()}
+    assert got[1] and got[1][0][0] >= 13 and got[2] and not got[3]
+
+
 def test_long_texts_are_encoded_in_parts(monkeypatch):
     rng = random.Random(9)
     bits = ["the", "cat's", " ", "  ", "\n", "é", "中文", "<|endoftext|>", "12 34", "x" * 30, "...", "A b c", "don't go", "\t"]
