@@ -55,21 +55,32 @@ def running_mean(value: str, n: str) -> Column:
 def running_ema(order: list[str], value: str, keep: float = 0.99) -> Column:
     """The last exponential average, seeded with the first value.
 
-    A fold over one group's values in order; groups should be series of moderate length (see `ema_by_rank`).
+    A fold over one group's values in order; groups should be series of moderate length (see `ema`).
     """
     seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))), lambda x: x["__v"])
     return F.aggregate(F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))), F.get(seq, F.lit(0)), lambda a, x: a * keep + x * (1 - keep))
 
 
-def ema_by_rank(df: DataFrame, group: list[str], rank: str, value: str, keep: float = 0.99) -> DataFrame:
-    """The same average for series of any length: with r ranks after a value its weight is (1-keep)*keep**r, and keep**r for the first.
+def ema(df: DataFrame, group: str, order: list[str], value: str, keep: float = 0.99) -> DataFrame:
+    """The same average for series of any length: (group, ema).
 
-    Ranks must follow one another within a group but may begin anywhere, as those of all rows sorted by group first do.
+    With r rows after a value its weight is (1-keep)*keep**r, and keep**r for the first. A series is cut into ranges of
+    its order, each summed on its own; a sum then counts by the rows in the ranges after it.
     """
-    ends = df.groupBy(*group).agg(F.min(rank).alias("__first"), F.max(rank).alias("__last"))
-    weighed = df.join(ends, group)
-    weight = F.when(F.col(rank) == F.col("__first"), 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), F.col("__last") - F.col(rank))
-    return weighed.groupBy(*group).agg(F.sum(F.col(value) * weight).alias("ema"))
+    from loomspark.operators.sampling import with_range
+
+    rows = with_range(df.select(group, *order, F.col(value).cast("double").alias("__v")), [group, *order], "__range")
+    w = Window.partitionBy(group, "__range").orderBy(*order)
+    rows = rows.select(group, "__range", "__v", F.row_number().over(w).alias("__k"), F.count("*").over(Window.partitionBy(group, "__range")).alias("__n"))
+    power = lambda c: F.pow(F.lit(keep), c)
+    parts = rows.groupBy(group, "__range").agg(
+        F.max("__n").alias("__n"), F.sum(F.col("__v") * (1 - keep) * power(F.col("__n") - F.col("__k"))).alias("__s"), F.max(F.when(F.col("__k") == 1, F.col("__v"))).alias("__first")
+    )
+    later = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))  # one row a range
+    head = F.row_number().over(Window.partitionBy(group).orderBy("__range")) == 1
+    parts = parts.select(group, "__n", "__s", "__first", later.alias("__later"), head.alias("__head"))
+    seed = F.when(F.col("__head"), keep * power(F.col("__n") - 1) * F.col("__first")).otherwise(0.0)
+    return parts.groupBy(group).agg(F.sum((F.col("__s") + seed) * power(F.col("__later"))).alias("ema"))
 
 
 def dispersive_loss(df: DataFrame, vector: str, task: str, key: str, batch: str, temperature: float = 0.5, eps: float = 1e-8, most: int = 8192) -> DataFrame:

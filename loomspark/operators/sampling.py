@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows from which the borders of ranges are taken.
-SAMPLE = 2048
+#: Rows that are drawn for each range of a global order, to find its border.
+DRAWN = 16
 
 
 def draw(seed: str, key: Column, salt: str = "") -> Column:
@@ -90,24 +92,34 @@ def contiguous_split(df: DataFrame, n: int, order: list[str], out: str = "part")
     return ranked.crossJoin(F.broadcast(total)).withColumn(out, part.cast("int")).drop("__rank", "__total")  # total is one row
 
 
-def with_rank(df: DataFrame, order: list[str], out: str, ranges: int = 64) -> DataFrame:
+def with_range(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Deals rows to ranges of the order columns, whatever their types (nulls first): `out` grows with the order.
+
+    There are about two ranges for each shuffle partition. Their borders are quantiles of the DRAWN rows a range that
+    have the least hash: they decide how even the ranges are, nothing else. Rows that agree in all order columns share
+    a range.
+    """
+    side = min(64, max(4, math.isqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    ranges = side * side
+    key = F.struct(*order)
+    drawn = df.select(key.alias("__key"), F.xxhash64(*order).alias("__hash")).orderBy("__hash").limit(DRAWN * ranges)
+    drawn = drawn.agg(F.sort_array(F.collect_list("__key")).alias("__all"))  # at most DRAWN rows a range
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("__all", F.floor(F.size("__all") * i / ranges).cast("int")))
+    borders = drawn.select(at.alias("__b"), F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.get(at, i * side - 1)).alias("__wide"))
+    # first among every side-th border, then among those that follow it
+    wide = F.size(F.filter("__wide", lambda x: x < key))
+    number = wide * side + F.size(F.filter(F.slice("__b", wide * side + 1, side - 1), lambda x: x < key))
+    return df.crossJoin(F.broadcast(borders)).withColumn(out, number).drop("__b", "__wide")  # borders are one row
+
+
+def with_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """A global row number (long, from 1) in the given order (nulls first), without putting all rows in one task.
 
-    Rows are dealt to ranges of the order columns, whatever their types; ranges are counted (one row each), and rows
-    are numbered within theirs. The borders are quantiles of SAMPLE rows, those of least hash: they decide how even
-    the ranges are, not the numbers. Rows that agree in all order columns share a range.
+    Rows are dealt to ranges (`with_range`), ranges are counted (one row each), and rows are numbered within theirs.
     """
-    drawn = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).orderBy(*order).collect()  # at most SAMPLE rows
-    at = sorted({len(drawn) * i // ranges for i in range(1, ranges)} & set(range(len(drawn)))) if len(drawn) > ranges else []
-    fixed = [[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, drawn[i])] for i in at]
-    number = F.lit(0)
-    for border in fixed:
-        over = F.col(order[0]) > border[0] if len(order) == 1 else F.struct(*order) > F.struct(*border)
-        number = number + F.coalesce(over, F.lit(False)).cast("int")
-    dealt = df.withColumn("__range", number)
-    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `ranges` rows
-    counts = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
+    dealt = with_range(df, order, "__range")
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select(F.col("__range").alias("__r"), before.alias("__before"))
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     joined = dealt.withColumn("__local", local).join(F.broadcast(counts), F.col("__range") == F.col("__r"))
     return joined.withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__range", "__local", "__r", "__before")

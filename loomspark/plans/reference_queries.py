@@ -752,9 +752,8 @@ def running_mean(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(sum(CASE WHEN k = 1 THEN 1.0 ELSE 0.01 END * pow(0.99, n - k) * value), 6) AS ema FROM r GROUP BY event_type""")
 def ema(spark, d):
-    """Exponential average in order of time; ranks are those of all events sorted by kind."""
-    e = S.with_rank(table(spark, d, "events").select("event_type", "ts", "event_id", "value"), ["event_type", "ts", "event_id"], "k")
-    return A.ema_by_rank(e, ["event_type"], "k", "value").select("event_type", F.round("ema", 6).alias("ema"))
+    """Exponential average in order of time."""
+    return A.ema(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", F.round("ema", 6).alias("ema"))
 
 
 @query("""SELECT n AS id, round(CASE WHEN i = 10 THEN 0 ELSE exp(mu) / (exp(mu) + (1 / (1 - i / 10.0) - 1)) END, 6) AS t, CAST(i AS INT) AS step FROM (

@@ -154,7 +154,7 @@ def test_average_precision(spark):
     rows = spark.createDataFrame([(0, 0.9, 1, 1), (0, 0.8, 0, 2), (0, 0.7, 1, 3), (0, 0.6, 1, 4)], "g int, s double, y int, k int")
     assert A.average_precision(rows, ["g"], "s", "y", "k").first().ap == pytest.approx(0.80555555287, abs=1e-9)
     e = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 3.0)], "g int, k int, v double")
-    assert A.ema_by_rank(e, ["g"], "k", "v").first().ema == pytest.approx(1.0299)
+    assert A.ema(e, "g", ["k"], "v").first().ema == pytest.approx(1.0299)
     assert e.groupBy("g").agg(A.running_ema(["k"], "v").alias("ema")).first().ema == pytest.approx(1.0299)
 
 
@@ -260,8 +260,7 @@ def test_balanced_stream(spark, tmp_path):
 
 
 @pytest.mark.parametrize("kind", ["string", "timestamp", "date", "decimal(12,2)", "double"])
-def test_ranks_of_any_type(spark, monkeypatch, kind):
-    monkeypatch.setattr(S, "SAMPLE", 200)
+def test_ranks_of_any_type(spark, kind):
     base = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("id"))
     value = {"string": F.format_string("k%05d", "id"), "timestamp": F.timestamp_seconds(F.col("id") * 977), "date": F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int"))}.get(kind, F.col("id").cast(kind) / 3)
     rows = base.withColumn("v", F.when(F.col("id") >= 5, value)).withColumn("group", F.col("id") % 3)
