@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import chat, decontaminate, exact_dedup, host_rules, html_extract, lines, packing, quality, secrets, simhash, substrings
+from loomspark.llm import chat, decontaminate, exact_dedup, hard_negatives, host_rules, html_extract, lines, packing, quality, resampling, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_index": decontaminate.op8_positional_index,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_chunked_resampling": resampling.op12_chunked_resampling,
         "op13_host_rules": host_rules.op13_host_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL, "op13_host_rules": host_rules.ORACLE_SQL}
+    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_chunked_resampling": resampling.ORACLE_SQL, "op13_host_rules": host_rules.ORACLE_SQL}
