@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into words at a time; bounds its memory whatever the batch.
@@ -115,6 +115,13 @@ def with_row_key(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select("*", F.xxhash64(name, "__text").alias("__k1"), F.xxhash64("__text", name, F.lit(1)).alias("__k2"))
 
 
+def with_text_key(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds the key (__k1, __k2) of a text in bytes: the first 128 bits of its SHA-256, so that texts of one key are the same text."""
+    half = lambda at: F.conv(F.substring("__digest", at, 16), 16, -10).cast("long")
+    keyed = rows.withColumn("__digest", F.sha2(text, 256))
+    return keyed.select(*[F.col(f"`{c}`") for c in rows.columns], half(1).alias("__k1"), half(17).alias("__k2"))
+
+
 def text_as_bytes(docs: DataFrame, text_col: str) -> DataFrame:
     """Puts __text (binary, null as empty) and __null in place of the text, so that a shuffle carries it once."""
     text = F.col(f"`{text_col}`")

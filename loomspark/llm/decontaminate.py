@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Words, chunks, dealt_anew, pack_columns, read_words, release_memory, small_batches, written
+from loomspark.llm.common import Words, chunks, dealt_anew, pack_columns, read_words, release_memory, small_batches, with_text_key, written
 
 WINDOW = 10
 #: Positions by which a term may stray in a proximity match, and the rarest terms of a window that must be met.
@@ -366,7 +366,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         raise ValueError(f"windows must be shorter than {GAP} words with their slop")
     docs, unpack = pack_columns(small_batches(docs), text_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    source = docs.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2"))
+    source = with_text_key(docs, text)
     index = build_index(source.select(text.alias("__text"), *KEY))
     found = dealt_anew(search(index, benchmark, window, slop, item_col, item_text_col), {"__k1": "__j1", "__k2": "__j2"})
     joined = source.join(found, (source["__k1"] == found["__j1"]) & (source["__k2"] == found["__j2"]), "left")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, spans, text_as_bytes, text_back, written
+from loomspark.llm.common import BASE, chunks, dealt_anew, mix, pack_columns, read_words, release_memory, spans, text_as_bytes, text_back, with_text_key, written
 
 WINDOW = 35
 #: Bytes of text that a task parses at a time; small enough for its arrays to stay in the processor's cache.
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the input. Null and shorter texts lose nothing. A repeated row is another place, so a text of WINDOW words
     or more that comes twice loses all its words. An empty table gives no rows; other columns pass through.
 
-    Texts are known by a 128-bit key, so that copies are read once and cost no more than their rows. Anchors go
+    Texts are known by 128 bits of their SHA-256, so that copies are read once and cost no more than their rows. Anchors go
     through Spark first: only those that come twice can belong to a repeat. Windows under them are then compared
     by their hashes, in tasks that hold one anchor's rows at a time (at most HOT); the windows of more frequent
     anchors are folded by a distributed aggregation instead. In the end each repeated stretch is compared with
@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs, unpack = pack_columns(docs, text_col)
     source = text_as_bytes(docs, text_col)
     names = source.columns
-    source = source.select("*", F.xxhash64("__text").alias("__k1"), F.xxhash64("__text", F.lit(1)).alias("__k2"))
+    source = with_text_key(source, F.col("__text"))
     long_key = "__k1 long, __k2 long"
 
     def of_texts(lists: DataFrame, how: str = "inner") -> DataFrame:

@@ -40,7 +40,7 @@ def test_run_and_queries(spark, sf, pipeline):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
     assert pipeline.run(spark, sf).count() > 0
 
 
