@@ -116,8 +116,11 @@ def with_row_key(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def with_text_key(rows: DataFrame, text: Column) -> DataFrame:
-    """Adds the key (__k1, __k2) of a text in bytes: the first 128 bits of its SHA-256, so that texts of one key are the same text."""
-    half = lambda at: F.conv(F.substring("__digest", at, 16), 16, -10).cast("long")
+    """Adds the key (__k1, __k2) of a text in bytes: the first 128 bits of its SHA-256, so that texts of one key are the same text.
+
+    Both halves are columns without nulls, so that inner and outer joins on them read the same shuffle.
+    """
+    half = lambda at: F.coalesce(F.conv(F.substring("__digest", at, 16), 16, -10).cast("long"), F.lit(0).cast("long"))
     keyed = rows.withColumn("__digest", F.sha2(text, 256))
     return keyed.select(*[F.col(f"`{c}`") for c in rows.columns], half(1).alias("__k1"), half(17).alias("__k2"))
 
