@@ -100,3 +100,16 @@ def token_ids(c: Column, path: str) -> Column:
         return texts.map(lambda t: None if t is None else own.encode(t))
 
     return encode(c)
+
+
+def text_of(ids: Column, path: str) -> Column:
+    """The bytes that an array of ids stands for; null stays null."""
+
+    @F.pandas_udf(T.BinaryType())
+    def decode(rows: pd.Series) -> pd.Series:
+        own = vocabulary(path)
+        symbols = {i: s for s, i in own.ids.items()}
+        bytes_ = {letter: b for b, letter in own.letters.items()}
+        return rows.map(lambda ids: None if ids is None else bytes(bytes_[c] for i in ids for c in symbols[i]))
+
+    return decode(ids)

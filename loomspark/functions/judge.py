@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.operators.sampling import draw_int
+
 DELIMITER = "||V^=^V||"
 RATE_LIMITED = "rate_limit_exceeded"
 
@@ -90,6 +92,18 @@ def parse_answer(c: Column) -> Column:
     return F.when(c == RATE_LIMITED, F.lit(None).cast(_ANSWER)).when(block.isNotNull(), from_block).otherwise(F.coalesce(pair, number))
 
 
+def parse_two(first: Column, second: Column, seed: str, key: Column) -> Column:
+    """struct(score, reasoning, guessed): the first answer if it can be read, else the second one, asked again; if that
+    can't be read either, a whole number from 0 to 10 that seed and key decide, with `guessed` set. A rate limit in
+    either answer gives nulls, for then nothing was judged.
+    """
+    one, two = parse_answer(first), parse_answer(second)
+    read = lambda x: F.struct(x["score"].alias("score"), x["reasoning"].alias("reasoning"), F.lit(False).alias("guessed"))
+    guess = F.struct(F.array(draw_int(seed, key, F.lit(11)).cast("double")).alias("score"), F.concat(F.lit("guessed | "), second).alias("reasoning"), F.lit(True).alias("guessed"))
+    limited = F.coalesce(first == RATE_LIMITED, F.lit(False)) | F.coalesce(second == RATE_LIMITED, F.lit(False))
+    return F.when(~limited, F.when(one["score"].isNotNull(), read(one)).when(two["score"].isNotNull(), read(two)).otherwise(guess))
+
+
 def _split_top(body: str, mark: str) -> list[str]:
     """Parts between marks that stand outside quotes and brackets."""
     out, depth, quoted, begin = [], 0, False, 0

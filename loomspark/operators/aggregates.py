@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.sampling import running_sums, with_range, with_rank
+
 
 def score_means(scores: DataFrame, group: str, score: str = "score", digits: int | None = 3) -> DataFrame:
     """Column means of score arrays by group and in total (group null), one pass: group, pos, mean, n.
@@ -36,12 +38,14 @@ def overall(sc: Column, pq: Column) -> Column:
 
 
 def average_precision(df: DataFrame, group: list[str], score: str, target: str, key: str, eps: float = 1e-8) -> DataFrame:
-    """AP of each group: precisions at the positives in falling score (ties by key), over their number plus eps."""
-    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(key))
-    hits = F.sum(F.col(target).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(w)
-    precision = df.select(*group, target, (hits / rank).alias("__p"))
-    return precision.groupBy(*group).agg((F.sum(F.when(F.col(target) == 1, F.col("__p")).otherwise(0.0)) / (F.sum(F.col(target).cast("double")) + eps)).alias("ap"))
+    """AP of each group: precisions at the positives in falling score (null last, ties by key), over their number plus eps.
+
+    Positives and ranks are running sums over ranges of the order, so a group of any size is dealt to many tasks.
+    """
+    rows = df.select(*group, F.col(score).isNull().alias("__none"), (-F.col(score)).alias("__down"), F.col(key).alias("__key"), F.col(target).alias("__y"))
+    rows = running_sums(rows, group, ["__none", "__down", "__key"], {"__hits": F.col("__y").cast("double"), "__rank": F.lit(1)})
+    positive = F.col("__y") == 1
+    return rows.groupBy(*group).agg((F.sum(F.when(positive, F.col("__hits") / F.col("__rank")).otherwise(0.0)) / (F.sum(F.col("__y").cast("double")) + eps)).alias("ap"))
 
 
 def mean_average_precision(aps: DataFrame) -> DataFrame:
@@ -67,8 +71,6 @@ def ema(df: DataFrame, group: str, order: list[str], value: str, keep: float = 0
     With r rows after a value its weight is (1-keep)*keep**r, and keep**r for the first. A series is cut into ranges of
     its order, each summed on its own; a sum then counts by the rows in the ranges after it.
     """
-    from loomspark.operators.sampling import with_range
-
     rows = with_range(df.select(group, *order, F.col(value).cast("double").alias("__v")), [group, *order], "__range")
     w = Window.partitionBy(group, "__range").orderBy(*order)
     rows = rows.select(group, "__range", "__v", F.row_number().over(w).alias("__k"), F.count("*").over(Window.partitionBy(group, "__range")).alias("__n"))
@@ -131,9 +133,9 @@ def top_experts(probs: Column, k: int) -> Column:
 
 
 def vocabulary(df: DataFrame, labels: str) -> DataFrame:
-    """Sorted distinct labels with their index from 0. The numbering is over distinct labels alone."""
+    """Sorted distinct labels with their index from 0, numbered over ranges."""
     found = df.select(F.explode(labels).alias("label")).distinct()
-    return found.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"))
+    return with_rank(found, ["label"], "__rank").select("label", (F.col("__rank") - 1).cast("int").alias("label_id"))
 
 
 def relevant(labels: Column, classes: list) -> Column:
@@ -164,8 +166,6 @@ def rolling_share(df: DataFrame, order: list[str], kind: str, last: int = 1000)
     The window slides over one ordered series; for long series rows are dealt to blocks of `last`, each with the
     block before it, so that windows stay within one group of two blocks.
     """
-    from loomspark.operators.sampling import with_rank
-
     ranked = with_rank(df, order, "__rank")
     block = F.floor((F.col("__rank") - 1) / last)
     twice = ranked.withColumn("__own", block).withColumn("__block", F.explode(F.array(block, block + 1)))

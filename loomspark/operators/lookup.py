@@ -89,9 +89,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(new)
 
 
-def newest(df: DataFrame, group: list[str], step: str, n: int) -> DataFrame:
-    """The n rows of highest step in each group."""
-    w = Window.partitionBy(*group).orderBy(F.col(step).desc())
+def newest(df: DataFrame, group: list[str], step: str, n: int, key: str) -> DataFrame:
+    """The n rows of highest step in each group, ties by key."""
+    w = Window.partitionBy(*group).orderBy(F.col(step).desc(), F.col(key))
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspark.operators.sampling import draw
+from loomspark.operators.sampling import draw, running_sums
 
 
 def check_weights(weights: dict) -> dict:
@@ -51,8 +52,7 @@ def multiplexed(batched: DataFrame, bucket: str, weights: dict, seed: str) -> Da
     rates = check_weights(weights)
     rate = F.create_map(*[x for k, w in rates.items() for x in (F.lit(k), F.lit(w))])[F.col(bucket)]
     heads = batched.select(bucket, "batch").distinct().withColumn("__wait", -F.log(draw(seed, F.concat_ws("/", F.col(bucket).cast("string"), F.col("batch")))) / rate)
-    place = F.sum("__wait").over(Window.partitionBy(bucket).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    heads = heads.withColumn("position", place).drop("__wait")
+    heads = running_sums(heads, [bucket], ["batch"], {"position": F.col("__wait")}).drop("__wait")
     return batched.join(heads, [bucket, "batch"])
 
 
@@ -79,9 +79,19 @@ def strided(df: DataFrame, rank: str, workers: int, worker: int) -> DataFrame:
     return df.where(round_robin(F.col(rank), workers) == worker)
 
 
-def demultiplexed(df: DataFrame, kind: Column, classes: int, drop_none: bool = True) -> dict[int, DataFrame]:
-    """One frame for each class; a class out of range raises when its rows are read, null goes or raises."""
-    bad = F.raise_error(F.lit("class out of range"))
-    checked = F.when(kind.isNull(), F.lit(None).cast("int") if drop_none else F.raise_error(F.lit("class is null")).cast("int")).when((kind < 0) | (kind >= classes), bad.cast("int")).otherwise(kind.cast("int"))
-    marked = df.withColumn("__class", checked)
-    return {i: marked.where(F.col("__class") == i).drop("__class") for i in range(classes)}
+def classed(df: DataFrame, kind: Column, classes: int, drop_none: bool = True) -> DataFrame:
+    """Adds `child`, the class of each row; a class out of range raises, null goes or raises."""
+    bad = F.raise_error(F.concat(F.lit("class "), kind.cast("string"), F.lit(" out of range"))).cast("int")
+    none = F.lit(None).cast("int") if drop_none else F.raise_error(F.lit("class is null")).cast("int")
+    marked = df.withColumn("child", F.when(kind.isNull(), none).when((kind < 0) | (kind >= classes), bad).otherwise(kind.cast("int")))
+    return marked.where("child IS NOT NULL")
+
+
+def demultiplexed(df: DataFrame, kind: Column, classes: int, path: str, drop_none: bool = True) -> dict[int, DataFrame]:
+    """One frame for each class. The input is read once, into a folder a class; a frame opens its own folder alone.
+
+    For children that ask in turn, with bounded buffers, see operators.demux.
+    """
+    classed(df, kind, classes, drop_none).write.partitionBy("child").parquet(path)
+    written = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("child", T.IntegerType())])).parquet(path)
+    return {i: written.where(F.col("child") == i).drop("child") for i in range(classes)}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +59,18 @@ def draws_without_replacement(seed: str, key: Column, values: Column, n: int) ->
 
 def weighted_sample(df: DataFrame, seed: str, key: str, weight: Column, n: int) -> DataFrame:
     """n rows without replacement, drawn in proportion to weight: the n smallest -ln(u)/w. Rows of no weight never come."""
-    return df.where(weight > 0).withColumn("__order", -F.log(draw(seed, F.col(key))) / weight).orderBy("__order", key).limit(n).drop("__order")
+    return smallest(df.where(weight > 0).withColumn("__order", -F.log(draw(seed, F.col(key))) / weight), ["__order", key], n).drop("__order")
+
+
+def smallest(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in the given order (nulls first), however large n is.
+
+    Rows are dealt to ranges and the ranges counted; those that lie behind the n-th row go before anything is sorted.
+    """
+    dealt, counts = _counted(df, order)
+    within = dealt.join(F.broadcast(counts.where(F.col("__before") < n)), F.col("__range") == F.col("__r"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return within.withColumn("__local", local).where(F.col("__before") + F.col("__local") <= n).drop("__range", "__local", "__r", "__before")
 
 
 def inverse_frequency(df: DataFrame, kind: str) -> DataFrame:
@@ -112,19 +126,77 @@ def with_range(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(borders)).withColumn(out, number).drop("__b", "__wide")  # borders are one row
 
 
+def _counted(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their range, and for each range (__r) the rows before it."""
+    dealt = with_range(df, order, "__range")
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    return dealt, dealt.groupBy("__range").agg(F.count("*").alias("__n")).select(F.col("__range").alias("__r"), before.alias("__before"))
+
+
 def with_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """A global row number (long, from 1) in the given order (nulls first), without putting all rows in one task.
 
     Rows are dealt to ranges (`with_range`), ranges are counted (one row each), and rows are numbered within theirs.
     """
-    dealt = with_range(df, order, "__range")
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select(F.col("__range").alias("__r"), before.alias("__before"))
+    dealt, counts = _counted(df, order)
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     joined = dealt.withColumn("__local", local).join(F.broadcast(counts), F.col("__range") == F.col("__r"))
     return joined.withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__range", "__local", "__r", "__before")
 
 
+def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds, under the given names, sums over the rows of a group up to each row (nulls first), however large a group is.
+
+    Rows are dealt to ranges by group and order; a range's sums for each group in it (one row for both) are added up
+    over the group's ranges, and rows within their own. Of groups, one goes over each border at most.
+    """
+    packed = df.withColumns({f"__s_{name}": value for name, value in sums.items()})
+    dealt = with_range(packed, [*group, *order], "__range")
+    ahead = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("__range", *group).agg(*[F.sum(f"__s_{name}").alias(f"__p_{name}") for name in sums])
+    parts = parts.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[F.sum(f"__p_{name}").over(ahead).alias(f"__b_{name}") for name in sums])
+    own = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({f"__l_{name}": F.sum(f"__s_{name}").over(own) for name in sums})
+    same = F.col("__range") == F.col("__r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    joined = local.join(parts, same)
+    # nothing but nulls so far is null, as in SQL
+    total = lambda name: F.when(F.col(f"__b_{name}").isNull(), F.col(f"__l_{name}")).otherwise(F.col(f"__b_{name}") + F.coalesce(F.col(f"__l_{name}"), F.lit(0)))
+    return joined.select(*df.columns, *[total(name).alias(name) for name in sums])
+
+
+def shuffle_buffer(df: DataFrame, seed: str, size: int = 1000) -> DataFrame:
+    """Shuffles rows within their partitions as they pass, without moving any to another task.
+
+    Stretches of `size` rows are mixed, and then once more stretches that lie across two of those, so a row moves by
+    less than 2 * `size` places. The order depends on the seed, the partition and the rows' places in it.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([*f"{seed}/{TaskContext.get().partitionId()}".encode()])
+
+        def mixed(tables: Iterator[pa.Table], first: int) -> Iterator[pa.Table]:
+            held, want = None, first
+            for table in tables:
+                held = table if held is None else pa.concat_tables([held, table])
+                while held.num_rows >= want:
+                    yield held.slice(0, want).take(pa.array(rng.permutation(want)))
+                    held, want = held.slice(want), size
+            if held is not None and held.num_rows:
+                yield held.take(pa.array(rng.permutation(held.num_rows)))
+
+        whole = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
+        for table in mixed(mixed(whole, size), max(1, size // 2)):
+            yield from table.combine_chunks().to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sequence_keys(df: DataFrame, order: list[str], out: str = "key", width: int = 9) -> DataFrame:
     """Zero-padded running keys from 0."""
     return with_rank(df, order, "__rank").withColumn(out, F.lpad((F.col("__rank") - 1).cast("string"), width, "0")).drop("__rank")

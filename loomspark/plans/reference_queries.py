@@ -14,13 +14,15 @@ from loomspark.functions import judge as J
 from loomspark.functions import text as X
 from loomspark.functions import vector as V
 from loomspark.operators import aggregates as A
+from loomspark.operators import balance as BA
+from loomspark.operators import demux as DX
 from loomspark.operators import lookup as L
 from loomspark.operators import mixing as M
 from loomspark.operators import rules as R
 from loomspark.operators import sampling as S
 from loomspark.operators import scorers as C
 from loomspark.plans.catalog import query
-from loomspark.session import table
+from loomspark.session import scratch, table
 from loomspark.sources import files as FS
 
 
@@ -353,10 +355,10 @@ def array_split(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def demux_counts(spark, d):
-    """Rows dealt to their classes (M2)."""
+    """Rows dealt to their classes, each class read on its own, the table once (M2)."""
     kinds = ["click", "error", "purchase", "signup", "view"]
     kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
-    pipes = M.demultiplexed(table(spark, d, "events"), kind, len(kinds))
+    pipes = M.demultiplexed(table(spark, d, "events"), kind, len(kinds), scratch(spark))
     out = None
     for i, pipe in pipes.items():
         part = pipe.select(F.lit(kinds[i]).alias("event_type"))
@@ -364,6 +366,55 @@ def demux_counts(spark, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+_POP = "list_transform({0}, lambda y, q: CASE WHEN q = {1} THEN y[2:] ELSE y END)"
+
+
+@query(f"""WITH RECURSIVE items AS (
+    SELECT doc_id % 8 AS g, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS p, doc_id, list_position(['de', 'en', 'es', 'fr'], lang) AS k FROM documents WHERE lang IS NOT NULL
+), steps AS (
+    SELECT DISTINCT g, CAST(0 AS BIGINT) AS p, CAST(1 AS BIGINT) AS c, [[], [], [], []]::BIGINT[][] AS b, CAST(0 AS BIGINT) AS place, NULL::BIGINT AS doc_id, NULL::BIGINT AS child, false AS handed_over FROM items
+    UNION ALL
+    SELECT g, CASE WHEN own OR item IS NULL THEN p ELSE p + 1 END, CASE WHEN own OR item IS NULL OR k = c OR full_ THEN c % 4 + 1 ELSE c END,
+        CASE WHEN own THEN {_POP.format("b", "c")} WHEN item IS NULL OR k = c THEN b WHEN full_ THEN {_POP.format("b2", "biggest")} ELSE b2 END,
+        CASE WHEN own OR (item IS NOT NULL AND (k = c OR full_)) THEN place + 1 ELSE place END,
+        CASE WHEN own THEN b[c][1] WHEN item IS NULL THEN NULL WHEN k = c THEN item WHEN full_ THEN b2[biggest][1] END,
+        CASE WHEN own OR (item IS NOT NULL AND (k = c OR full_)) THEN c - 1 END, NOT own AND item IS NOT NULL AND k <> c AND full_ AND biggest <> c
+    FROM (SELECT *, len(flatten(b2)) > 8 AS full_, list_position(list_transform(b2, lambda x: len(x)), list_max(list_transform(b2, lambda x: len(x)))) AS biggest
+        FROM (SELECT s.g, s.p, s.c, s.b, s.place, len(s.b[s.c]) > 0 AS own, i.doc_id AS item, i.k,
+                list_transform(s.b, lambda x, j: CASE WHEN j = i.k THEN list_append(x, i.doc_id) ELSE x END) AS b2
+            FROM steps s LEFT JOIN items i ON i.g = s.g AND i.p = s.p + 1 WHERE i.doc_id IS NOT NULL OR len(flatten(s.b)) > 0) x) y
+)
+SELECT doc_id, CAST(child AS INT) AS child, place - 1 AS place, handed_over FROM steps WHERE doc_id IS NOT NULL""")
+def demux_replay(spark, d):
+    """Children that ask in turn, what others will ask for parked in bounded buffers, the largest handed over when they are full (M2)."""
+    docs = table(spark, d, "documents").select("doc_id", "lang").where("lang IS NOT NULL")
+    kind = F.array_position(F.array(*map(F.lit, ["de", "en", "es", "fr"])), F.col("lang")) - 1
+    found = DX.demultiplexed(docs, F.col("doc_id") % 8, ["doc_id"], kind, 4, per_class=2)
+    return found.select("doc_id", "child", "place", "handed_over")
+
+
+# Kinds of instructions that the next query chooses from.
+_KINDS = ["add", "remove", "replace", "style", "text", "background"]
+
+
+@query(f"""WITH RECURSIVE items AS (SELECT doc_id % 8 AS g, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS p, doc_id FROM documents),
+steps AS (
+    SELECT DISTINCT g, CAST(0 AS BIGINT) AS p, NULL::BIGINT AS doc_id, []::VARCHAR[] AS ring, []::VARCHAR[] AS picked FROM items
+    UNION ALL
+    SELECT g, p, doc_id, list_concat(ring, picked)[greatest(1, len(ring) + len(picked) - 29):], picked
+    FROM (SELECT s.g, i.p, i.doc_id, s.ring,
+            list_transform(list_sort(list_transform({_KINDS}, lambda t: {{'w': -ln(({"(('0x' || substr(md5('0/' || s.g || '/' || i.doc_id || '/' || t), 1, 8))::BIGINT + 1)"}) / 4294967297.0)
+                / greatest(1 - len(list_filter(s.ring, lambda x: x = t)) / greatest(len(s.ring), 1)::DOUBLE, 1e-6), 't': t}}))[1:3], lambda x: x.t) AS picked
+        FROM steps s JOIN items i ON i.g = s.g AND i.p = s.p + 1) y
+)
+SELECT doc_id, array_to_string(picked, ',') AS chosen FROM steps WHERE doc_id IS NOT NULL""")
+def balanced_choices(spark, d):
+    """Three kinds for each row, drawn against the shares of the last thirty choices."""
+    docs = table(spark, d, "documents").select("doc_id")
+    found = BA.balanced_choices(docs, F.col("doc_id") % 8, "doc_id", _KINDS, 3, 30)
+    return found.select("doc_id", F.array_join("chosen", ",").alias("chosen"))
+
+
 # ---------------------------------------------------------------- sampling
 
 @query(f"SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln({_u('w', 'doc_id')}) / n_chars, doc_id LIMIT 20")
@@ -372,6 +423,15 @@ def weighted_sample(spark, d):
     return S.weighted_sample(table(spark, d, "documents"), "w", "doc_id", F.col("n_chars"), 20).select("doc_id")
 
 
+@query(f"""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY -ln({_u('w', "(l_orderkey || '-' || l_linenumber)")}) / l_quantity, l_orderkey || '-' || l_linenumber) AS rn, count(*) OVER () AS n FROM lineitem) t
+WHERE rn <= n // 20""")
+def weighted_sample_large(spark, d):
+    """A twentieth of a table drawn in proportion to a weight, without replacement."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    keyed = rows.withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return S.weighted_sample(keyed, "w", "k", F.col("l_quantity"), rows.count() // 20).select("l_orderkey", "l_linenumber")
+
+
 @query(f"SELECT doc_id, {_u('c', 'doc_id')} < 0.3 AS heads FROM documents")
 def bernoulli_coin(spark, d):
     """A hashed coin."""
@@ -435,7 +495,7 @@ def topk_per_group(spark, d):
 def newest_n_retention(spark, d):
     """The newest two of each group by numeric suffix."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))
-    return L.newest(o.withColumn("step", L.step_number(F.col("name"))), ["o_custkey"], "step", 2).select("o_custkey", "o_orderkey")
+    return L.newest(o.withColumn("step", L.step_number(F.col("name"))), ["o_custkey"], "step", 2, "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS l_quantity FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.06 GROUP BY l_orderkey")
@@ -490,53 +550,83 @@ def json_haskey(spark, d):
     return table(spark, d, "events").select("event_id", J.has_key(F.col("props"), "k").alias("has_k"), J.has_key(F.col("props"), "zz").alias("has_zz"))
 
 
-# Literal judge answers, one for each rule.
-ANSWERS = [
-    "Score 1: 4\nScore 2: 5\nScore 10: 3\nScore 3:2", "[8, 9] ok", "score = [ 7 ,10 ]", "[8.5, 9]", "[1,2,3]", "none", '{"score": [7, 8], "reasoning": "x"}',
-    '{"score": 7, "reasoning": "x"}', "[6, 0]", "5", "11", "free text", '||V^=^V||{"score": [3, 4], "reasoning": "d"}||V^=^V||', "a ```json\n{\"a\": 1}\n``` b", "rate_limit_exceeded",
-    "Edit score: 4 (good)\nQuality score: 3\nremark: none", "score1: 3, score2: 11", "[score1: 3, score2: 4]",
-]
-_ANSWERS_SQL = "(VALUES " + ", ".join(f"({i}, '{a.replace(chr(39), chr(39) * 2)}')" for i, a in enumerate(ANSWERS)) + ") t(id, a)"
+# Judges' answers about the turns of conversations: one form for each kind, with two scores a (0 to 12) and b (0 to 10).
+_JUDGED = "SELECT conv_id, turn, conv_id % 13 AS a, (conv_id + turn) % 11 AS b, CAST((conv_id * 3 + turn) % 12 AS INT) AS kind, md5(text) AS said FROM conversations"
+_N = "CAST({} AS STRING)".format
+_A, _B = _N("a"), _N("b")
+_PAIR = f"'[' || {_A} || ', ' || {_B} || ']'"
+_ANSWER = f"""CASE kind WHEN 0 THEN 'Score 1: ' || {_A} || chr(10) || 'Score 2: ' || {_B} || chr(10) || 'remark: none'
+WHEN 1 THEN {_PAIR} || ' ok' WHEN 2 THEN 'scores [ ' || {_A} || ' ,' || {_B} || ' ] then [9, 9]' WHEN 3 THEN '{{"score": ' || {_PAIR} || ', "reasoning": "' || said || '"}}'
+WHEN 4 THEN '{{"score": ' || {_A} || ', "reasoning": "x, y"}}' WHEN 5 THEN {_PAIR} WHEN 6 THEN {_A}
+WHEN 7 THEN said || ' ||V^=^V||{{"score": ' || {_PAIR} || ', "reasoning": "d"}}||V^=^V||' WHEN 8 THEN said || ' ```json' || chr(10) || '{{"k": ' || {_A} || '}}' || chr(10) || '``` end'
+WHEN 9 THEN 'Edit score: ' || {_A} || ' (good)' || chr(10) || 'Quality score: ' || {_B} || chr(10) || 'remark: none'
+WHEN 10 THEN '[score1: ' || {_A} || ', score2: ' || {_B} || ']' ELSE 'rate_limit_exceeded' END"""
+
+
+def _answers(spark, d):
+    """Rows (conv_id, turn, answer)."""
+    t = table(spark, d, "conversations")
+    judged = t.select("conv_id", "turn", (F.col("conv_id") % 13).alias("a"), ((F.col("conv_id") + F.col("turn")) % 11).alias("b"), ((F.col("conv_id") * 3 + F.col("turn")) % 12).cast("int").alias("kind"), F.md5("text").alias("said"))
+    return judged.select("conv_id", "turn", F.expr(_ANSWER).alias("answer"))
 
 
-def _answers(spark):
-    return spark.createDataFrame(list(enumerate(ANSWERS)), "id int, a string")
+_LISTED = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query(rf"""SELECT id, array_to_string(regexp_extract_all(a, 'Score \d: (\d+)', 1), ',') AS numbered,
-CASE WHEN regexp_matches(a, '\[\s*\d+\s*,\s*\d+\s*\]') THEN regexp_extract(a, '\[\s*(\d+)\s*,\s*(\d+)\s*\]', 1) || ',' || regexp_extract(a, '\[\s*(\d+)\s*,\s*(\d+)\s*\]', 2) END AS pair,
-CASE WHEN regexp_matches(a, '(?s)```json.*?```') THEN regexp_extract(a, '(?s)```json(.*?)```', 1) END AS fenced FROM {_ANSWERS_SQL}""")
+@query(f"""SELECT conv_id, turn, CASE WHEN kind = 0 THEN {_A} || ',' || {_B} ELSE '' END AS numbered,
+CASE WHEN kind IN (1, 2, 3, 5, 7) THEN {_A} || ',' || {_B} END AS pair, CASE WHEN kind = 8 THEN chr(10) || '{{"k": ' || {_A} || '}}' || chr(10) END AS fenced FROM ({_JUDGED}) t""")
 def score_regex(spark, d):
     """Numbered scores, pairs and fenced JSON."""
-    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return _answers(spark).select("id", join(J.numbered_scores(F.col("a"))).alias("numbered"), join(J.score_pair(F.col("a"))).alias("pair"), J.fenced_json(F.col("a")).alias("fenced"))
+    answer = F.col("answer")
+    return _answers(spark, d).select("conv_id", "turn", _LISTED(J.numbered_scores(answer)).alias("numbered"), _LISTED(J.score_pair(answer)).alias("pair"), J.fenced_json(answer).alias("fenced"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {v!r})" if v else f"({i}, NULL)" for i, v in enumerate([None, "8.0,9.0", None, None, None, None, "7.0,8.0", "7.0", "6.0,0.0", "5.0", None, None, "3.0,4.0", None, None, None, None, None])) + ") t(id, score)")
+@query(f"""SELECT conv_id, turn, CASE WHEN kind IN (1, 3, 5, 7) THEN {_A} || '.0,' || {_B} || '.0' WHEN kind = 4 OR (kind = 6 AND a <= 10) THEN {_A} || '.0' END AS score,
+CASE kind WHEN 3 THEN said WHEN 4 THEN 'x, y' WHEN 7 THEN 'd' END AS reasoning FROM ({_JUDGED}) t""")
 def judge_parse(spark, d):
     """Tolerant answers by the first rule that holds; nothing is guessed."""
-    parsed = J.parse_answer(F.col("a"))["score"]
-    return _answers(spark).select("id", F.array_join(F.transform(parsed, lambda x: x.cast("string")), ",").alias("score"))
+    parsed = J.parse_answer(F.col("answer"))
+    return _answers(spark, d).select("conv_id", "turn", _LISTED(parsed["score"]).alias("score"), parsed["reasoning"].alias("reasoning"))
+
+
+def _readable(kind: str) -> str:
+    return f"({kind} IN (1, 3, 4, 5, 7) OR ({kind} = 6 AND a <= 10))"
+
+
+_SCORE = f"CASE WHEN {{0}} IN (1, 3, 5, 7) THEN {_A} || '.0,' || {_B} || '.0' ELSE {_A} || '.0' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN kind = 11 OR again = 11 THEN NULL WHEN {_readable("kind")} THEN {_SCORE.format("kind")} WHEN {_readable("again")} THEN {_SCORE.format("again")}
+ELSE CAST(('0x' || substr(md5('g' || conv_id || '/' || turn), 1, 8))::BIGINT % 11 AS VARCHAR) || '.0' END AS score,
+CASE WHEN kind = 11 OR again = 11 THEN NULL ELSE NOT {_readable("kind")} AND NOT {_readable("again")} END AS guessed FROM (SELECT *, (kind + 5) % 12 AS again FROM ({_JUDGED}) t) u""")
+def judge_two_passes(spark, d):
+    """A second answer where the first can't be read, and a marked guess where neither can."""
+    t = table(spark, d, "conversations")
+    judged = t.select("conv_id", "turn", (F.col("conv_id") % 13).alias("a"), ((F.col("conv_id") + F.col("turn")) % 11).alias("b"), ((F.col("conv_id") * 3 + F.col("turn")) % 12).cast("int").alias("kind"), F.md5("text").alias("said"))
+    asked = judged.withColumn("first", F.expr(_ANSWER)).withColumn("kind", (F.col("kind") + 5) % 12).withColumn("second", F.expr(_ANSWER))
+    found = J.parse_two(F.col("first"), F.col("second"), "g", F.concat_ws("/", "conv_id", "turn"))
+    return asked.select("conv_id", "turn", found.alias("f")).select("conv_id", "turn", _LISTED(F.col("f.score")).alias("score"), F.col("f.guessed").alias("guessed"))
 
 
-@query(rf"""SELECT id, coalesce(regexp_matches(a, '^\s*\+?\d+\s*$') AND try_cast(trim(a) AS INT) BETWEEN 0 AND 10, false) AS is_score, a IN ('[6, 0]', '[1,2,3]') AS is_list, a = '[score1: 3, score2: 4]' AS is_named, contains(a, '||V^=^V||') AS is_delimited FROM {_ANSWERS_SQL}""")
+@query(f"SELECT conv_id, turn, kind = 6 AND a <= 10 AS is_score, kind = 5 AND a <= 10 AS is_list, kind = 10 AND a <= 10 AS is_named, kind = 7 AS is_delimited FROM ({_JUDGED}) t")
 def score_validators(spark, d):
     """Format checks."""
-    a = F.col("a")
-    return _answers(spark).select("id", J.is_score(a).alias("is_score"), J.is_score_list(a).alias("is_list"), J.is_named_scores(a).alias("is_named"), J.delimited(a).alias("is_delimited"))
+    c = F.col("answer")
+    return _answers(spark, d).select("conv_id", "turn", J.is_score(c).alias("is_score"), J.is_score_list(c).alias("is_list"), J.is_named_scores(c).alias("is_named"), J.delimited(c).alias("is_delimited"))
 
 
-@query(f"SELECT id, CASE WHEN id = 15 THEN '4.0,3.0' WHEN id = 16 THEN '' WHEN id = 0 THEN '4.0,5.0,3.0' ELSE '' END AS values FROM {_ANSWERS_SQL} WHERE id IN (0, 1, 5, 15)")
+@query(f"SELECT conv_id, turn, CASE WHEN kind IN (0, 9) THEN {_A} || '.0,' || {_B} || '.0' ELSE '' END AS scores FROM ({_JUDGED}) t")
 def line_score_parse(spark, d):
     """Values of lines that split in two."""
-    return _answers(spark).where(F.col("id").isin(0, 1, 5, 15)).select("id", F.array_join(F.transform(J.line_scores(F.col("a")), lambda x: x.cast("string")), ",").alias("values"))
+    return _answers(spark, d).select("conv_id", "turn", _LISTED(J.line_scores(F.col("answer"))).alias("scores"))
 
 
-@query("""SELECT * FROM (VALUES (0, '{"score": [7], "reasoning": "good, clear"}'), (1, NULL), (2, '{"score": [7, 8], "ok": true}')) t(id, fixed)""")
+@query(f"""SELECT conv_id, turn, CASE kind % 3 WHEN 0 THEN '{{"score": [' || {_A} || '], "reasoning": "good, ' || said || '"}}' WHEN 1 THEN '{{"score": [' || {_A} || ', ' || {_B} || '], "ok": true}}' END AS fixed FROM ({_JUDGED}) t""")
 def relaxed_json(spark, d):
     """Relaxed JSON made strict."""
-    rows = spark.createDataFrame([(0, "{score: 7, reasoning: good, clear}"), (1, "no json"), (2, '{"score": [7, 8], ok: True}')], "id int, a string")
-    return rows.select("id", J.repair_json("a").alias("fixed"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 13).alias("a"), ((F.col("conv_id") + F.col("turn")) % 11).alias("b"), ((F.col("conv_id") * 3 + F.col("turn")) % 12).alias("kind"), F.md5("text").alias("said"))
+    loose = F.expr(f"""CASE kind % 3 WHEN 0 THEN '{{score: ' || {_A} || ', reasoning: good, ' || said || '}}' WHEN 1 THEN '{{"score": ' || {_PAIR} || ', ok: True}}' ELSE 'no json' END""")
+    return t.select("conv_id", "turn", J.repair_json(loose).alias("fixed"))
 
 
 @query("SELECT * FROM (VALUES (0, 'Add a hat', 'en', '5.0,4.0'), (2, '改成蓝色', 'ch', '3.0,3.0'), (3, 'X改', 'en', '2.0,4.0')) t(line_no, instruction, lang, score)")
@@ -619,11 +709,11 @@ def between_markers(spark, d):
     return table(spark, d, "pages").select("page_id", X.between(F.col("html"), "<title>", "</title>").alias("title"), F.array_join(X.parts(F.col("url"), "/"), "|").alias("parts"))
 
 
-@query("""SELECT * FROM (VALUES (0, repeat('x', 156) || '"|“a”|“b”|" end'), (1, 'a "b" c'), (2, '')) t(id, pieces)""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN repeat('x', CAST(156 + doc_id % 7 AS INT)) || '"|“' || substr(lang, 1, 1) || '”|“' || substr(lang, 2, 1) || '”|" ' || source WHEN 1 THEN 'a "' || lang || '" ' || source ELSE '' END AS pieces FROM documents""")
 def prompt_pieces(spark, d):
     """Quote-aware prompt split."""
-    rows = spark.createDataFrame([(0, "x" * 156 + '"ab" end'), (1, 'a "b" c'), (2, "")], "id int, p string")
-    return rows.select("id", F.array_join(X.split_prompt("p"), "|").alias("pieces"))
+    prompt = F.expr("""CASE doc_id % 3 WHEN 0 THEN repeat('x', CAST(156 + doc_id % 7 AS INT)) || '"' || lang || '" ' || source WHEN 1 THEN 'a "' || lang || '" ' || source ELSE '' END""")
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.split_prompt(prompt), "|").alias("pieces"))
 
 
 # ---------------------------------------------------------------- geometry
@@ -756,19 +846,19 @@ def ema(spark, d):
     return A.ema(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", F.round("ema", 6).alias("ema"))
 
 
-@query("""SELECT n AS id, round(CASE WHEN i = 10 THEN 0 ELSE exp(mu) / (exp(mu) + (1 / (1 - i / 10.0) - 1)) END, 6) AS t, CAST(i AS INT) AS step FROM (
-SELECT n, i, n * (0.65 / 3840) + (0.5 - (0.65 / 3840) * 256) AS mu FROM (VALUES (256), (1024), (4096)) a(n), range(11) b(i)) x""")
+@query("""SELECT doc_id, round(CASE WHEN i = 10 THEN 0 ELSE exp(mu) / (exp(mu) + (1 / (1 - i / 10.0) - 1)) END, 6) AS t, CAST(i AS INT) AS step FROM (
+SELECT doc_id, i, (256 + n_chars % 3840) * (0.65::DOUBLE / 3840) + (0.5 - (0.65::DOUBLE / 3840) * 256) AS mu FROM documents, range(11) b(i)) x""")
 def timestep_schedule(spark, d):
-    """Shifted time schedules."""
-    rows = spark.createDataFrame([(256,), (1024,), (4096,)], "id int")
-    return rows.select("id", F.posexplode(V.schedule(10, F.col("id"))).alias("step", "t")).select("id", F.round("t", 6).alias("t"), "step")
+    """Shifted time schedules, one for each length."""
+    rows = table(spark, d, "documents").select("doc_id", (256 + F.col("n_chars") % 3840).alias("n"))
+    return rows.select("doc_id", F.posexplode(V.schedule(10, F.col("n"))).alias("step", "t")).select("doc_id", F.round("t", 6).alias("t"), "step")
 
 
-@query("SELECT p AS pos, CAST(i AS INT) AS i, round(CASE WHEN i < 4 THEN sin(p / pow(10000.0, i / 4.0)) ELSE cos(p / pow(10000.0, (i - 4) / 4.0)) END, 6) AS v FROM (VALUES (0), (1), (7)) a(p), range(8) b(i)")
+@query("SELECT doc_id, CAST(i AS INT) AS i, round(CASE WHEN i < 4 THEN sin(doc_id / pow(10000.0, i / 4.0)) ELSE cos(doc_id / pow(10000.0, (i - 4) / 4.0)) END, 6) AS v FROM documents, range(8) b(i)")
 def sincos_embedding(spark, d):
     """Sine and cosine position embeddings."""
-    rows = spark.createDataFrame([(0,), (1,), (7,)], "pos int")
-    return rows.select("pos", F.posexplode(V.sin_cos(F.col("pos"), 8)).alias("i", "v")).select("pos", "i", F.round("v", 6).alias("v"))
+    rows = table(spark, d, "documents").select("doc_id")
+    return rows.select("doc_id", F.posexplode(V.sin_cos(F.col("doc_id"), 8)).alias("i", "v")).select("doc_id", "i", F.round("v", 6).alias("v"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(range(0, len(embedding)), lambda i: -(CASE WHEN i = label THEN ln(greatest(1 / (1 + exp(-embedding[i + 1]::DOUBLE)), 1e-8)) ELSE ln(greatest(least(1 - 1 / (1 + exp(-embedding[i + 1]::DOUBLE)) + 0.05, 1.0), 1e-8)) END)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
+from loomspark.operators import regions as RE
 from loomspark.operators import rules as R
 from loomspark.operators import sampling as S
 from loomspark.operators import sinks as K
 from loomspark.plans.catalog import query
 from loomspark.session import put, scratch, table
 from loomspark.sources import files as FS
+from loomspark.sources import members as ME
 from loomspark.sources import paths, shards
 from loomspark.streaming import scores as ST
 
@@ -218,20 +220,47 @@ def shard_health(spark, d):
     return checked.agg(F.sum("members").alias("members"), (F.max("members") <= 60).alias("within"), F.sum(F.col("error").isNotNull().cast("long")).alias("bad"))
 
 
+@query("SELECT lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, md5(html) AS digest, CAST(1 AS BIGINT) AS copies FROM pages")
+def shard_appends(spark, d):
+    """Shards written by three commits, one of them twice: all members are there, each once (K1)."""
+    root = scratch(spark)
+    p = table(spark, d, "pages").select("page_id", F.lpad(F.col("page_id").cast("string"), 9, "0").alias("key"), F.lit("html").alias("ext"), F.col("html").cast("binary").alias("payload"))
+    for part in (0, 1, 1, 2):  # the second batch runs again, as after a crash
+        shards.write_shards(p.where(F.col("page_id") % 3 == part).drop("page_id"), root, maxcount=100, writer="pages", batch=part)
+    members = shards.read_members(spark, paths.listed(spark, f"{root}/*.tar"))
+    return members.groupBy("key").agg(F.max(F.md5("payload")).alias("digest"), F.count("*").alias("copies"))
+
+
 @query("SELECT lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, md5(html) AS digest FROM pages WHERE page_id % 9 = 4")
 def member_lookup(spark, d):
-    """Members fetched by key through shards that any store of Spark's holds."""
+    """Members fetched by key: their places come from the index beside the shards, and only their bytes are read."""
     root = _shards(spark, d)
-    members = shards.read_remote_members(spark, f"{root}/*.tar").where("ext = 'html'")
+    by_key = scratch(spark)
+    ME.write_by_key(ME.written_index(spark, root), by_key, buckets=8)
     wanted = table(spark, d, "pages").where("page_id % 9 = 4").select(F.lpad(F.col("page_id").cast("string"), 9, "0").alias("key"))
-    return members.join(wanted, "key", "left_semi").select("key", F.md5("payload").alias("digest"))
+    found = ME.fetched(ME.by_key(spark, by_key, wanted, buckets=8).where("ext = 'html'"))
+    return found.select("key", F.md5("payload").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a000.tar'), (1, 'a001.tar'), (2, 'b7.tar'), (3, 'c.tar'), (4, 'a000.tar')) t(i, path)")
+@query("SELECT lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, md5(html) AS digest FROM pages WHERE page_id % 4 <> 1")
+def member_cache(spark, d):
+    """Members of any shards, indexed by their headers, through a cache that three lookups fill."""
+    root, cache = _shards(spark, d), scratch(spark)
+    places = ME.indexed(spark, paths.listed(spark, f"{root}/*.tar")).where("ext = 'html'")
+    for kept in ("% 4 = 0", "% 2 = 0", "% 4 <> 1"):
+        found = ME.cached(spark, places.where(f"cast(key AS long) {kept}"), cache, buckets=8)
+    return found.select("key", F.md5("payload").alias("digest"))
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS copies FROM pages")
 def listed_paths(spark, d):
-    """Brace ranges and lists with separators, roots one after the other, repeats kept."""
-    found = paths.listed(spark, "a{000..001}.tar::b{7..7}.tar::c.{tar,txt}::a000.tar")
-    return spark.createDataFrame(list(enumerate(found)), "i int, path string")
+    """Roots by braces and lists with separators, listed one after the other, repeats kept."""
+    root = scratch(spark)
+    p = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("key"), F.lit("url").alias("ext"), F.col("url").cast("binary").alias("payload"))
+    for i, name in enumerate(("even", "odd")):
+        shards.write_shards(p.where(F.col("page_id") % 2 == i).drop("page_id"), f"{root}/{name}", maxcount=50)
+    members = shards.read_members(spark, paths.listed(spark, f"{root}/{{even,odd}}/*.tar::{root}/even/*.tar"))
+    return members.groupBy(F.col("key").cast("long").alias("page_id")).agg(F.count("*").alias("copies"))
 
 
 # ---------------------------------------------------------------- tables
@@ -263,14 +292,48 @@ def quarantine(spark, d):
     return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", F.col("_error").alias("error")))
 
 
-@query("SELECT true AS enough, true AS members, true AS repeats FROM (SELECT 1) t")
+@query("""SELECT draw, doc_id FROM (SELECT unnest(range(500, 500 + 2 * (SELECT count(*) FROM documents))) AS draw) t
+JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents) k ON k.number = ('0x' || substr(md5('5/' || draw), 1, 15))::BIGINT % (SELECT count(*) FROM documents)""")
 def resampled_rows(spark, d):
-    """Draws with replacement from a table: about as many as asked for, all from it, some more than once."""
+    """Draws with replacement by number, those that the endless source gives from number 500 on."""
     docs = table(spark, d, "documents").select("doc_id")
-    drawn = ST.resampled_batch(docs, 2.0, seed=5).groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = docs.agg(F.count("*").alias("total"))
-    met = drawn.join(docs.withColumn("known", F.lit(1)), "doc_id", "left").agg(F.sum("n").alias("sum"), F.max("n").alias("most"), F.count("*").alias("kinds"), F.sum("known").alias("known"))
-    return met.crossJoin(n).select(F.col("sum").between(F.col("total") * 1.5, F.col("total") * 2.5).alias("enough"), (F.col("known") == F.col("kinds")).alias("members"), (F.col("most") > 1).alias("repeats"))  # one row each
+    return ST.resampled_batch(spark, docs, "doc_id", 2 * docs.count(), seed="5", first=500)
+
+
+@query("SELECT doc_id FROM documents")
+def shuffle_buffer(spark, d):
+    """Rows mixed within their partitions as they pass, none lost (M6)."""
+    return S.shuffle_buffer(table(spark, d, "documents").select("doc_id"), "b", 100)
+
+
+@query("""WITH RECURSIVE cells AS (
+    SELECT p_partkey AS k, i // 8 AS r, i % 8 AS c FROM part, range(64) t(i) WHERE substr(md5('x' || p_partkey) || md5('y' || p_partkey), CAST(i + 1 AS INT), 1) < '5'
+), reach AS (
+    SELECT k, r AS r0, c AS c0, r, c FROM cells
+    UNION SELECT a.k, a.r0, a.c0, b.r, b.c FROM reach a JOIN cells b ON a.k = b.k AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1
+), labelled AS (SELECT k, r, c, min(r0 * 8 + c0) AS region FROM reach GROUP BY k, r, c),
+boxes AS (SELECT k, region, count(*) AS area, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM labelled GROUP BY k, region)
+SELECT k AS p_partkey, CAST(row_number() OVER (PARTITION BY k ORDER BY y, x, h, w, area) - 1 AS INT) AS label, area, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM boxes WHERE w * h >= 4""")
+def mask_regions(spark, d):
+    """Connected regions of run-length-coded masks with their boxes, the small ones left out."""
+    digest = F.concat(F.md5(F.concat(F.lit("x"), F.col("p_partkey").cast("string"))), F.md5(F.concat(F.lit("y"), F.col("p_partkey").cast("string"))))
+    bits = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.substring(digest, i, F.lit(1)) < "5").cast("int"))
+    masks = table(spark, d, "part").select("p_partkey", RE.run_lengths(bits).alias("runs"), F.lit(8).alias("width"))
+    found = RE.mask_regions(masks, "runs", "width", least=4).select("p_partkey", F.inline("regions"))
+    return found.select("p_partkey", "label", "area", "x", "y", "w", "h")
+
+
+@query("""SELECT p_partkey, CAST(count(*) FILTER (a) AS BIGINT) AS area, CAST(count(*) FILTER (b) AS BIGINT) AS grown FROM (
+    SELECT p.p_partkey, i, substr(md5('x' || p.p_partkey), CAST(i + 1 AS INT), 1) < '3' AS a,
+        EXISTS (SELECT 1 FROM range(32) u(j) WHERE abs(j // 8 - i // 8) <= 2 AND abs(j % 8 - i % 8) <= 2 AND substr(md5('x' || p.p_partkey), CAST(j + 1 AS INT), 1) < '3') AS b
+    FROM part p, range(32) t(i)) GROUP BY p_partkey""")
+def mask_dilation(spark, d):
+    """Areas of masks and of the same masks grown by two pixels."""
+    digest = F.md5(F.concat(F.lit("x"), F.col("p_partkey").cast("string")))
+    bits = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (F.substring(digest, i, F.lit(1)) < "3").cast("int"))
+    masks = table(spark, d, "part").select("p_partkey", RE.run_lengths(bits).alias("runs"), F.lit(8).alias("width"))
+    grown = RE.dilated_masks(masks, "runs", "width", 2, "grown")
+    return grown.select("p_partkey", RE.run_area(F.col("runs")).alias("area"), RE.run_area(F.col("grown")).alias("grown"))
 
 
 @query("""SELECT l_orderkey, list_transform(range(3), lambda b: list_transform(range(7), lambda c: CASE WHEN len(list_filter(o, lambda x: x.c = c AND CASE WHEN x.a < 1024 THEN 0 WHEN x.a < 9216 THEN 1 ELSE 2 END = b)) > 0 THEN 1 ELSE 0 END))::VARCHAR AS hot
@@ -314,3 +377,15 @@ def token_counts(spark, d):
     ids = token_ids(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
     return rows.select("conv_id", "turn", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
+@query("SELECT conv_id, turn, octet_length(encode(text)) AS bytes, md5(text) AS digest FROM conversations")
+def token_round_trip(spark, d):
+    """Token ids put back to the bytes they stand for."""
+    import public_tokenizers
+
+    from loomspark.functions.bpe import text_of, token_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text_of(token_ids(F.col("text"), path), path).alias("bytes"))
+    return rows.select("conv_id", "turn", F.octet_length("bytes").cast("long").alias("bytes"), F.md5("bytes").alias("digest"))

@@ -128,9 +128,8 @@ def test_bad_weights_and_classes(pool):
             M.check_weights(bad)
     with pytest.raises(ValueError):
         M.batches(pool, "kind", 0, "s", "id")
-    pipes = M.demultiplexed(pool, F.when(F.col("id") == 5, 9).otherwise(0), 2)
     with pytest.raises(Exception, match="out of range"):
-        pipes[0].collect()
+        M.classed(pool, F.when(F.col("id") == 5, 9).otherwise(0), 2).collect()
 
 
 def test_ranks_and_splits(spark):
@@ -202,40 +201,6 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("win").select("start", "event_type", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_resumed_scoring_adds_nothing_twice(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "k int, payload string")
-    rows.write.parquet(str(tmp_path / "in"))
-    score = lambda df: C.apply_scorer(df, C.STAND_INS["liqe"])
-    for run in range(2):
-        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        q = ST.score_into(stream, score, str(tmp_path / "out"), str(tmp_path / f"check{run}"), "k").trigger(availableNow=True).start()
-        q.awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 20 == out.select("k").distinct().count()
-
-
-def test_rolling_balance_state():
-    class State:
-        def __init__(self):
-            self.rows = []
-
-        def get(self):
-            return iter(self.rows)
-
-        def put(self, rows):
-            self.rows = rows
-
-    p = ST.RollingBalance()
-    p.size, p.recent = 3, State()
-    out = pd.concat(p.handleInputRows(("g",), iter([pd.DataFrame({"kind": list("aabab")})]), None))
-    assert out["share"].tolist() == pytest.approx([0.0, 1.0, 0.0, 2 / 3, 1 / 3])
-
-
-def test_resampled_source_is_bounded(spark):
-    assert ST.resampled_batch(spark.range(100), 2.0).count() > 120
-    assert ST.resampled(spark, spark.range(5).withColumnRenamed("id", "shard"), "shard").isStreaming
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
@@ -243,19 +208,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_balanced_stream(spark, tmp_path):
-    spark.createDataFrame([("g", k) for k in "aabab"], "group string, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema("group string, kind string").parquet(str(tmp_path / "in"))
-        q = ST.balanced(stream).writeStream.format("memory").queryName("balanced").outputMode("append").start()
-        q.processAllAvailable()
-        q.stop()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert [round(r.share, 3) for r in spark.table("balanced").collect()] == [0.0, 1.0, 0.0, 0.667, 0.25]
-
-
 # ------------------------------------------------------------------ ranks of any type, limits, shards by stream
 
 
