@@ -19,10 +19,10 @@ MIN_ASSIGNED = 6
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "mixed": 3.9}
-#: Candidates that are known to be no secrets: placeholders, alphabets, identifiers with dashes, one repeated unit, lower-case paths.
+#: What is known to be no secret: placeholders and alphabets, which windows must not touch, and whole candidates that are
+#: identifiers with dashes, one repeated unit, or lower-case paths.
+ALLOW_WORDS = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefghijkl|qwertyuiop"
 ALLOW = (
-    r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|lorem",
-    r"(?i)0123456789|abcdefghijkl|qwertyuiop",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.{1,6})\1{3,}.{0,5}$",
     r"^(?=[^/]*/[^/]*/)[a-z0-9/_-]+$",
@@ -97,12 +97,25 @@ def _entropy_span(word: Column, start: Column, least: Column) -> Column:
     return F.transform(done, lambda x: F.when(x["first"] >= 0, F.struct((start + x["first"]).alias("s"), (start + x["last"]).alias("e"))))[0]
 
 
+def _pieces(x: Column) -> Column:
+    """Array of (s, m): what a candidate's allowed words leave of it."""
+    none = F.array().cast("array<struct<s:bigint,m:string>>")
+    begin = F.struct(x["s"].alias("at"), none.alias("out"))
+    words = F.concat(F.transform(F.regexp_extract_all(x["m"], F.lit(ALLOW_WORDS), F.lit(0)), lambda w: F.length(w).cast("long")), F.array(F.lit(0).cast("long")))
+    both = F.arrays_zip(F.split(x["m"], ALLOW_WORDS, -1).alias("m"), words.alias("n"))
+    cut = F.aggregate(
+        both, begin, lambda acc, p: F.struct((acc["at"] + F.length(p["m"]) + p["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), p["m"].alias("m")))).alias("out")), lambda acc: acc["out"]
+    )
+    return F.when(x["m"].rlike(ALLOW_WORDS), cut).otherwise(F.array(F.struct(x["s"].alias("s"), x["m"].alias("m"))))
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
     """Adds `out`: array of (s, e, kind) sorted by start, then kind as listed: assign, access, hex, entropy.
 
     Null text counts as empty. Offsets are code points, ends exclusive, over the whole text. The entropy
     kind covers, in a run of 20 or more candidate characters with letters and digits, the windows whose
-    Shannon entropy reaches the least bits of the run's class (hex or mixed), unless the allow-list has it.
+    Shannon entropy reaches the least bits of the run's class (hex or mixed), unless the allow-list has the run. A
+    placeholder or alphabet inside a run takes away the windows that touch it; what lies between is a run of its own.
     """
     docs, unpack = pack_columns(docs, text_col)
     df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
@@ -111,12 +124,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
     df = df.withColumn("__assign", F.filter("__assign", lambda x: F.length(x["g"]) >= MIN_ASSIGNED))
 
     def suspect(x: Column) -> Column:
-        bad = x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
+        bad = (F.length(x["m"]) >= WINDOW) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
         for allowed in ALLOW:
             bad = bad & ~x["m"].rlike(allowed)
         return bad
 
     df = df.withColumn("__candidate", F.filter("__candidate", suspect))
+    df = df.withColumn("__candidate", F.filter(F.flatten(F.transform("__candidate", _pieces)), suspect))
     least = lambda m: F.when(m.rlike("^[0-9a-fA-F]+$"), LEAST_BITS["hex"]).otherwise(LEAST_BITS["mixed"])
     # the least entropy is found once for each candidate, not at each of its characters
     df = df.withColumn("__candidate", F.transform("__candidate", lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), least(x["m"]).alias("least"))))

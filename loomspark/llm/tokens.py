@@ -13,9 +13,10 @@ import numpy as np
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]")
 
 
-#: Characters that are encoded at a time, and places where a text can be cut: in front of a space between two letters a new piece begins.
+#: Characters that are encoded at a time, and places where a text can be cut, for a new piece begins there whatever stands
+#: around them: behind a letter, in front of a space and a letter, or of a mark that no special token has.
 PART = 1 << 20
-_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
+_CUT = re.compile(r"[A-Za-zА-Яа-я一-龥ぁ-んァ-ヶ가-힣](?= [A-Za-z]|[!-,./:;=?\[\]{}、。，！？；：）」])")
 
 
 def default_path() -> str:
@@ -51,7 +52,11 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a whole text; a very long one is encoded in parts, which gives the same ids."""
+        """Ids of a whole text; a very long one is encoded in parts, which gives the same ids.
+
+        It is cut at the first place behind PART characters where a piece of the tokenizer's own pattern ends. A run of
+        letters without a mark or space is one piece, and is encoded whole.
+        """
         parts, at = [], 0
         while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
             parts.append(self._ids(text[at : cut.end()]))
