@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.sources import jpeg
+
 
 def prompts(spark: SparkSession, paths: list[str] | str, without: str | None = None) -> DataFrame:
     """Non-blank lines, trimmed (column prompt), optionally without those that contain a word."""
@@ -101,7 +103,7 @@ def image_size(payloads: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def image_whole(payloads: pd.Series) -> pd.Series:
-    """Whether a PNG, GIF, BMP, WebP or JPEG is there from its header to its end; PNG data is decompressed and its checksums are verified."""
+    """Whether a PNG, GIF, BMP, WebP or JPEG is there from its header to its end; PNG data is decompressed and its checksums are verified, and a JPEG's scans are read to their last blocks."""
     return payloads.map(_whole).astype(bool)
 
 
@@ -132,7 +134,8 @@ def _whole(data: bytes | None) -> bool:
         return len(data) >= int.from_bytes(data[2:6], "little")
     if data[:4] == b"RIFF":
         return len(data) >= 8 + int.from_bytes(data[4:8], "little")
-    return data.rstrip(b"\0")[-2:] == b"\xff\xd9"
+    found = jpeg.walk(data)
+    return data.rstrip(b"\0")[-2:] == b"\xff\xd9" if found is None else found
 
 
 def _size(data: bytes | None) -> tuple[int, int] | None:

@@ -264,7 +264,7 @@ def test_whole_images_are_told_from_cut_ones():
     assert files._whole(good) and not any(files._whole(good[:n]) for n in range(0, len(good)))
     assert not files._whole(good[:40] + b"\x01" + good[41:])  # a checksum that doesn't hold
     jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + b"\0" * 10 + b"\xff\xc0\x00\x11\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\0" * 12
-    assert files._whole(jpeg + b"\xff\xd9") and not files._whole(jpeg)
+    assert not files._whole(jpeg) and not files._whole(jpeg + b"\xff\xd9")  # an end mark, but no scan (see test_jpeg)
     assert files._whole(b"GIF89a\x05\0\x06\0;") and not files._whole(b"GIF89a\x05\0\x06\0") and not files._whole(None)
 
 
