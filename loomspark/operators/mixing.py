@@ -52,7 +52,8 @@ def multiplexed(batched: DataFrame, bucket: str, weights: dict, seed: str) -> Da
     rates = check_weights(weights)
     rate = F.create_map(*[x for k, w in rates.items() for x in (F.lit(k), F.lit(w))])[F.col(bucket)]
     heads = batched.select(bucket, "batch").distinct().withColumn("__wait", -F.log(draw(seed, F.concat_ws("/", F.col(bucket).cast("string"), F.col("batch")))) / rate)
-    heads = running_sums(heads, [bucket], ["batch"], {"position": F.col("__wait")}).drop("__wait")
+    # batches are named by shard and number, so shards cut a bucket in the order of names
+    heads = running_sums(heads.withColumn("__shard", F.substring_index("batch", "-", 1)), [bucket], ["batch"], {"position": F.col("__wait")}, "__shard").drop("__wait", "__shard")
     return batched.join(heads, [bucket, "batch"])
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows that are drawn for each range of a global order, to find its border.
 DRAWN = 16
+#: Rows of a group that one task may sum up, and first rows of an order that one task may merge.
+LARGE_GROUP = 1_000_000
+MERGED = 10_000
 
 
 def draw(seed: str, key: Column, salt: str = "") -> Column:
@@ -65,8 +68,11 @@ def weighted_sample(df: DataFrame, seed: str, key: str, weight: Column, n: int)
 def smallest(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows in the given order (nulls first), however large n is.
 
-    Rows are dealt to ranges and the ranges counted; those that lie behind the n-th row go before anything is sorted.
+    Up to MERGED rows are each task's first ones, merged. For more, rows are dealt to ranges and the ranges counted; those
+    that lie behind the n-th row go before anything is sorted.
     """
+    if n <= MERGED:
+        return df.orderBy(*order).limit(n)
     dealt, counts = _counted(df, order)
     within = dealt.join(F.broadcast(counts.where(F.col("__before") < n)), F.col("__range") == F.col("__r"))
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
@@ -144,26 +150,45 @@ def with_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return joined.withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__range", "__local", "__r", "__before")
 
 
-def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], part: str | None = None) -> DataFrame:
     """Adds, under the given names, sums over the rows of a group up to each row (nulls first), however large a group is.
 
-    Rows are dealt to ranges by group and order; a range's sums for each group in it (one row for both) are added up
-    over the group's ranges, and rows within their own. Of groups, one goes over each border at most.
+    Groups of up to LARGE_GROUP rows are one window each. Larger ones are cut into ranges of the order: a range's own
+    running sums end in its totals, which are added up over the group's ranges (one row each) and joined back. A column
+    that cuts groups in the order already, `part`, spares the look at the groups' sizes.
     """
     packed = df.withColumns({f"__s_{name}": value for name, value in sums.items()})
-    dealt = with_range(packed, [*group, *order], "__range")
-    ahead = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("__range", *group).agg(*[F.sum(f"__s_{name}").alias(f"__p_{name}") for name in sums])
-    parts = parts.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[F.sum(f"__p_{name}").over(ahead).alias(f"__b_{name}") for name in sums])
-    own = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.withColumns({f"__l_{name}": F.sum(f"__s_{name}").over(own) for name in sums})
-    same = F.col("__range") == F.col("__r")
+    if part is not None:
+        return _summed_parts(packed, group, part, order, list(sums)).select(*df.columns, *sums)
+    large = packed.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > LARGE_GROUP).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)])
+    if large.isEmpty():
+        return _summed(packed, group, order, sums).select(*df.columns, *sums)
+    same = F.lit(True)
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = local.join(parts, same)
+    usual = _summed(packed.join(large, same, "left_anti"), group, order, sums)
+    dealt = with_range(packed.join(large, same, "left_semi"), [*group, *order], "__range")
+    return usual.select(*df.columns, *sums).unionByName(_summed_parts(dealt, group, "__range", order, list(sums)).select(*df.columns, *sums))
+
+
+def _summed(packed: DataFrame, group: list[str], order: list[str], names: list[str] | dict, out: str = "{}") -> DataFrame:
+    own = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return packed.withColumns({out.format(name): F.sum(f"__s_{name}").over(own) for name in names})
+
+
+def _summed_parts(packed: DataFrame, group: list[str], part: str, order: list[str], names: list[str]) -> DataFrame:
+    """Running sums of groups that come in parts; totals are read off the parts' own sums, so that both share one shuffle."""
+    local = _summed(packed, [*group, part], order, names, "__l_{}")
+    last = local.groupBy(*group, part).agg(*[F.max_by(F.struct(f"__l_{name}"), F.struct(*order)).alias(f"__p_{name}") for name in names])
+    ahead = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, part]
+    parts = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.sum(F.col(f"__p_{name}")[f"__l_{name}"]).over(ahead).alias(f"__b_{name}") for name in names])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     # nothing but nulls so far is null, as in SQL
     total = lambda name: F.when(F.col(f"__b_{name}").isNull(), F.col(f"__l_{name}")).otherwise(F.col(f"__b_{name}") + F.coalesce(F.col(f"__l_{name}"), F.lit(0)))
-    return joined.select(*df.columns, *[total(name).alias(name) for name in sums])
+    return local.join(parts, same).withColumns({name: total(name) for name in names})
 
 
 def shuffle_buffer(df: DataFrame, seed: str, size: int = 1000) -> DataFrame:
