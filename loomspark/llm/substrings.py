@@ -9,6 +9,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ WINDOW = 35
 PARSE_BYTES = 1 << 19
 #: Rounds of pair naming after the round that names runs.
 ROUNDS = 5
-#: Occurrences of one anchor beyond which its windows are counted by Spark rather than within a task.
+#: Occurrences of one anchor that a task compares at a time; windows of a more frequent one are dealt to parts.
 HOT = 20_000
 KEY = ["__k1", "__k2"]
 #: Key of the text that a stretch is compared with.
@@ -156,11 +157,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_of = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
         values = listed.flatten()
         wanted = values.field("position").to_numpy(zero_copy_only=False) + begins[doc_of]
-        keys = values.field("key").to_numpy(zero_copy_only=False)
+        keys, parts = (values.field(name).to_numpy(zero_copy_only=False) for name in ("key", "parts"))
         # anchors of one position differ in their keys; both sides are put in the same order
         mine = np.lexsort((found.key.view(np.int64), found.position))
         order = np.lexsort((keys, wanted))
-        wanted, keys = wanted[order], keys[order]
+        wanted, keys, parts = wanted[order], keys[order], parts[order]
         both = np.concatenate([found.position[mine], wanted]), np.concatenate([found.key[mine].view(np.int64), keys])
         asked = np.concatenate([np.zeros(len(mine), bool), np.ones(len(wanted), bool)])
         ranked = np.lexsort((asked, both[1], both[0]))
@@ -171,18 +172,81 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = spans(words.hashes, found.window, found.window + WINDOW).view(np.int64)
         doc = np.searchsorted(ends, found.position[picked], "right")
         k1, k2 = (column[k].to_numpy(zero_copy_only=False)[doc] for k in KEY)
-        lo, hi = found.bound[picked], found.bound[picked + 1]
-        offsets = np.concatenate([[0], np.cumsum(hi - lo)])
-        take = np.repeat(lo - offsets[:-1], hi - lo) + np.arange(offsets[-1])
-        start = found.window[take] - np.repeat(begins[doc], hi - lo)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[take]))
-        # windows mostly follow one another: then their first start says all
-        follows = start[offsets[1:] - 1] - start[offsets[:-1]] == hi - lo - 1
-        shown = np.where(follows, 1, hi - lo)
-        places = np.concatenate([[0], np.cumsum(shown)])
-        some = np.repeat(offsets[:-1] - places[:-1], shown) + np.arange(places[-1])
-        firsts = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(start[some].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
+
+        def rows_of(which: np.ndarray) -> pa.RecordBatch:
+            lo, hi = found.bound[picked[which]], found.bound[picked[which] + 1]  # noqa: B023
+            offsets = np.concatenate([[0], np.cumsum(hi - lo)])
+            take = np.repeat(lo - offsets[:-1], hi - lo) + np.arange(offsets[-1])
+            start = found.window[take] - np.repeat(begins[doc[which]], hi - lo)  # noqa: B023
+            return _listed(keys[which], k1[which], k2[which], offsets, start, hashes[take])  # noqa: B023
+
+        usual, hot = np.nonzero(parts == 1)[0], np.nonzero(parts > 1)[0]
+        if len(usual):
+            yield rows_of(usual)
+        if len(hot):
+            rows = rows_of(hot)
+            yield _as_rows(_stretches(rows))
+            yield _parted(rows, parts[hot])
+
+
+def _listed(key: np.ndarray, k1: np.ndarray, k2: np.ndarray, offsets: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """Window rows; row i has the starts and hashes from offsets[i] to offsets[i + 1]."""
+    size = np.diff(offsets)
+    # windows mostly follow one another: then their first start says all
+    follows = start[offsets[1:] - 1] - start[offsets[:-1]] == size - 1
+    shown = np.where(follows, 1, size)
+    places = np.concatenate([[0], np.cumsum(shown)])
+    some = np.repeat(offsets[:-1] - places[:-1], shown) + np.arange(places[-1])
+    firsts = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(start[some].astype(np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
+
+
+def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and hash of each window of window rows."""
+    listed, lists = rows.column(3), rows.column(4)
+    flat, firsts = lists.flatten().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
+    sizes, begin = np.diff(lists.offsets.to_numpy()), listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py()
+    row = np.repeat(np.arange(rows.num_rows), sizes)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    short = (np.diff(listed.offsets.to_numpy()) < sizes)[row]
+    return row, firsts[begin[row] + np.where(short, 0, within)] + np.where(short, within, 0), flat
+
+
+def _parted(rows: pa.RecordBatch, parts: np.ndarray) -> pa.RecordBatch:
+    """Of window rows whose anchors have several parts, one place for each window, under keys of the parts: equal windows share a part, by their hash."""
+    row, start, hashes = _flat(rows)
+    key = rows.column(0).to_numpy()[row]
+    order = np.lexsort((hashes, key))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    one = order[fresh]
+    row, start, hashes = row[one], start[one], hashes[one]
+    part = mix(hashes.view(np.uint64)) % parts[row].astype(np.uint64)
+    order = np.lexsort((start, part, row))
+    row, part, start, hashes = row[order], part[order], start[order], hashes[order]
+    opens = np.ones(len(row), dtype=bool)
+    opens[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+    first = np.nonzero(opens)[0]
+    key, k1, k2 = (rows.column(i).to_numpy()[row[first]] for i in range(3))
+    key = mix(key.view(np.uint64) ^ mix(part[first] + np.uint64(BASE))).view(np.int64)
+    return _listed(key, k1, k2, np.append(first, len(row)), start, hashes)
+
+
+def _as_rows(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Stretches in the form of window rows, so that both pass the same way; they alone have more starts than hashes."""
+    k1, k2, start, length, o1, o2, other = (c.to_numpy() for c in found.columns)
+    n = found.num_rows
+    firsts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 3, pa.int32()), pa.array(np.stack([start, length, other], 1).ravel().astype(np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2, pa.int32()), pa.array(np.stack([o1, o2], 1).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k1), pa.array(k2), firsts, lists], names=["key", *KEY, "starts", "hashes"])
+
+
+def _from_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Undoes _as_rows."""
+    numbers, others = rows.column(3).flatten().to_numpy().astype(np.int64).reshape(-1, 3), rows.column(4).flatten().to_numpy().reshape(-1, 2)
+    columns = [numbers[:, 0], numbers[:, 1], others[:, 0], others[:, 1], numbers[:, 2]]
+    return pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), *[pa.array(np.ascontiguousarray(c)) for c in columns]], names=STRETCH)
 
 
 STRETCH = [*KEY, "start", "length", *OTHER, "other_start"]
@@ -194,13 +258,7 @@ def _stretches(part: pa.RecordBatch) -> pa.RecordBatch:
     That other place is the first of the equal windows by text key and start (the second for the first itself);
     a stretch goes on as long as both sides do.
     """
-    listed, hashes = part.column(3), part.column(4)
-    flat, firsts = hashes.flatten().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
-    sizes, begin = np.diff(hashes.offsets.to_numpy()), listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py()
-    row = np.repeat(np.arange(part.num_rows), sizes)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    short = (np.diff(listed.offsets.to_numpy()) < sizes)[row]
-    start = firsts[begin[row] + np.where(short, 0, within)] + np.where(short, within, 0)
+    row, start, flat = _flat(part)
     k1, k2 = (part.column(i).to_numpy() for i in (1, 2))
     by = np.lexsort((k2, k1))
     text = np.empty(part.num_rows, dtype=np.int64)  # texts numbered in the order of their keys
@@ -233,6 +291,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     try:
         for batch in batches:
+            done = pc.greater(pc.list_value_length(batch.column(3)), pc.list_value_length(batch.column(4)))
+            if (made := batch.filter(done)).num_rows:
+                yield _from_rows(made)
+            batch = batch.filter(pc.invert(done))
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
@@ -301,8 +363,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts are known by 128 bits of their SHA-256, so that copies are read once and cost no more than their rows. Anchors go
     through Spark first: only those that come twice can belong to a repeat. Windows under them are then compared
-    by their hashes, in tasks that hold one anchor's rows at a time (at most HOT); the windows of more frequent
-    anchors are folded by a distributed aggregation instead. In the end each repeated stretch is compared with
+    by their hashes, in tasks that hold one anchor's rows at a time (at most HOT). The windows of a more frequent
+    anchor are compared among the texts that a task reads together first; one place of each then goes on, in as many
+    parts by hash as HOT goes into the anchor's places. In the end each repeated stretch is compared with
     the other place it was found at, by a cryptographic digest of the words there; one that differs stays.
     """
     docs, unpack = pack_columns(docs, text_col)
@@ -319,24 +382,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = written(source.select("__text", *KEY).mapInArrow(_anchor_rows, f"key long, {long_key}, position long"))
     counted = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     counted = dealt_anew(counted, {"key": "__key"})
-    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, "n", F.struct("position", "key").alias("a"))
-
-    def windows(anchors_: DataFrame) -> DataFrame:
-        listed = anchors_.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one text, bounded by its words
-        return of_texts(listed).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
-
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    repeated = found.join(counted, found["key"] == counted["__key"]).select(*KEY, F.struct("position", "key", parts.alias("parts")).alias("a"))
+    listed = repeated.groupBy(*KEY).agg(F.collect_set("a").alias("__anchors"))  # of one text, bounded by its words
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = windows(repeated.where(F.col("n") <= HOT)).repartition(spread, "key").sortWithinPartitions("key")
-    usual = usual.mapInArrow(_repeated, f"{long_key}, start long, length long, __o1 long, __o2 long, other_start long")
-    each = windows(repeated.where(F.col("n") > HOT)).select("key", *KEY, "starts", F.posexplode("hashes").alias("i", "hash"))
-    start = F.coalesce(F.get("starts", "i"), F.get("starts", F.lit(0)) + F.col("i")).cast("long")
-    each = each.select("key", "hash", F.struct(*KEY, start.alias("start")).alias("place"))
-    folded = each.groupBy("key", "hash").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
-    folded = dealt_anew(folded, {"key": "__key", "hash": "__hash"})
-    other = F.when(F.col("place") == F.col("least"), F.col("most")).otherwise(F.col("least"))
-    frequent = each.join(folded, (each["key"] == folded["__key"]) & (each["hash"] == folded["__hash"])).select("place", other.alias("other"))
-    frequent = frequent.select("place.*", F.lit(1).cast("long").alias("length"), *[F.col("other").getField(k).alias(o) for k, o in zip([*KEY, "start"], [*OTHER, "other_start"])])
-    places = usual.unionByName(frequent)
+    windows = of_texts(listed).mapInArrow(_window_rows, f"key long, {long_key}, starts array<int>, hashes array<long>")
+    windows = windows.repartition(spread, "key").sortWithinPartitions("key")
+    places = windows.mapInArrow(_repeated, f"{long_key}, start long, length long, __o1 long, __o2 long, other_start long")
 
     asked = places.select(F.col("__o1").alias("__k1"), F.col("__o2").alias("__k2"), F.struct(F.col("other_start").alias("start"), "length").alias("a"))
     asked = asked.groupBy(*KEY).agg(F.collect_set("a").alias("__asked"))
