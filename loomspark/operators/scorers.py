@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomspark.session import small_batches
+
 
 @dataclass(frozen=True)
 class Scorer:
@@ -122,8 +124,10 @@ def apply_scorer(df: DataFrame, scorer: Scorer, tries: int = 3, pause: float = 0
 
     `limit` is the seconds that one call may take, a longer one counts as failed. `calls` says more (see Calls): with
     several workers a task waits for that many answers at a time, and with keys the scorer is called as
-    batch(model, frame, key).
+    batch(model, frame, key). Batches end at 4 MB (unless the session sets another size), for a chain of scorers has a
+    worker for each of them in every task.
     """
+    small_batches(df.sparkSession)
     calls = calls or Calls(tries, pause, limit=limit)
     added = T.StructType.fromDDL(scorer.output)
     schema = T.StructType([*df.schema.fields, *added.fields, T.StructField(f"{scorer.name}_error", T.StringType())])
