@@ -245,8 +245,9 @@ def member_lookup(spark, d):
 @query("SELECT lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, md5(html) AS digest FROM pages WHERE page_id % 4 <> 1")
 def member_cache(spark, d):
     """Members of any shards, indexed by their headers, through a cache that three lookups fill."""
-    root, cache = _shards(spark, d), scratch(spark)
-    places = ME.indexed(spark, paths.listed(spark, f"{root}/*.tar")).where("ext = 'html'")
+    root, cache, index = _shards(spark, d), scratch(spark), scratch(spark)
+    ME.indexed(spark, paths.listed(spark, f"{root}/*.tar")).where("ext = 'html'").write.parquet(index)  # each lookup reads it more than once
+    places = spark.read.parquet(index)
     for kept in ("% 4 = 0", "% 2 = 0", "% 4 <> 1"):
         found = ME.cached(spark, places.where(f"cast(key AS long) {kept}"), cache, buckets=8)
     return found.select("key", F.md5("payload").alias("digest"))

@@ -31,7 +31,10 @@ def written_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, shards: list[str]) -> DataFrame:
-    """Places of the members of any shards, read from their headers; a shard that can't be read to its end lacks what follows."""
+    """Places of the members of any shards, read from their headers; a shard that can't be read to its end lacks what follows.
+
+    A task reads several shards where there are many. Every use reads all headers again: see write_by_key for keeping them.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +46,8 @@ def indexed(spark: SparkSession, shards: list[str]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "ext", "shard", "offset", "size"])
 
-    listed = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(max(1, len(shards)))
+    tasks = min(len(shards), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(max(1, tasks))
     return listed.mapInArrow(read, PLACES)
 
 
